@@ -74,7 +74,19 @@ def clip(c: str | Column, lo: str | Column, hi: str | Column) -> Column:
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
-    return F.round(_c(c).cast("double"), digits)
+    """Round half away from zero on the scaled double: round(x * 10^d) / 10^d.
+
+    Spelled out (instead of ``round``, which rounds the decimal text of the
+    double) so that exact ties resolve the same way as in SQL engines that
+    scale in binary; non-finite values pass through.
+    """
+    c = _c(c).cast("double")
+    m = float(10 ** digits)
+    v = c * F.lit(m)
+    r = F.signum(v) * F.floor(F.abs(v) + F.lit(0.5)).cast("double")
+    return (F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c)
+             .when(F.abs(v) < F.lit(2.0 ** 52), r / F.lit(m))
+             .otherwise(v / F.lit(m)))
 
 
 def first_present(columns: Iterable[str], candidates: Sequence[str]) -> str | None:

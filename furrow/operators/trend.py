@@ -113,7 +113,8 @@ def model_comparison_view(comp: DataFrame, keys: Sequence[str] = (), wanted: Seq
     """Filter models, map display names (unknown names kept), round to 3."""
     if wanted is not None:
         comp = comp.where(F.col("model").isin(list(wanted)))
+    from furrow.functions.columns import rounded
     m = F.create_map(*[F.lit(x) for kv in MODEL_NAMES.items() for x in kv])
     return comp.select(*keys, F.coalesce(m[F.col("model")], F.col("model")).alias("Model"),
-                       F.round("rmse", 3).alias("RMSE"), F.round("mae", 3).alias("MAE"),
-                       F.round("r2", 3).alias("R2"))
+                       rounded("rmse", 3).alias("RMSE"), rounded("mae", 3).alias("MAE"),
+                       rounded("r2", 3).alias("R2"))
