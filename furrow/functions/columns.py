@@ -50,9 +50,13 @@ def to_double(c: str | Column) -> Column:
 
 
 def to_int(c: str | Column) -> Column:
-    """Coerce to a whole number (nullable int); fractional values -> null."""
-    d = to_double(c)
-    return F.when(d == F.floor(d), d.try_cast("int"))
+    """Coerce text to a whole number (nullable int); fractional -> null.
+
+    Plain integers take the direct cast; only other number spellings go
+    through the guarded double parse."""
+    s = F.trim(_c(c).cast("string"))
+    d = to_double(s)
+    return F.coalesce(s.try_cast("int"), F.when(d == F.floor(d), d.try_cast("int")))
 
 
 def extract_number(c: str | Column) -> Column:

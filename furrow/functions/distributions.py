@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EPS, _TINY, _MAXIT = 1e-15, 1e-300, 300
 
@@ -91,17 +92,17 @@ def t_ppf(p, df) -> np.ndarray:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided_p(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_sf(f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_crit_udf(df: pd.Series) -> pd.Series:
     return pd.Series(t_ppf(0.975, df.to_numpy(float)))
 

@@ -16,7 +16,7 @@ from furrow.functions.columns import (
     clip, contains_upper, first_present, nan_to_null, norm_eq, norm_upper,
     regex_contains, to_double, to_int,
 )
-from furrow.operators.common import attach
+from furrow.operators.common import attach, materialize
 from furrow.operators.quantiles import exact_quantiles
 
 # Fixed labels and patterns of the reference's cleaning rules.
@@ -79,9 +79,22 @@ def drop_null_keys(df: DataFrame, subset: Sequence[str] = ("YEAR", "VALUE")) ->
     return df.na.drop(subset=list(subset))
 
 
+def _numeric_col(df: DataFrame, col: str, whole: bool):
+    """Coercion expression for one column, chosen from its type: text is
+    parsed (guarded, never raises), numbers are only cast or NaN-cleaned."""
+    dtype = dict(df.dtypes)[col]
+    if dtype in ("string", "varchar") or dtype.startswith("varchar") or dtype.startswith("char"):
+        return to_int(col) if whole else to_double(col)     # the text guard never yields NaN
+    if dtype in ("int", "bigint", "smallint", "tinyint"):
+        return F.col(col).cast("int") if whole else F.col(col).cast("double")
+    d = nan_to_null(F.col(col).cast("double"))
+    return F.when(d == F.floor(d), d.try_cast("int")) if whole else d
+
+
 def coerce_numeric(df: DataFrame, year_col: str = "YEAR", value_col: str = "VALUE") -> DataFrame:
     """Text -> numbers; unparsable cells and NaN become null (ANSI-safe)."""
-    return df.withColumns({year_col: to_int(year_col), value_col: nan_to_null(to_double(value_col))})
+    return df.withColumns({year_col: _numeric_col(df, year_col, True),
+                           value_col: _numeric_col(df, value_col, False)})
 
 
 def finite_pairs(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), min_points: int = 2) -> DataFrame:
@@ -236,6 +249,25 @@ def winsorize(df: DataFrame, value_col: str = "VALUE", keys: Sequence[str] = (),
     return j.withColumn(out, clip(value_col, "_lo", "_hi")).drop("_lo", "_hi")
 
 
+def outlier_columns(df: DataFrame, value_col: str = "VALUE", keys: Sequence[str] = (),
+                    lower: float = 0.01, upper: float = 0.99, k: float = 1.5, z: float = 3.0) -> DataFrame:
+    """Winsorised value, IQR flag and z-score (+ flag) from one per-key
+    statistics table (one moments pass, one quantile pass, one attach)."""
+    keys = list(keys)
+    st = value_stats(df, value_col, keys, probs={"_lo": lower, "_hi": upper, "_q1": 0.25, "_q3": 0.75})
+    j = attach(df, st.select(*keys, "mean", "std", "_lo", "_hi", "_q1", "_q3"), keys, how="left")
+    v = F.col(value_col)
+    iqr = F.col("_q3") - F.col("_q1")
+    zs = F.when(F.col("std") != 0, (v - F.col("mean")) / F.col("std"))
+    j = j.withColumns({
+        "VALUE_clipped": clip(value_col, "_lo", "_hi"),
+        "is_outlier_iqr": F.coalesce((v < F.col("_q1") - k * iqr) | (v > F.col("_q3") + k * iqr), F.lit(False)),
+        "value_zscore": zs,
+    })
+    j = j.withColumn("is_outlier_z", F.coalesce(F.abs(F.col("value_zscore")) > z, F.lit(False)))
+    return j.drop("mean", "std", "_lo", "_hi", "_q1", "_q3")
+
+
 def normalize_units(df: DataFrame, value_col: str = "VALUE", unit_col: str = "UNIT_DESCRIPTION") -> DataFrame:
     """Scale values of 'thousand' units to base units; unknown units unchanged."""
     factor, unit = F.lit(1.0), F.col(unit_col)
@@ -279,7 +311,7 @@ def replace_group_outliers(df: DataFrame, value_col: str, group_col: str, thresh
 # ---- full chains ------------------------------------------------------------------
 
 def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Sequence[str] | None = None,
-                       order_col: str = "YEAR") -> DataFrame:
+                       order_col: str = "YEAR", write_rows: bool = True) -> DataFrame:
     """The full cleaning chain: statistic and unit filters, null drops around
     number coercion, exact flags, trimmed descriptions with class one-hot and
     location codes, population-sd scaling of YEAR and VALUE, IQR flag,
@@ -294,6 +326,9 @@ def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Se
     df = df.withColumns({"CLASS_DESCRIPTION": F.trim("CLASS_DESCRIPTION"),
                          "LOCATION_DESCRIPTION": F.trim("LOCATION_DESCRIPTION")})
     df = one_hot(df, "CLASS_DESCRIPTION", "CLASS", class_values)
+    if write_rows:
+        # one pass over the raw rows; codes, statistics and output read it
+        df = materialize(df, "clean-rows")
     df = factorize(df, "LOCATION_DESCRIPTION", order_col, "LOCATION_CODE")
     st = df.groupBy(*keys).agg(
         F.avg("YEAR").alias("_my"), F.stddev_pop("YEAR").alias("_sy"),
@@ -320,7 +355,7 @@ def clean_minimal(df: DataFrame) -> DataFrame:
     df = filter_statistic_regex(df)
     df = canonical_columns(df)
     if "VALUE" in df.columns:
-        df = df.withColumn("VALUE", nan_to_null(to_double("VALUE")))
+        df = df.withColumn("VALUE", _numeric_col(df, "VALUE", False))
     df = add_series_flags(df, "regex")
     if "VALUE" in df.columns:
         df = winsorize(df, "VALUE")

@@ -31,3 +31,24 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (), how: str =
     if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):
         return out
     return out.drop(*[f"__r_{k}" for k in keys])
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the session's checkpoint folder and
+    read it back.
+
+    Used where one intermediate feeds several branches (statistics and the
+    rows they are attached to): later passes read the written columns
+    instead of re-running scans and joins, and the plan below is cut, so
+    lost executors never force recomputation of the upstream stages. The
+    folder comes from ``spark.checkpoint.dir`` (a shared location on a
+    cluster); only local runs without it get a scratch folder.
+    """
+    import uuid
+
+    from furrow.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/furrow-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -384,7 +384,7 @@ def box_sql(src: str, grp: str | None = None) -> str:
   SELECT {g}count(*) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
          round(min(CASE WHEN v >= q1 - 1.5e0 * (q3 - q1) THEN v END), 6) AS whisker_lo,
          round(max(CASE WHEN v <= q3 + 1.5e0 * (q3 - q1) THEN v END), 6) AS whisker_hi,
-         count_if(v < q1 - 1.5e0 * (q3 - q1) OR v > q3 + 1.5e0 * (q3 - q1)) AS n_outliers
+         CAST(count_if(v < q1 - 1.5e0 * (q3 - q1) OR v > q3 + 1.5e0 * (q3 - q1)) AS BIGINT) AS n_outliers
   FROM {src} JOIN q {join} {by}"""
 
 
@@ -475,7 +475,7 @@ CTE["inf"] = """SELECT *, t_slope * t_slope AS f_stat, -2.0e0 * llf + 4.0e0 AS a
   FROM inf2"""
 Q["ols_inference"] = with_(FIT + ["inf0", "inf1", "inf2", "inf"], f"""SELECT {KEYS}, n, df_resid,
   {r6('slope', 'intercept', 'se_slope', 'se_intercept', 't_slope', 't_intercept', 'r2', 'adj_r2', 'f_stat', 'llf', 'aic', 'bic')},
-  round(cond_no, 4) AS cond_no FROM inf""")
+  round(cond_no, 6) AS cond_no FROM inf""")
 Q["regression_metrics"] = with_(FV, "SELECT * REPLACE (" + r6("rmse", "mae", "r2") + ") FROM (" + metrics_sql("fv", KEYS) + ")")
 _bm = metrics_sql("(SELECT *, avg(y) OVER (PARTITION BY " + KEYS + ") AS y_hat FROM pts)", KEYS)
 CTE["bcomp"] = f"SELECT *, 'LinearRegression' AS model FROM ({metrics_sql('fv', KEYS)}) UNION ALL " \
@@ -488,8 +488,8 @@ Q["model_comparison_view"] = with_(FV + ["bcomp"], f"""SELECT {KEYS},
   FROM bcomp WHERE model IN ('LinearRegression', 'MeanBaseline')""")
 Q["temporal_split"] = with_(SPLIT, f"SELECT {KEYS}, x, rn, n, n_test, is_test FROM split")
 Q["ts_cv_folds"] = with_(FOLDS, f"SELECT {KEYS}, x, rn, fold, role FROM folds")
-Q["ridge_grid_cv"] = with_(CV, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 6) AS cv_mse, n_folds FROM cv")
-Q["ridge_grid_best"] = with_(BEST, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 6) AS cv_mse FROM best")
+Q["ridge_grid_cv"] = with_(CV, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse, n_folds FROM cv")
+Q["ridge_grid_best"] = with_(BEST, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse FROM best")
 Q["ridge_fit"] = with_(HOLD, f"""SELECT {KEYS}, round(alpha, 6) AS alpha, degree, n_fit,
   {r6('mx', 'sx', 'b0', 'w1', 'w2')} FROM ho_coef""")
 Q["ridge_holdout_metrics"] = with_(HOLD, "SELECT * REPLACE (" + r6("rmse", "mae", "r2") + ") FROM (" +
@@ -590,7 +590,7 @@ Q["residual_kde"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, m
   SELECT {KEYS}, g, round(lo + (hi - lo) * g / 199.0e0, 6) AS gx,
     round(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h)))
           / (n * h * {dbl(2.5066282746310002)}), 6) AS density
-  FROM gr JOIN tres USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h""".replace(", st AS", "st AS", 1)).replace("\nst AS", ",\nst AS", 1)
+  FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h""".replace(", st AS", "st AS", 1)).replace("\nst AS", ",\nst AS", 1)
 Q["pred_vs_actual"] = with_(TRES, f"""SELECT {KEYS}, x, round(y, 6) AS actual, round(y_hat, 6) AS predicted, round(resid, 6) AS resid,
   round(least(min(y) OVER w, min(y_hat) OVER w), 6) AS lim_lo, round(greatest(max(y) OVER w, max(y_hat) OVER w), 6) AS lim_hi
   FROM tres WINDOW w AS (PARTITION BY {KEYS})""")

@@ -21,6 +21,7 @@ from furrow.operators import profile as PR
 from furrow.operators import ridge as RG
 from furrow.operators import series as S
 from furrow.operators import trend as TR
+from furrow.operators.common import materialize
 from furrow.sources.adapters import SERIES_KEYS, obs_long, obs_raw
 from furrow.sources.tables import read_table
 
@@ -31,15 +32,17 @@ PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 PIVOT_STATS = ["YIELD", "AREA PLANTED", "AREA HARVESTED", "PRODUCTION"]
 
 
-def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (stable value comparison across engines)."""
-    return df.select(*[rounded(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+def finalize(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
+    """Round every double column (stable value comparison across engines);
+    ``overrides`` gives coarser digits for large sums of squares."""
+    overrides = overrides or {}
+    return df.select(*[rounded(F.col(f.name), overrides.get(f.name, digits)).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
-def query(name: str):
+def query(name: str, digits: dict | None = None):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: finalize(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: finalize(fn(spark, sf_dir), overrides=digits)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
@@ -47,16 +50,28 @@ def query(name: str):
 
 # ---- shared inputs ------------------------------------------------------------
 
-def _clean(spark, sf):
-    return C.clean_observations(obs_raw(spark, sf), class_values=PART_TYPES)
+def _raw(spark, sf):
+    """Line-grain raw table written once for queries that pass over it
+    several times (instead of repeating the four-table join per pass)."""
+    return materialize(obs_raw(spark, sf), "obs-raw")
+
+
+def _clean(spark, sf, raw=None):
+    raw = raw if raw is not None else obs_raw(spark, sf)
+    return C.clean_observations(raw, class_values=PART_TYPES)
+
+
+def _long(spark, sf):
+    """The long table written once per query that reads it several times."""
+    return materialize(obs_long(spark, sf), "obs-long")
 
 
 def _yield_rows(spark, sf):
-    return C.winsorize(C.add_series_flags(C.filter_statistic(obs_long(spark, sf))), "VALUE")
+    return C.winsorize(C.add_series_flags(C.filter_statistic(_long(spark, sf))), "VALUE")
 
 
 def _points(spark, sf):
-    return S.series_points(obs_long(spark, sf), K)
+    return materialize(S.series_points(_long(spark, sf), K), "series-points")
 
 
 def _best(spark, sf, pts=None):
@@ -177,12 +192,12 @@ def q_total_series(spark, sf):
 
 @query("median_by_location")
 def q_median_loc(spark, sf):
-    return PR.median_by_group(C.filter_statistic(obs_long(spark, sf)), "VALUE", "LOCATION_DESCRIPTION")
+    return PR.median_by_group(C.filter_statistic(_long(spark, sf)), "VALUE", "LOCATION_DESCRIPTION")
 
 
 @query("top_locations_by_median")
 def q_top_loc(spark, sf):
-    return PR.top_groups_by_median(obs_long(spark, sf), "VALUE", "LOCATION_DESCRIPTION", 12)
+    return PR.top_groups_by_median(_long(spark, sf), "VALUE", "LOCATION_DESCRIPTION", 12)
 
 
 @query("value_quantiles")
@@ -224,22 +239,26 @@ def q_duplicates(spark, sf):
 
 @query("processing_compare")
 def q_processing_compare(spark, sf):
-    return CMP.processing_compare(obs_raw(spark, sf), _clean(spark, sf))
+    raw = _raw(spark, sf)
+    return CMP.processing_compare(raw, _clean(spark, sf, raw))
 
 
 @query("cleaning_audit")
 def q_cleaning_audit(spark, sf):
-    return CMP.cleaning_audit(obs_raw(spark, sf), _clean(spark, sf))
+    raw = _raw(spark, sf)
+    return CMP.cleaning_audit(raw, _clean(spark, sf, raw))
 
 
 @query("dropped_rows")
 def q_dropped(spark, sf):
-    return CMP.dropped_rows(obs_raw(spark, sf), _clean(spark, sf))
+    raw = _raw(spark, sf)
+    return CMP.dropped_rows(raw, _clean(spark, sf, raw))
 
 
 @query("dropped_rows_sample")
 def q_dropped_sample(spark, sf):
-    return CMP.sample_rows(CMP.dropped_rows(obs_raw(spark, sf), _clean(spark, sf)), 50)
+    raw = _raw(spark, sf)
+    return CMP.sample_rows(CMP.dropped_rows(raw, _clean(spark, sf, raw)), 50)
 
 
 @query("histogram_30")
@@ -249,9 +268,10 @@ def q_hist30(spark, sf):
 
 @query("histogram_before_after")
 def q_hist_ba(spark, sf):
-    before = C.filter_statistic_regex(obs_raw(spark, sf)).select(
+    raw = _raw(spark, sf)
+    before = C.filter_statistic_regex(raw).select(
         F.lit("before").alias("stage"), nan_to_null(to_double("VALUE")).alias("v"))
-    after = _clean(spark, sf).select(F.lit("after").alias("stage"), F.col("VALUE_clipped").alias("v"))
+    after = _clean(spark, sf, raw).select(F.lit("after").alias("stage"), F.col("VALUE_clipped").alias("v"))
     return PR.histogram(before.unionByName(after), "v", 40, ["stage"])
 
 
@@ -262,7 +282,7 @@ def q_box(spark, sf):
 
 @query("box_stats_top12")
 def q_box_top12(spark, sf):
-    ol = obs_long(spark, sf)
+    ol = _long(spark, sf)
     rows = PR.rows_of_top_groups(ol, "VALUE", "LOCATION_DESCRIPTION", 12)
     return PR.box_stats(rows, "VALUE", ["LOCATION_DESCRIPTION"])
 
@@ -284,7 +304,7 @@ def q_factorize(spark, sf):
 
 @query("standard_scale")
 def q_scale(spark, sf):
-    d = C.standard_scale(C.filter_statistic(obs_long(spark, sf)), ["YEAR", "VALUE"])
+    d = C.standard_scale(C.filter_statistic(_long(spark, sf)), ["YEAR", "VALUE"])
     return d.select("YEAR", "MONTH", *K, "VALUE", "YEAR_scaled", "VALUE_scaled")
 
 
@@ -305,11 +325,8 @@ def q_winsor(spark, sf):
 
 @query("winsorize_by_location")
 def q_winsor_loc(spark, sf):
-    d = C.filter_statistic(obs_long(spark, sf)).select("YEAR", "MONTH", *K, "VALUE")
-    loc = ["LOCATION_DESCRIPTION"]
-    d = C.winsorize(d, "VALUE", loc)
-    d = C.iqr_flag(d, "VALUE", loc)
-    return C.zscore(d, "VALUE", loc)
+    d = C.filter_statistic(_long(spark, sf)).select("YEAR", "MONTH", *K, "VALUE")
+    return C.outlier_columns(d, "VALUE", ["LOCATION_DESCRIPTION"])
 
 
 @query("normalize_units")
@@ -332,7 +349,7 @@ def q_impute(spark, sf):
 
 @query("replace_group_outliers")
 def q_replace_outliers(spark, sf):
-    d = C.filter_statistic(obs_long(spark, sf)).select("YEAR", "MONTH", *K, "VALUE")
+    d = C.filter_statistic(_long(spark, sf)).select("YEAR", "MONTH", *K, "VALUE")
     return C.replace_group_outliers(d, "VALUE", "LOCATION_DESCRIPTION", 3.0, out="VALUE_replaced")
 
 
@@ -401,12 +418,12 @@ def q_folds(spark, sf):
     return RG.cv_folds(_points(spark, sf), K).select(*K, "x", "rn", "fold", "role")
 
 
-@query("ridge_grid_cv")
+@query("ridge_grid_cv", {"cv_mse": 2})
 def q_grid(spark, sf):
     return RG.ridge_grid_cv(_points(spark, sf), K, spark).select(*K, "alpha", "degree", "cv_mse", "n_folds")
 
 
-@query("ridge_grid_best")
+@query("ridge_grid_best", {"cv_mse": 2})
 def q_best(spark, sf):
     return _best(spark, sf)
 

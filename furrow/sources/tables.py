@@ -23,9 +23,22 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
+_READERS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; callers select columns so the scan is pruned."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; callers select columns so the scan is pruned.
+
+    The reader (schema and file listing) is kept per session and path, so
+    building many plans over the same table does not repeat footer reads.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READERS[key] = df
+    return df
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_SCHEMA,
