@@ -52,16 +52,17 @@ def newey_west(points: DataFrame, keys: Sequence[str], maxlags: int = HAC_LAGS,
     g = r.groupBy(*keys).agg(s00.alias("_s00"), s01.alias("_s01"), s11.alias("_s11"))
     g = attach(g, fit.select(*keys, "n", "sxx", "x_mean", "slope", "intercept"), keys)
     n, sxx, xm = F.col("n").cast("double"), F.col("sxx"), F.col("x_mean")
-    v00 = F.col("_s00") / (n * n)
-    v01 = F.col("_s01") / (n * sxx)
-    v11 = F.col("_s11") / (sxx * sxx)
+    dv = F.try_divide
+    v00 = dv(F.col("_s00"), n * n)
+    v01 = dv(F.col("_s01"), n * sxx)
+    v11 = dv(F.col("_s11"), sxx * sxx)
     g = g.withColumns({
         "hac_se_slope": F.sqrt(v11),
         "hac_se_intercept": F.sqrt(v00 - 2 * xm * v01 + xm * xm * v11),
     })
     g = g.withColumns({
-        "hac_t_slope": F.col("slope") / F.col("hac_se_slope"),
-        "hac_t_intercept": F.col("intercept") / F.col("hac_se_intercept"),
+        "hac_t_slope": F.try_divide(F.col("slope"), F.col("hac_se_slope")),
+        "hac_t_intercept": F.try_divide(F.col("intercept"), F.col("hac_se_intercept")),
     })
     g = g.withColumn("hac_f", F.col("hac_t_slope") * F.col("hac_t_slope"))
     return g.select(*keys, "n", "slope", "intercept", "hac_se_slope", "hac_se_intercept",
@@ -72,7 +73,7 @@ def durbin_watson(resid: DataFrame, keys: Sequence[str], x: str = "x", e: str =
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(x)
     d = resid.withColumn("_d", F.col(e) - F.lag(e, 1).over(w))
-    return d.groupBy(*keys).agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(e) * F.col(e))).alias("dw"))
+    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col(e) * F.col(e))).alias("dw"))
 
 
 def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
@@ -89,7 +90,7 @@ def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
     lags = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(nlags + 1)]))
     long = g.select(*keys, "n", "s0", lags.alias("_l")).select(
         *keys, "n", F.col("_l.lag").alias("lag"), F.coalesce(F.col("_l.s"), F.lit(0.0)).alias("_s"), "s0")
-    long = long.withColumn("acf", F.col("_s") / F.col("s0"))
+    long = long.withColumn("acf", F.try_divide(F.col("_s"), F.col("s0")))
     wl = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.coalesce(F.sum(F.when(F.col("lag") >= 1, F.col("acf") * F.col("acf"))).over(wl), F.lit(0.0))
     band = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(
@@ -120,8 +121,9 @@ def normality_tests(resid: DataFrame, keys: Sequence[str], e: str = "resid") ->
     g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("m2"),
                              F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
     n = F.col("n").cast("double")
-    g = g.withColumns({"skew": F.col("m3") / F.pow(F.col("m2"), 1.5),
-                       "kurtosis": F.col("m4") / (F.col("m2") * F.col("m2"))})
+    g = g.where(F.col("n") >= 4).withColumns({
+        "skew": F.try_divide(F.col("m3"), F.pow(F.col("m2"), 1.5)),
+        "kurtosis": F.try_divide(F.col("m4"), F.col("m2") * F.col("m2"))})
     s, k = F.col("skew"), F.col("kurtosis")
     jb = n / 6 * (s * s + (k - 3) * (k - 3) / 4)
     # skewness test (D'Agostino 1970)
@@ -154,12 +156,13 @@ def residual_kde(resid: DataFrame, keys: Sequence[str], e: str = "resid", points
     keys = list(keys)
     st = resid.groupBy(*keys).agg(F.count(e).alias("n"), F.min(e).alias("lo"), F.max(e).alias("hi"),
                                   F.stddev_samp(e).alias("sd"))
-    st = st.where(F.col("n") >= 2).withColumn("h", F.pow(F.col("n").cast("double"), -0.2) * F.col("sd"))
+    st = st.where((F.col("n") >= 2) & (F.col("sd") > 0)) \
+           .withColumn("h", F.pow(F.col("n").cast("double"), -0.2) * F.col("sd"))
     grid = st.select(*keys, "n", "h", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
     grid = grid.withColumn("gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / F.lit(points - 1.0))
     pairs = attach(grid, resid.select(*keys, F.col(e).alias("_e")), keys)
-    u = (F.col("gx") - F.col("_e")) / F.col("h")
-    dens = F.sum(F.exp(-0.5 * u * u)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    u = F.try_divide(F.col("gx") - F.col("_e"), F.col("h"))
+    dens = F.try_divide(F.sum(F.exp(-0.5 * u * u)), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
     return pairs.groupBy(*keys, "g", "gx", "n", "h").agg(dens.alias("density")).select(*keys, "g", "gx", "density")
 
 

@@ -34,7 +34,7 @@ def ols_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
     slope = F.col("sxy") / F.when(F.col("sxx") != 0, F.col("sxx"))
     g = g.withColumn("slope", slope).withColumn("intercept", F.col("y_mean") - F.col("slope") * F.col("x_mean"))
     g = g.withColumn("ssr", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
-    return g.withColumn("r2", F.when(F.col("syy") != 0, F.lit(1.0) - F.col("ssr") / F.col("syy")))
+    return g.withColumn("r2", F.when(F.col("syy") != 0, F.lit(1.0) - F.try_divide(F.col("ssr"), F.col("syy"))))
 
 
 def fitted_values(points: DataFrame, fit: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -44,35 +44,34 @@ def fitted_values(points: DataFrame, fit: DataFrame, keys: Sequence[str], x: str
 
 
 def ols_inference(fit: DataFrame) -> DataFrame:
-    """statsmodels-style summary numbers from the per-series sums."""
+    """statsmodels-style summary numbers from the per-series sums. Undefined
+    quantities (too few points, zero spread) are null, never an error."""
+    dv = F.try_divide
     n, sxx, xm = F.col("n").cast("double"), F.col("sxx"), F.col("x_mean")
     dfr = n - 2
-    s2 = F.when(dfr > 0, F.col("ssr") / dfr)
+    s2 = F.when(dfr > 0, dv(F.col("ssr"), dfr))
     out = fit.withColumns({"df_resid": (F.col("n") - 2).cast("int"), "s2": s2})
     out = out.withColumns({
-        "se_slope": F.sqrt(F.col("s2") / sxx),
-        "se_intercept": F.sqrt(F.col("s2") * (F.lit(1.0) / n + xm * xm / sxx)),
+        "se_slope": F.sqrt(dv(F.col("s2"), sxx)),
+        "se_intercept": F.sqrt(F.col("s2") * (dv(F.lit(1.0), n) + dv(xm * xm, sxx))),
     })
     out = out.withColumns({
-        "t_slope": F.col("slope") / F.col("se_slope"),
-        "t_intercept": F.col("intercept") / F.col("se_intercept"),
-        "adj_r2": F.lit(1.0) - (F.lit(1.0) - F.col("r2")) * (n - 1) / dfr,
-        "llf": -n / 2 * (F.lit(math.log(2 * math.pi)) + F.log(F.col("ssr") / n) + F.lit(1.0)),
+        "t_slope": dv(F.col("slope"), F.col("se_slope")),
+        "t_intercept": dv(F.col("intercept"), F.col("se_intercept")),
+        "adj_r2": F.lit(1.0) - dv((F.lit(1.0) - F.col("r2")) * (n - 1), dfr),
+        "llf": -n / 2 * (F.lit(math.log(2 * math.pi)) + F.log(dv(F.col("ssr"), n)) + F.lit(1.0)),
     })
     # condition number of [1, x]: sqrt(lmax/lmin) of X'X, lmin = det/lmax
-    sx = n * xm
     sxx_raw = sxx + n * xm * xm
     tr = n + sxx_raw
     det = n * sxx
     lmax = (tr + F.sqrt(F.greatest(tr * tr - 4 * det, F.lit(0.0)))) / 2
-    out = out.withColumns({
+    return out.withColumns({
         "f_stat": F.col("t_slope") * F.col("t_slope"),
         "aic": F.lit(-2.0) * F.col("llf") + F.lit(4.0),
         "bic": F.lit(-2.0) * F.col("llf") + F.lit(2.0) * F.log(n),
-        "cond_no": F.sqrt(lmax / (det / lmax)),
+        "cond_no": F.sqrt(dv(lmax, dv(det, lmax))),
     })
-    _ = sx
-    return out
 
 
 def regression_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
@@ -84,7 +83,7 @@ def regression_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.sum(e * e).alias("_sse"), F.sum((F.col(y) - F.col("_ym")) ** 2).alias("_sst"))
-    return g.withColumn("r2", F.when(F.col("_sst") != 0, F.lit(1.0) - F.col("_sse") / F.col("_sst"))) \
+    return g.withColumn("r2", F.when(F.col("_sst") != 0, F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst")))) \
             .drop("_sse", "_sst")
 
 

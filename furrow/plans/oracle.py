@@ -566,7 +566,7 @@ Q["residual_qq"] = with_(FV, f"""SELECT {KEYS}, CAST(i AS INTEGER) AS i, round(s
          count(*) OVER (PARTITION BY {KEYS}) AS n, avg(resid) OVER (PARTITION BY {KEYS}) AS m,
          stddev_pop(resid) OVER (PARTITION BY {KEYS}) AS sd FROM fv)""")
 CTE["nm0"] = f"""SELECT {KEYS}, count(*) AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM (
-  SELECT {KEYS}, resid - avg(resid) OVER (PARTITION BY {KEYS}) AS d FROM fv) GROUP BY {KEYS}"""
+  SELECT {KEYS}, resid - avg(resid) OVER (PARTITION BY {KEYS}) AS d FROM fv) GROUP BY {KEYS} HAVING count(*) >= 4"""
 CTE["nm1"] = """SELECT *, m3 / pow(m2, 1.5e0) AS skew, m4 / (m2 * m2) AS kurtosis, CAST(n AS DOUBLE) AS nd FROM nm0"""
 CTE["nm2"] = """SELECT *, nd / 6 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4) AS jb,
     skew * sqrt((nd + 1) * (nd + 3) / (6.0e0 * (nd - 2))) AS y0,
@@ -585,7 +585,7 @@ Q["normality_tests"] = with_(FV + ["nm0", "nm1", "nm2", "nm3", "nm4", "nm5"], f"
   round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(jb, 6) AS jarque_bera, round(exp(-jb / 2), 6) AS jb_pvalue,
   round(zs * zs + zk * zk, 6) AS omnibus, round(exp(-(zs * zs + zk * zk) / 2), 6) AS omnibus_pvalue FROM nm5""")
 Q["residual_kde"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, min(resid) AS lo, max(resid) AS hi,
-         stddev_samp(resid) AS sd FROM tres GROUP BY {KEYS} HAVING count(resid) >= 2),
+         stddev_samp(resid) AS sd FROM tres GROUP BY {KEYS} HAVING count(resid) >= 2 AND stddev_samp(resid) > 0),
   gr AS (SELECT st.*, pow(CAST(n AS DOUBLE), -0.2e0) * sd AS h, CAST(g.range AS INTEGER) AS g FROM st, range(0, 200) g)
   SELECT {KEYS}, g, round(lo + (hi - lo) * g / 199.0e0, 6) AS gx,
     round(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h)))
