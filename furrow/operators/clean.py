@@ -98,15 +98,18 @@ def coerce_numeric(df: DataFrame, year_col: str = "YEAR", value_col: str = "VALU
 
 
 def finite_pairs(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), min_points: int = 2) -> DataFrame:
-    """Rows with finite x and y, in groups that keep at least ``min_points``."""
+    """Rows with finite x and y, in groups that keep at least ``min_points``.
+
+    Group sizes come from a partial aggregate and are applied with a semi
+    join (a hot group is never gathered into one window task; AQE splits a
+    skewed join partition)."""
     from furrow.functions.columns import is_finite
     keys = list(keys)
     ok = df.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double")))
-    w = Window.partitionBy(*keys) if keys else None
-    if w is None:
-        cnt = ok.agg(F.count(F.lit(1)).alias("_n"))
-        return attach(ok, cnt).where(F.col("_n") >= min_points).drop("_n")
-    return ok.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= min_points).drop("_n")
+    cnt = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
+    if not keys:
+        return attach(ok, cnt.select(F.lit(True).alias("_keep"))).drop("_keep")
+    return attach(ok, cnt.select(*keys), keys, how="left_semi")
 
 
 # ---- flags ----------------------------------------------------------------------
