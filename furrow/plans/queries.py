@@ -75,8 +75,10 @@ def _points(spark, sf):
 
 
 def _best(spark, sf, pts=None):
+    """Chosen (alpha, degree) per series, written once (one row per series)
+    so later fits read it instead of re-planning the grid search."""
     pts = pts if pts is not None else _points(spark, sf)
-    return RG.ridge_grid_best(RG.ridge_grid_cv(pts, K, spark), K)
+    return materialize(RG.ridge_grid_best(RG.ridge_grid_cv(pts, K, spark), K), "ridge-best")
 
 
 def _holdout(spark, sf):
@@ -425,7 +427,7 @@ def q_grid(spark, sf):
 
 @query("ridge_grid_best", {"cv_mse": 2})
 def q_best(spark, sf):
-    return _best(spark, sf)
+    return RG.ridge_grid_best(RG.ridge_grid_cv(_points(spark, sf), K, spark), K)
 
 
 @query("ridge_fit")
