@@ -221,6 +221,8 @@ def metrics_sql(src: str, grp: str) -> str:
 
 
 def with_(names: list[str], body: str) -> str:
+    """WITH clause of the named shared CTEs followed by ``body``; a body may
+    continue the list with its own ``, name AS (...)`` entries."""
     seen, ordered = set(), []
     for n in names:
         if n not in seen:
@@ -278,7 +280,7 @@ Q["total_series"] = with_(YIELD, """, t AS (SELECT *, coalesce(is_us_total AND i
   SELECT YEAR, MONTH, round(avg(VALUE), 6) AS VALUE, round(avg(VALUE_clipped), 6) AS VALUE_clipped
   FROM t, a WHERE fl OR (NOT anyf AND coalesce(upper(LOCATION_DESCRIPTION) = 'U.S. TOTAL', false)
                          AND coalesce(upper(CLASS_DESCRIPTION) = 'ALL CLASSES', false))
-  GROUP BY YEAR, MONTH""".replace(", t AS", "t AS", 1)).replace("\nt AS", ",\nt AS", 1)
+  GROUP BY YEAR, MONTH""")
 Q["median_by_location"] = with_(YIELD, """SELECT LOCATION_DESCRIPTION, round(quantile_cont(VALUE, 0.5), 6) AS median
   FROM yl WHERE VALUE IS NOT NULL GROUP BY 1""")
 Q["top_locations_by_median"] = with_(LONG, """SELECT LOCATION_DESCRIPTION, round(median, 6) AS median,
@@ -296,14 +298,14 @@ Q["describe_numeric"] = with_(["obs_raw"], f""", lg AS ({_lg}),
                min(value) AS min, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
                quantile_cont(value, 0.75) AS p75, max(value) AS max FROM lg GROUP BY 1)
   SELECT "column", stat, round(value, 6) AS value FROM s
-  UNPIVOT (value FOR stat IN (count, mean, std, min, p25, p50, p75, max))""".replace(", lg AS", "lg AS", 1)).replace("\nlg AS", ",\nlg AS", 1)
+  UNPIVOT (value FOR stat IN (count, mean, std, min, p25, p50, p75, max))""")
 _str = ["TABLE_NAME", "COMMODITY_DESCRIPTION", "CLASS_DESCRIPTION", "REFERENCE_PERIOD_DESCRIPTION",
         "LOCATION_DESCRIPTION", "STATISTIC_DESCRIPTION", "VALUE", "UNIT_DESCRIPTION"]
 _ls = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM obs_raw" for c in _str)
 CTE["ls"] = _ls
 Q["describe_string"] = with_(["obs_raw", "ls"], """, vc AS (SELECT "column", value, count(*) AS cnt FROM ls WHERE value IS NOT NULL GROUP BY 1, 2)
   SELECT "column", CAST(sum(cnt) AS BIGINT) AS count, count(*) AS "unique",
-         arg_min(value, (-cnt, value)) AS top, max(cnt) AS freq FROM vc GROUP BY 1""".replace(", vc AS", "vc AS", 1)).replace("\nvc AS", ",\nvc AS", 1)
+         arg_min(value, (-cnt, value)) AS top, max(cnt) AS freq FROM vc GROUP BY 1""")
 _types = {"TABLE_NUMBER": "int", "YEAR": "int", "MONTH": "int"}
 Q["table_profile"] = with_(["obs_raw"], "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS \"column\", '{_types.get(c, 'string')}' AS dtype, count({c}) AS non_null, "
@@ -335,7 +337,7 @@ Q["processing_compare"] = with_(CLEAN + ["dropped"], f""", o AS (SELECT count(*)
   j AS (SELECT *, orig_rows - clean_rows AS rows_removed FROM o, od, cc, cd, dr)
   SELECT metric, CAST(value AS BIGINT) AS value FROM j UNPIVOT (value FOR metric IN (orig_rows, orig_cols,
     orig_missing_total, orig_duplicates, clean_rows, clean_cols, clean_missing_total, clean_duplicates,
-    rows_removed, dropped_rows_by_merge))""".replace(", o AS", "o AS", 1)).replace("\no AS", ",\no AS", 1)
+    rows_removed, dropped_rows_by_merge))""")
 _s1 = STAT_OK
 _s2 = f"{_s1} AND {UNIT_OK}"
 _s3 = f"{_s2} AND YEAR IS NOT NULL AND VALUE IS NOT NULL"
@@ -347,7 +349,7 @@ Q["cleaning_audit"] = with_(CLEAN, f""", s AS (SELECT count(*) AS raw_rows, coun
   o AS (SELECT count_if(is_outlier_iqr) AS iqr_outliers, count_if(abs(value_zscore) > 3) AS zscore_outliers FROM obs_clean)
   SELECT * FROM (""" + " UNION ALL ".join(
     f"SELECT {i} AS step_no, '{m}' AS step, CAST({m} AS BIGINT) AS value FROM s, o" for i, m in enumerate(_steps)) + ")"
-).replace(", s AS", "s AS", 1).replace("\ns AS", ",\ns AS", 1)
+)
 Q["dropped_rows"] = with_(CLEAN + ["dropped"], "SELECT * FROM dropped")
 Q["dropped_rows_sample"] = with_(CLEAN + ["dropped"], f"SELECT * FROM dropped ORDER BY {ORDER_RAW} LIMIT 50")
 
@@ -361,7 +363,7 @@ def hist_sql(src: str, bins: int, grp: str | None = None) -> str:
                   ELSE 1 END AS bin FROM {src} JOIN rng {join}),
   cnt AS (SELECT {g}bin, count(*) AS count FROM b GROUP BY ALL),
   allb AS (SELECT {g}lo, hi, CAST(r.range AS INTEGER) AS bin FROM rng, range(1, {bins + 1}) r)
-  SELECT {g}allb.bin, round(lo + (hi - lo) * (allb.bin - 1) / {bins}.0e0, 6) AS bin_lo,
+  SELECT {('allb.' + grp + ', ') if grp else ''}allb.bin, round(lo + (hi - lo) * (allb.bin - 1) / {bins}.0e0, 6) AS bin_lo,
          round(lo + (hi - lo) * allb.bin / {bins}.0e0, 6) AS bin_hi, CAST(coalesce(cnt.count, 0) AS BIGINT) AS count
   FROM allb LEFT JOIN cnt ON allb.bin = cnt.bin{(' AND allb.' + grp + ' = cnt.' + grp) if grp else ''}"""
 
@@ -372,8 +374,8 @@ Q["histogram_before_after"] = with_(CLEAN, f""", v0 AS (
   SELECT 'before' AS stage, {to_double('VALUE')} AS v FROM obs_raw WHERE coalesce(regexp_matches(STATISTIC_DESCRIPTION, 'YIELD'), false)
   UNION ALL SELECT 'after' AS stage, VALUE_clipped AS v FROM obs_clean),
   v1 AS (SELECT * FROM v0 WHERE v IS NOT NULL AND NOT isnan(v)),
-  """.replace(", v0 AS", "v0 AS", 1) + hist_sql("v1", 40, "stage").replace("SELECT stage, allb.bin", "SELECT allb.stage, allb.bin")
-).replace("\nv0 AS", ",\nv0 AS", 1)
+  """ + hist_sql("v1", 40, "stage")
+)
 
 
 def box_sql(src: str, grp: str | None = None) -> str:
@@ -393,7 +395,7 @@ Q["box_stats_top12"] = with_(LONG, """, med AS (SELECT LOCATION_DESCRIPTION, qua
   top AS (SELECT LOCATION_DESCRIPTION FROM med WHERE m IS NOT NULL ORDER BY m DESC, LOCATION_DESCRIPTION LIMIT 12),
   v0 AS (SELECT LOCATION_DESCRIPTION, VALUE AS v FROM obs_long WHERE LOCATION_DESCRIPTION IN (SELECT * FROM top)
          AND VALUE IS NOT NULL AND NOT isnan(VALUE)),
-  """.replace(", med AS", "med AS", 1) + box_sql("v0", "LOCATION_DESCRIPTION")).replace("\nmed AS", ",\nmed AS", 1)
+  """ + box_sql("v0", "LOCATION_DESCRIPTION"))
 
 # ---- features ------------------------------------------------------------------------------
 Q["one_hot_class"] = with_(["obs_raw"], "SELECT TABLE_NUMBER, YEAR, MONTH, LOCATION_DESCRIPTION, CLASS_DESCRIPTION, " +
@@ -403,12 +405,12 @@ Q["factorize_location"] = with_(["obs_raw"], """, f AS (SELECT LOCATION_DESCRIPT
   c AS (SELECT LOCATION_DESCRIPTION, CAST(row_number() OVER (ORDER BY f, LOCATION_DESCRIPTION) - 1 AS INTEGER) AS LOCATION_CODE FROM f)
   SELECT r.LOCATION_DESCRIPTION, c.LOCATION_CODE, count(*) AS "rows"
   FROM obs_raw r LEFT JOIN c ON r.LOCATION_DESCRIPTION IS NOT DISTINCT FROM c.LOCATION_DESCRIPTION GROUP BY 1, 2
-""".replace(", f AS", "f AS", 1)).replace("\nf AS", ",\nf AS", 1)
+""")
 Q["standard_scale"] = with_(YIELD, f""", s AS (SELECT avg(YEAR) AS my, stddev_pop(YEAR) AS sy, avg(VALUE) AS mv, stddev_pop(VALUE) AS sv FROM yl)
   SELECT YEAR, MONTH, {KEYS}, round(VALUE, 6) AS VALUE,
     round((YEAR - my) / CASE WHEN sy IS NULL OR sy = 0 THEN 1.0e0 ELSE sy END, 6) AS YEAR_scaled,
     round((VALUE - mv) / CASE WHEN sv IS NULL OR sv = 0 THEN 1.0e0 ELSE sv END, 6) AS VALUE_scaled FROM yl, s
-""".replace(", s AS", "s AS", 1)).replace("\ns AS", ",\ns AS", 1)
+""")
 Q["iqr_outliers"] = """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
   SELECT event_id, round(value, 6) AS value,
          coalesce(value < q1 - 1.5e0 * (q3 - q1) OR value > q3 + 1.5e0 * (q3 - q1), false) AS is_outlier_iqr FROM events, q"""
@@ -427,7 +429,7 @@ Q["winsorize_by_location"] = with_(YIELD, f""", d AS (SELECT YEAR, MONTH, {KEYS}
     coalesce(VALUE < q1 - 1.5e0 * (q3 - q1) OR VALUE > q3 + 1.5e0 * (q3 - q1), false) AS is_outlier_iqr,
     round(CASE WHEN sd <> 0 THEN (VALUE - m) / sd END, 6) AS value_zscore,
     coalesce(abs(CASE WHEN sd <> 0 THEN (VALUE - m) / sd END) > 3.0e0, false) AS is_outlier_z
-  FROM d LEFT JOIN s USING (LOCATION_DESCRIPTION)""".replace(", d AS", "d AS", 1)).replace("\nd AS", ",\nd AS", 1)
+  FROM d LEFT JOIN s USING (LOCATION_DESCRIPTION)""")
 Q["normalize_units"] = with_(LONG, f"""SELECT STATISTIC_DESCRIPTION, YEAR, MONTH, {KEYS},
   round(VALUE * CASE upper(trim(UNIT_DESCRIPTION)) WHEN 'THOUSAND ACRES' THEN 1000.0e0 WHEN 'THOUSAND CWT' THEN 100000.0e0 ELSE 1.0e0 END, 6) AS VALUE,
   CASE upper(trim(UNIT_DESCRIPTION)) WHEN 'THOUSAND ACRES' THEN 'ACRES' WHEN 'THOUSAND CWT' THEN 'POUNDS' ELSE UNIT_DESCRIPTION END AS UNIT_DESCRIPTION
@@ -441,15 +443,14 @@ Q["impute_group_median"] = with_(["obs_raw", "raw_stat"], f""", d AS (SELECT TAB
          {to_double('VALUE')} AS VALUE FROM raw_stat),
   g AS (SELECT LOCATION_DESCRIPTION, quantile_cont(VALUE, 0.5) AS gm FROM d GROUP BY 1),
   o AS (SELECT quantile_cont(VALUE, 0.5) AS om FROM d)
-  SELECT TABLE_NUMBER, YEAR, MONTH, {KEYS}, round(VALUE, 6) AS VALUE, round(coalesce(VALUE, gm, om), 6) AS VALUE_imputed
-  FROM d LEFT JOIN g ON d.LOCATION_DESCRIPTION IS NOT DISTINCT FROM g.LOCATION_DESCRIPTION, o
-""".replace(", d AS", "d AS", 1).replace(f"SELECT TABLE_NUMBER, YEAR, MONTH, {KEYS}, round", f"SELECT TABLE_NUMBER, YEAR, MONTH, d.LOCATION_DESCRIPTION, CLASS_DESCRIPTION, round")
-).replace("\nd AS", ",\nd AS", 1)
+  SELECT TABLE_NUMBER, YEAR, MONTH, d.LOCATION_DESCRIPTION, CLASS_DESCRIPTION, round(VALUE, 6) AS VALUE,
+         round(coalesce(VALUE, gm, om), 6) AS VALUE_imputed
+  FROM d LEFT JOIN g ON d.LOCATION_DESCRIPTION IS NOT DISTINCT FROM g.LOCATION_DESCRIPTION, o""")
 Q["replace_group_outliers"] = with_(YIELD, f""", d AS (SELECT YEAR, MONTH, {KEYS}, VALUE FROM yl),
   s AS (SELECT LOCATION_DESCRIPTION, avg(VALUE) AS m, stddev_samp(VALUE) AS sd, quantile_cont(VALUE, 0.5) AS med FROM d GROUP BY 1)
   SELECT YEAR, MONTH, {KEYS}, round(VALUE, 6) AS VALUE,
     round(CASE WHEN coalesce(abs(CASE WHEN sd <> 0 THEN (VALUE - m) / sd END) > 3.0e0, false) THEN med ELSE VALUE END, 6) AS VALUE_replaced
-  FROM d LEFT JOIN s USING (LOCATION_DESCRIPTION)""".replace(", d AS", "d AS", 1)).replace("\nd AS", ",\nd AS", 1)
+  FROM d LEFT JOIN s USING (LOCATION_DESCRIPTION)""")
 _dbl_clean = ["VALUE", "YEAR_scaled", "VALUE_scaled", "value_zscore", "VALUE_clipped"]
 Q["clean_observations"] = with_(CLEAN, f"SELECT * EXCLUDE (lc_loc) REPLACE ({r6(*_dbl_clean)}) FROM obs_clean"
                                 if False else f"SELECT * REPLACE ({r6(*_dbl_clean)}) FROM obs_clean")
@@ -458,7 +459,7 @@ Q["clean_minimal_by_period"] = with_(["obs_raw"], f""", m0 AS (SELECT YEAR, {to_
   q AS (SELECT quantile_cont(VALUE, 0.01) AS lo, quantile_cont(VALUE, 0.99) AS hi FROM m0)
   SELECT YEAR, round(avg(VALUE), 6) AS VALUE,
          round(avg(CASE WHEN VALUE IS NOT NULL THEN least(greatest(VALUE, lo), hi) END), 6) AS VALUE_clipped
-  FROM m0, q GROUP BY YEAR""".replace(", m0 AS", "m0 AS", 1)).replace("\nm0 AS", ",\nm0 AS", 1)
+  FROM m0, q GROUP BY YEAR""")
 
 # ---- trend, inference, metrics ---------------------------------------------------------------
 Q["trend_fit"] = with_(FIT, f"SELECT {KEYS}, n, {r6('slope', 'intercept', 'r2')} FROM fit")
@@ -590,7 +591,7 @@ Q["residual_kde"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, m
   SELECT {KEYS}, g, round(lo + (hi - lo) * g / 199.0e0, 6) AS gx,
     round(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h)))
           / (n * h * {dbl(2.5066282746310002)}), 6) AS density
-  FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h""".replace(", st AS", "st AS", 1)).replace("\nst AS", ",\nst AS", 1)
+  FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h""")
 Q["pred_vs_actual"] = with_(TRES, f"""SELECT {KEYS}, x, round(y, 6) AS actual, round(y_hat, 6) AS predicted, round(resid, 6) AS resid,
   round(least(min(y) OVER w, min(y_hat) OVER w), 6) AS lim_lo, round(greatest(max(y) OVER w, max(y_hat) OVER w), 6) AS lim_hi
   FROM tres WINDOW w AS (PARTITION BY {KEYS})""")
