@@ -42,10 +42,15 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def _frame_summary(df: DataFrame, prefix: str) -> DataFrame:
-    missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    base = df.agg(F.count(F.lit(1)).alias(f"{prefix}_rows"), missing.cast("long").alias(f"{prefix}_missing_total"))
-    dup = duplicate_count(df).select(F.col("duplicates").alias(f"{prefix}_duplicates"))
-    return base.crossJoin(dup).withColumn(f"{prefix}_cols", F.lit(len(df.columns)).cast("long"))
+    """rows, missing cells and duplicate rows from one grouped pass: identical
+    rows are combined map-side, and every count is weighted by group size."""
+    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
+    missing = sum((F.when(F.col(c).isNull(), n).otherwise(F.lit(0)) for c in df.columns), F.lit(0))
+    return g.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"{prefix}_rows"),
+                 F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias(f"{prefix}_missing_total"),
+                 F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias(f"{prefix}_duplicates")) \
+            .withColumn(f"{prefix}_cols", F.lit(len(df.columns)).cast("long"))
 
 
 def processing_compare(raw: DataFrame, clean: DataFrame) -> DataFrame:
