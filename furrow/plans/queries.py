@@ -119,12 +119,12 @@ def _events(spark, sf):
 @query("scan_obs_long")
 def q_scan(spark, sf):
     """The monthly long statistics table built from the driver tables."""
-    return obs_long(spark, sf)
+    return _long(spark, sf)
 
 
 @query("preview_rows")
 def q_preview(spark, sf):
-    return CMP.sample_rows(obs_raw(spark, sf), 50)
+    return CMP.sample_rows(_raw(spark, sf), 50)
 
 
 @query("canonical_columns")
@@ -139,38 +139,38 @@ def q_canonical(spark, sf):
 
 @query("filter_statistic")
 def q_filter_statistic(spark, sf):
-    return C.filter_statistic(obs_raw(spark, sf))
+    return C.filter_statistic(_raw(spark, sf))
 
 
 @query("filter_unit")
 def q_filter_unit(spark, sf):
-    return C.filter_unit(C.filter_statistic(obs_raw(spark, sf)))
+    return C.filter_unit(C.filter_statistic(_raw(spark, sf)))
 
 
 @query("filter_statistic_regex")
 def q_filter_regex(spark, sf):
-    return C.filter_statistic_regex(obs_raw(spark, sf))
+    return C.filter_statistic_regex(_raw(spark, sf))
 
 
 @query("drop_null_keys")
 def q_drop_null(spark, sf):
-    return C.drop_null_keys(obs_raw(spark, sf))
+    return C.drop_null_keys(_raw(spark, sf))
 
 
 @query("coerce_numeric")
 def q_coerce(spark, sf):
-    return C.coerce_numeric(C.filter_statistic(obs_raw(spark, sf)))
+    return C.coerce_numeric(C.filter_statistic(_raw(spark, sf)))
 
 
 @query("series_flags")
 def q_flags(spark, sf):
-    d = C.add_series_flags(obs_long(spark, sf), "exact")
+    d = C.add_series_flags(_long(spark, sf), "exact")
     return d.select("STATISTIC_DESCRIPTION", "YEAR", "MONTH", *K, "is_us_total", "is_all_classes")
 
 
 @query("series_flags_regex")
 def q_flags_regex(spark, sf):
-    d = C.add_series_flags(obs_long(spark, sf), "regex")
+    d = C.add_series_flags(_long(spark, sf), "regex")
     return d.select("STATISTIC_DESCRIPTION", "YEAR", "MONTH", *K, "is_us_total", "is_all_classes")
 
 
@@ -235,32 +235,32 @@ def q_quantiles(spark, sf):
 
 @query("describe_numeric")
 def q_describe_num(spark, sf):
-    return PR.describe_numeric(obs_raw(spark, sf))
+    return PR.describe_numeric(_raw(spark, sf))
 
 
 @query("describe_string")
 def q_describe_str(spark, sf):
-    return PR.describe_string(obs_raw(spark, sf))
+    return PR.describe_string(_raw(spark, sf))
 
 
 @query("table_profile")
 def q_table_profile(spark, sf):
-    return PR.table_profile(obs_raw(spark, sf))
+    return PR.table_profile(_raw(spark, sf))
 
 
 @query("value_counts_top20")
 def q_value_counts(spark, sf):
-    return PR.value_counts_top(obs_raw(spark, sf), k=20)
+    return PR.value_counts_top(_raw(spark, sf), k=20)
 
 
 @query("null_counts")
 def q_null_counts(spark, sf):
-    return PR.null_counts(C.filter_unit(C.filter_statistic(obs_raw(spark, sf))))
+    return PR.null_counts(C.filter_unit(C.filter_statistic(_raw(spark, sf))))
 
 
 @query("duplicate_rows")
 def q_duplicates(spark, sf):
-    return CMP.duplicate_count(obs_raw(spark, sf))
+    return CMP.duplicate_count(_raw(spark, sf))
 
 
 @query("processing_compare")
@@ -317,14 +317,14 @@ def q_box_top12(spark, sf):
 
 @query("one_hot_class")
 def q_one_hot(spark, sf):
-    d = C.one_hot(obs_raw(spark, sf), "CLASS_DESCRIPTION", "CLASS", PART_TYPES)
+    d = C.one_hot(_raw(spark, sf), "CLASS_DESCRIPTION", "CLASS", PART_TYPES)
     return d.select("TABLE_NUMBER", "YEAR", "MONTH", "LOCATION_DESCRIPTION", "CLASS_DESCRIPTION",
                     *[f"CLASS_{v}" for v in PART_TYPES])
 
 
 @query("factorize_location")
 def q_factorize(spark, sf):
-    d = C.factorize(obs_raw(spark, sf), "LOCATION_DESCRIPTION", "YEAR", "LOCATION_CODE")
+    d = C.factorize(_raw(spark, sf), "LOCATION_DESCRIPTION", "YEAR", "LOCATION_CODE")
     return d.groupBy("LOCATION_DESCRIPTION", "LOCATION_CODE").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -357,18 +357,18 @@ def q_winsor_loc(spark, sf):
 
 @query("normalize_units")
 def q_units(spark, sf):
-    return C.normalize_units(obs_long(spark, sf)).select(
+    return C.normalize_units(_long(spark, sf)).select(
         "STATISTIC_DESCRIPTION", "YEAR", "MONTH", *K, "VALUE", "UNIT_DESCRIPTION")
 
 
 @query("pivot_statistics")
 def q_pivot(spark, sf):
-    return C.pivot_statistics(obs_long(spark, sf), ["YEAR", "MONTH", *K], PIVOT_STATS)
+    return C.pivot_statistics(_long(spark, sf), ["YEAR", "MONTH", *K], PIVOT_STATS)
 
 
 @query("impute_group_median")
 def q_impute(spark, sf):
-    d = C.coerce_numeric(C.filter_statistic(obs_raw(spark, sf)))
+    d = C.coerce_numeric(C.filter_statistic(_raw(spark, sf)))
     d = d.select("TABLE_NUMBER", "YEAR", "MONTH", "LOCATION_DESCRIPTION", "CLASS_DESCRIPTION", "VALUE")
     return C.impute_group_median(d, "VALUE", "LOCATION_DESCRIPTION", out="VALUE_imputed")
 
@@ -386,7 +386,7 @@ def q_clean(spark, sf):
 
 @query("clean_minimal_by_period")
 def q_clean_minimal(spark, sf):
-    d = C.clean_minimal(obs_raw(spark, sf))
+    d = C.clean_minimal(_raw(spark, sf))
     return S.mean_by_period(d, ["YEAR"], ["VALUE", "VALUE_clipped"])
 
 
@@ -530,7 +530,7 @@ def q_pva(spark, sf):
 
 @query("scatter_pairs")
 def q_scatter(spark, sf):
-    p = C.pivot_statistics(obs_long(spark, sf), ["YEAR", "MONTH", *K], PIVOT_STATS)
+    p = C.pivot_statistics(_long(spark, sf), ["YEAR", "MONTH", *K], PIVOT_STATS)
     return PR.scatter_pairs(p)
 
 
@@ -556,5 +556,5 @@ def q_recent(spark, sf):
 @query("pooled_model_comparison")
 def q_pooled(spark, sf):
     from furrow.operators.pooled import pooled_model_comparison
-    p = C.pivot_statistics(obs_long(spark, sf), ["YEAR", "MONTH", "period_idx", *K], PIVOT_STATS)
+    p = C.pivot_statistics(_long(spark, sf), ["YEAR", "MONTH", "period_idx", *K], PIVOT_STATS)
     return pooled_model_comparison(p)

@@ -13,12 +13,12 @@ from furrow.sources.tables import RAW_SCHEMA, scan_csv
 from furrow.streaming import read_period_means, stream_period_sums
 
 ROWS = [
-    ("T, one", 1, "RICE", "ALL CLASSES", "2015", "CROP YEAR", "ARKANSAS", "YIELD", "7000", "POUNDS PER ACRE"),
-    ("T, one", 1, "RICE", "ALL CLASSES", "2015", "CROP YEAR", "ARKANSAS", "YIELD", "7200", "POUNDS PER ACRE"),
-    ("T, one", 1, "RICE", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", " yield ", "n/a", "POUNDS PER ACRE"),
-    ("T, two", 2, "RICE", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", "YIELD", " 6100.5 ", "POUNDS PER ACRE"),
-    ("T, two", 2, "RICE", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", "AREA PLANTED", "1065", "THOUSAND ACRES"),
-    ("T, two", 2, "RICE", "LONG GRAIN", None, "CROP YEAR", "LOUISIANA", "YIELD", "6000", "POUNDS PER ACRE"),
+    ("T, one", 1, "GRAIN", "ALL CLASSES", "2015", "CROP YEAR", "ARKANSAS", "YIELD", "7000", "POUNDS PER ACRE"),
+    ("T, one", 1, "GRAIN", "ALL CLASSES", "2015", "CROP YEAR", "ARKANSAS", "YIELD", "7200", "POUNDS PER ACRE"),
+    ("T, one", 1, "GRAIN", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", " yield ", "n/a", "POUNDS PER ACRE"),
+    ("T, two", 2, "GRAIN", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", "YIELD", " 6100.5 ", "POUNDS PER ACRE"),
+    ("T, two", 2, "GRAIN", "LONG GRAIN", "2016", "CROP YEAR", "LOUISIANA", "AREA PLANTED", "1065", "THOUSAND ACRES"),
+    ("T, two", 2, "GRAIN", "LONG GRAIN", None, "CROP YEAR", "LOUISIANA", "YIELD", "6000", "POUNDS PER ACRE"),
 ]
 
 
