@@ -17,7 +17,9 @@ def dropped_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
     common = [c for c in raw.columns if c in clean.columns]
     ctypes = dict(clean.dtypes)
     r = raw
-    right = clean.select(*[F.col(c).alias(f"__c_{i}") for i, c in enumerate(common)])
+    # existence is all an anti join needs: identical cleaned rows collapse
+    # map-side, so copies of one row never pile up in a single join task
+    right = clean.select(*[F.col(c).alias(f"__c_{i}") for i, c in enumerate(common)]).distinct()
     cond = None
     for i, c in enumerate(common):
         left = F.col(c)

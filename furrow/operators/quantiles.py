@@ -8,11 +8,15 @@ pandas) come from rank selection:
 
 1. count each distinct (group, value) pair - a partial aggregate, so a hot
    group is spread over many tasks by value and pre-combined map-side;
-2. per group: min, max, n (partial aggregate, one row per group);
-3. put distinct values in ``buckets`` equal-width value buckets and count
-   rows per (group, bucket): a small table (groups x buckets);
-4. running offsets over that small table locate the bucket of each wanted
-   rank; only those buckets are ranked value by value.
+2. per group: n (partial aggregate, one row per group) and the wanted ranks;
+3. refinement levels: split each current cell (at first the whole group)
+   into ``buckets`` equal-width value buckets between the cell's min and
+   max, count rows per bucket (a small table), locate the bucket holding
+   each wanted rank with running offsets over that table, and keep only the
+   distinct values of those buckets. A second level re-splits the chosen
+   buckets over their own range, so outliers that stretch the first range
+   do not leave most values in one bucket;
+4. rank the remaining distinct values inside their final cell.
 
 No step holds all rows of a group, and nothing goes through the driver.
 """
@@ -28,7 +32,7 @@ from furrow.operators.common import attach
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
-                    keys: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+                    keys: Sequence[str] = (), buckets: int = 1024, levels: int = 2) -> DataFrame:
     """One row per group: ``keys`` + one double column per entry of ``probs``.
 
     Nulls and NaN are ignored. Groups with no values are absent.
@@ -36,44 +40,48 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     keys = list(keys)
     v = F.col(value_col).cast("double")
     base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cnt = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    rng = cnt.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                 F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    bucketed = attach(cnt, rng, keys).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
-                                        F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-    per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    wk = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
-    offsets = per_bucket.withColumn(
-        "_off", F.coalesce(F.sum("_bc").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cand = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # group size and the first level's value range in one aggregate
+    sizes = cand.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
-    # wanted ranks: two neighbours per probability
+    # wanted ranks: the two neighbours of each position; _rr = rank in cell
     names = list(probs)
     prob_arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (rng.select(*keys, "_n", F.explode(prob_arr).alias("_q"))
-                  .select(*keys, F.col("_q.name").alias("_name"),
-                          (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos")))
+    targets = (sizes.select(*keys, "_n", F.explode(prob_arr).alias("_q"))
+                    .select(*keys, F.col("_q.name").alias("_name"), (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos")))
     targets = targets.select(*keys, "_name", "_pos",
                              F.explode(F.array(F.floor("_pos").cast("long"), F.ceil("_pos").cast("long"))).alias("_r"))
-    located = attach(targets, offsets, keys).where(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bc")))
-    located = located.select(*keys, "_name", "_pos", "_r", "_b", "_off")
+    targets = targets.withColumn("_rr", F.col("_r"))
 
-    # rank distinct values only inside the buckets that hold a wanted rank
-    wanted = located.select(*keys, "_b").distinct()
-    in_wanted = attach(bucketed.select(*keys, "_b", "_v", "_c"), wanted, keys + ["_b"], how="left_semi")
-    wb = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = in_wanted.withColumn("_cum", F.sum("_c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = attach(located, ranked, keys + ["_b"]).where(
-        (F.col("_r") >= F.col("_off") + F.col("_cum") - F.col("_c"))
-        & (F.col("_r") < F.col("_off") + F.col("_cum")))
+    cell = list(keys)
+    for lvl in range(levels):
+        b = f"_b{lvl}"
+        rng = sizes.select(*cell, "_lo", "_hi") if lvl == 0 else \
+            cand.groupBy(*cell).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        width = F.col("_hi") - F.col("_lo")
+        cand = attach(cand, rng, cell).withColumn(
+            b, F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
+                                         F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")).drop("_lo", "_hi")
+        per_b = cand.groupBy(*cell, b).agg(F.sum("_c").alias("_bc"))
+        w = Window.partitionBy(*cell).orderBy(b) if cell else Window.orderBy(b)
+        offs = per_b.withColumn("_off", F.coalesce(F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                                    F.lit(0)))
+        targets = attach(targets, offs, cell).where(
+            (F.col("_rr") >= F.col("_off")) & (F.col("_rr") < F.col("_off") + F.col("_bc")))
+        targets = targets.withColumn("_rr", F.col("_rr") - F.col("_off")).drop("_off", "_bc")
+        cell = cell + [b]
+        wanted = targets.select(*cell).distinct()
+        cand = attach(cand, wanted, cell, how="left_semi")
+
+    wc = Window.partitionBy(*cell).orderBy("_v")
+    ranked = cand.withColumn("_cum", F.sum("_c").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = attach(targets, ranked.select(*cell, "_v", "_c", "_cum"), cell).where(
+        (F.col("_rr") >= F.col("_cum") - F.col("_c")) & (F.col("_rr") < F.col("_cum")))
     per_name = hit.groupBy(*keys, "_name").agg(
         F.first("_pos").alias("_pos"),
         F.min_by("_v", "_r").alias("_vlo"),
         F.max_by("_v", "_r").alias("_vhi"))
     frac = F.col("_pos") - F.floor("_pos")
     per_name = per_name.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
-    out = per_name.groupBy(*keys).agg(
+    return per_name.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
-    return out

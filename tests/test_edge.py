@@ -136,3 +136,18 @@ def test_histogram_bins(spark):
     one = spark.createDataFrame([(3.0,), (3.0,)], "v double")
     h1 = PR.histogram(one, "v", 4).orderBy("bin").collect()
     assert [r["count"] for r in h1] == [2, 0, 0, 0]
+
+
+def test_exact_quantiles_with_far_outlier(spark):
+    # one extreme value stretches the range: the second level re-splits the
+    # first bucket, and results still equal percentile
+    rows = [("g", float(i % 500) / 7.0) for i in range(5000)] + [("g", 1e12), ("h", -1e9), ("h", 1.0), ("h", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"a": 0.001, "b": 0.3, "c": 0.5, "d": 0.999}
+    got = {r.k: r for r in exact_quantiles(df, "v", probs, ["k"], buckets=8).collect()}
+    ref = df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()
+    for r in ref:
+        for n in probs:
+            assert getattr(got[r.k], n) == pytest.approx(getattr(r, n), rel=1e-12, abs=1e-9)
+    single = exact_quantiles(df.where("k = 'h'"), "v", {"m": 0.5}, levels=3).first()
+    assert single.m == 1.0
