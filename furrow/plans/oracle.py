@@ -610,3 +610,33 @@ _ovcols = f"{KEYS}, x, {r6('y_raw', 'y_clipped', 'fit', 'slope')}, is_annotation
 Q["trend_overlay"] = with_(FV + ["ov"], f"SELECT {_ovcols} FROM ov")
 Q["recent_20"] = with_(FV + ["ov"], f"""SELECT {_ovcols} FROM (
   SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY x DESC) AS _r FROM ov) WHERE _r <= 20""")
+
+
+def _zero_canonical(sql: str) -> str:
+    """Rewrite every ``round(...)`` as ``(round(...) + 0.0e0)``: a rounded
+    -0.0 becomes 0.0, as in the Spark output."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("(round(" + _zero_canonical(sql[j + 6:k]) + ") + 0.0e0)")
+        i = k + 1
+
+
+ORACLE_SQL = {name: _zero_canonical(sql) for name, sql in ORACLE_SQL.items()}

@@ -36,7 +36,8 @@ def finalize(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> D
     """Round every double column (stable value comparison across engines);
     ``overrides`` gives coarser digits for large sums of squares."""
     overrides = overrides or {}
-    return df.select(*[rounded(F.col(f.name), overrides.get(f.name, digits)).alias(f.name)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (noise of either sign around zero)
+    return df.select(*[(rounded(F.col(f.name), overrides.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
