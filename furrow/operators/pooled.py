@@ -41,8 +41,10 @@ def pooled_model_comparison(pivoted: DataFrame, ridge_alpha: float = 1.0) -> Dat
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
     reg = ridge_alpha * (st.sd or 1.0) / max(st.n, 1)
     models = {
-        "LinearRegression": LinearRegression(labelCol=LABEL, solver="normal", regParam=0.0),
-        "Ridge_alpha1": LinearRegression(labelCol=LABEL, solver="normal", regParam=reg, elasticNetParam=0.0),
+        # features are already scaled; the penalty applies to them as given
+        "LinearRegression": LinearRegression(labelCol=LABEL, solver="normal", regParam=0.0, standardization=False),
+        "Ridge_alpha1": LinearRegression(labelCol=LABEL, solver="normal", regParam=reg, elasticNetParam=0.0,
+                                         standardization=False),
         "GradientBoosting": GBTRegressor(labelCol=LABEL, seed=SEED, maxIter=30, maxDepth=4),
         "RandomForest": RandomForestRegressor(labelCol=LABEL, seed=SEED, numTrees=40, maxDepth=8),
     }
