@@ -53,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder is not reachable from other executors
+        raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     path = tempfile.mkdtemp(prefix="furrow-ckpt-", dir=os.environ.get("FURROW_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
