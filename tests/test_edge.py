@@ -151,3 +151,34 @@ def test_exact_quantiles_with_far_outlier(spark):
             assert getattr(got[r.k], n) == pytest.approx(getattr(r, n), rel=1e-12, abs=1e-9)
     single = exact_quantiles(df.where("k = 'h'"), "v", {"m": 0.5}, levels=3).first()
     assert single.m == 1.0
+
+
+def test_clean_observations_per_key_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(7)
+    rows = []
+    for loc, scale in [("AR", 1.0), ("LA", 3.0), ("TX", 0.5)]:
+        for i in range(60):
+            v = float(np.round(5000 + scale * 400 * rng.standard_normal(), 1))
+            rows.append(("T", 1, "C", "LONG GRAIN" if i % 2 else "ALL CLASSES", str(1990 + i % 30), "Y", loc,
+                         "YIELD", str(v), "POUNDS PER ACRE"))
+    rows.append(("T", 1, "C", "LONG GRAIN", "2001", "Y", "TX", "YIELD", "99999", "POUNDS PER ACRE"))
+    from furrow.sources.tables import RAW_SCHEMA
+    df = spark.createDataFrame(rows, RAW_SCHEMA)
+    out = C.clean_observations(df, keys=["LOCATION_DESCRIPTION"], class_values=["ALL CLASSES", "LONG GRAIN"],
+                               write_rows=False).toPandas()
+    pdf = pd.DataFrame(rows, columns=[f.name for f in RAW_SCHEMA.fields])
+    pdf["YEAR"] = pdf["YEAR"].astype(int)
+    pdf["VALUE"] = pdf["VALUE"].astype(float)
+    for loc, g in pdf.groupby("LOCATION_DESCRIPTION"):
+        o = out[out.LOCATION_DESCRIPTION == loc].sort_values(["YEAR", "VALUE"])
+        g = g.sort_values(["YEAR", "VALUE"])
+        v = g["VALUE"].to_numpy()
+        q1, q3, p01, p99 = np.quantile(v, [0.25, 0.75, 0.01, 0.99])
+        np.testing.assert_allclose(o["VALUE_scaled"], (v - v.mean()) / v.std(ddof=0), rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(o["value_zscore"], (v - v.mean()) / v.std(ddof=1), rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(o["VALUE_clipped"], np.clip(v, p01, p99), rtol=1e-12)
+        iqr = q3 - q1
+        assert list(o["is_outlier_iqr"]) == list((v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr))
+    assert bool(out[out.VALUE == 99999.0]["is_outlier_iqr"].iloc[0])
