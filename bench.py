@@ -31,7 +31,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     from furrow.plans import QUERIES
     from furrow.session import get_session
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2, extra={"spark.driver.memory": "16g"})
+    spark = get_session(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
+                        extra={"spark.driver.memory": "16g"})
     # JVM warm-up (code generation, JIT) on the smallest tables, untimed
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir) and warm_dir.rstrip("/") != sf_dir:
