@@ -200,7 +200,7 @@ def value_stats(df: DataFrame, value_col: str = "VALUE", keys: Sequence[str] = (
     moments = df.groupBy(*keys).agg(*aggs)
     if probs:
         q = exact_quantiles(df, value_col, probs, keys)
-        moments = attach(moments, q, keys, how="left") if keys else moments.crossJoin(q)
+        moments = attach(moments, q, keys, how="left")
     return moments
 
 
@@ -338,7 +338,7 @@ def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Se
         F.avg("VALUE").alias("_mv"), F.stddev_pop("VALUE").alias("_sv"),
         F.stddev_samp("VALUE").alias("_zs"))
     q = exact_quantiles(df, "VALUE", {"_q1": 0.25, "_q3": 0.75, "_p01": 0.01, "_p99": 0.99}, keys)
-    st = attach(st, q, keys, how="left") if keys else st.crossJoin(q)
+    st = attach(st, q, keys, how="left")
     j = attach(df, st, keys)
     iqr = F.col("_q3") - F.col("_q1")
     v = F.col("VALUE")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import contains_upper, nan_to_null, norm_eq, to_double, to_int
+from furrow.operators.common import attach
 
 
 def dropped_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def processing_compare(raw: DataFrame, clean: DataFrame) -> DataFrame:
     dropped by the merge, as (metric, value)."""
     a, b = _frame_summary(raw, "orig"), _frame_summary(clean, "clean")
     dropped = dropped_rows(raw, clean).agg(F.count(F.lit(1)).alias("dropped_rows_by_merge"))
-    j = a.crossJoin(b).crossJoin(dropped)
+    j = attach(attach(a, b), dropped)
     j = j.withColumn("rows_removed", F.col("orig_rows") - F.col("clean_rows"))
     metrics = ["orig_rows", "orig_cols", "orig_missing_total", "orig_duplicates", "clean_rows", "clean_cols",
                "clean_missing_total", "clean_duplicates", "rows_removed", "dropped_rows_by_merge"]
@@ -80,7 +81,7 @@ def cleaning_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:
                     F.count_if(s4).alias("after_coercion_drop"))
     outl = clean.agg(F.count_if("is_outlier_iqr").alias("iqr_outliers"),
                      F.count_if(F.abs("value_zscore") > 3).alias("zscore_outliers"))
-    j = steps.crossJoin(outl)
+    j = attach(steps, outl)
     names = ["raw_rows", "after_statistic_filter", "after_unit_filter", "after_null_drop",
              "after_coercion_drop", "iqr_outliers", "zscore_outliers"]
     return j.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(m).alias("step"),
