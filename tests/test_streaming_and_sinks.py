@@ -63,3 +63,19 @@ def test_coefficient_sink_and_long_metrics(spark):
     assert load_coefficients(spark, f"{d}/m").first().w1 == 2.0
     long = to_long_metrics(coefs, ["k"], "fit").orderBy("metric").collect()
     assert [(r.metric, r.value) for r in long] == [("b0", 1.0), ("w1", 2.0)]
+
+
+def test_pipeline_model_round_trip(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from furrow.sources.sinks import load_pipeline, save_pipeline
+    d = tempfile.mkdtemp(prefix="furrow-test-")
+    df = spark.createDataFrame([(float(x), 2.0 * x + 1.0) for x in range(10)], "x double, y double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
+                             LinearRegression(labelCol="y", solver="normal")]).fit(df)
+    save_pipeline(model, f"{d}/pipe")
+    back = load_pipeline(f"{d}/pipe")
+    pred = back.transform(df.limit(3)).select("y", "prediction").collect()
+    assert all(abs(r.y - r.prediction) < 1e-6 for r in pred)
