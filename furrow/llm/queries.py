@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
+from furrow.llm.line_dedup import ORACLE as LINE_SQL
+from furrow.llm.line_dedup import dedup_lines
 from furrow.llm.mixing import mix
 from furrow.llm.sentencepiece_codec import decode, encode
 from furrow.llm.token_counts import count_tokens
@@ -37,11 +39,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return (count_tokens(docs, vocabulary())
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op9_line_dedup, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
