@@ -100,7 +100,7 @@ class Merger:
 
     #: So many distinct words are known from batch to batch, and merge once;
     #: beyond it all are forgotten, so memory stays bounded.
-    KEPT = 500_000
+    KEPT = 150_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab

@@ -16,7 +16,7 @@ from furrow.llm.bpe import Decoder, Merger, Vocabulary
 from furrow.llm.common import batches
 
 #: Bytes of Arrow rows that become flat symbol arrays at once.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

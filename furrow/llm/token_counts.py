@@ -23,7 +23,7 @@ from furrow.llm.common import batches
 from furrow.llm.sentencepiece_codec import PIECE_BYTES, _schema, _with
 
 #: So many pre-tokens are known from batch to batch; beyond it all are forgotten.
-KEPT = 500_000
+KEPT = 150_000
 
 
 def count_tokens(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "n_tokens") -> DataFrame:
