@@ -36,6 +36,7 @@ LEAST_DEPTH = 2
 WINDOW, BLOCK = 256, 4096
 #: Of its neighbours in a tree a class goes on with the nearest, and with
 #: those that have most near neighbours themselves (the centres of its group).
+#: Links that this leaves out are looked for once the group is known.
 NEAREST, CENTRES = 8, 4
 #: A pair goes on if its share of equal values is this far below the threshold
 #: (more than four standard deviations).
@@ -104,12 +105,15 @@ def ordered_blocks(classes: DataFrame) -> DataFrame:
     return placed.select("c", "tree", "key", "pos", F.explode(blocks).alias("block"))
 
 
-def neighbours(blocks: DataFrame, least_share: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of the ordered blocks."""
+def neighbours(blocks: DataFrame, least_share: float, across: bool = False) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of the ordered blocks: each
+    class with its nearest neighbours and centres, or, with ``across``, with
+    every neighbour of another ``component``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         c, tree = pdf["c"].to_numpy(), pdf["tree"].to_numpy()
+        apart = pdf["component"].to_numpy() if across else None
         key = np.frombuffer(b"".join(pdf["key"]), "<u4").reshape(-1, VALUES)
         # a region: rows of one tree that share the least prefix
         new = np.r_[True, (tree[1:] != tree[:-1]) | (key[1:, :LEAST_DEPTH] != key[:-1, :LEAST_DEPTH]).any(1)]
@@ -121,6 +125,8 @@ def neighbours(blocks: DataFrame, least_share: float) -> DataFrame:
             i = at[at + lag < end]
             if not len(i):
                 break
+            if across:
+                i = i[apart[i] != apart[i + lag]]
             s = (key[i] == key[i + lag]).mean(1)
             near = s >= least_share
             left.append(i[near])
@@ -128,6 +134,9 @@ def neighbours(blocks: DataFrame, least_share: float) -> DataFrame:
             share.append(s[near])
         if not left:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if across:
+            a, b = c[np.concatenate(left)], c[np.concatenate(right)]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
         i, j, s = map(np.concatenate, (left, right, share))
         i, j, s = np.r_[i, j], np.r_[j, i], np.r_[s, s]
         degree = np.bincount(i, minlength=len(c))
@@ -215,11 +224,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     classes = (signed.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
                .withColumn("c", F.monotonically_increasing_id()))
     classes = materialize(classes, "forest-classes")
-    pairs = materialize(neighbours(ordered_blocks(classes), percent / 100 - SLACK), "forest-pairs")
+    blocks = ordered_blocks(classes)
+    pairs = materialize(neighbours(blocks, percent / 100 - SLACK), "forest-pairs")
     used = pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")).distinct()
     need = materialize(classes.select("id", "c1", "c2", "c").join(used, "c"), "forest-need")
-    links = confirm(pairs, materialize(_sets(docs, need, width), "forest-sets"), percent)
-    groups = components(links)
+    sets = materialize(_sets(docs, need, width), "forest-sets")
+    links = materialize(confirm(pairs, sets, percent), "forest-links")
+    groups = materialize(components(links), "forest-groups")
+    # neighbours that are still apart and were not compared, all of them
+    grouped = (blocks.join(groups.withColumnRenamed("node", "c"), "c", "left")
+               .withColumn("component", F.coalesce("component", "c")))
+    rest = neighbours(grouped, percent / 100 - SLACK, across=True).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(confirm(rest, sets, percent), "forest-links")
+    if not more.isEmpty():
+        groups = materialize(components(groups.selectExpr("component as a", "node as b").unionAll(more)), "forest-groups")
     named = classes.select("id", "c1", "c2", "c").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component").select("c1", "c2", "least")
