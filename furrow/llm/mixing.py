@@ -25,6 +25,9 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: Documents (then residuals) folded together at each node of the tree.
 FAN_IN = 64
+#: Per-source tables are broadcast up to so many sources; beyond that they are
+#: joined by a shuffle, whose hot partitions adaptive execution splits.
+BROADCAST_ROWS = 100_000
 _EPS = 1e-12
 
 
@@ -74,6 +77,11 @@ def source_targets(items: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", F.least(F.col("weight") * share, most).alias("target"))
 
 
+def _by_source(per_source: DataFrame) -> DataFrame:
+    """A table of one row per source, ready to be joined to documents."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_ROWS else per_source
+
+
 def _uniform(*cols: Column) -> Column:
     """A repeatable number in [0, 1) from the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / float(1 << 53)
@@ -114,7 +122,7 @@ def _fold(entries: Column, seed: int, level: int) -> Column:
 
 def _round(parts: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
     """Round the fractions of parts (source_no, k, a, f): rows (k, up)."""
-    nodes = parts.join(counts, "source_no").withColumn(
+    nodes = parts.join(_by_source(counts), "source_no").withColumn(
         "node", F.pmod(F.xxhash64(F.lit(seed), "k"), F.ceil(F.col("n") / FAN_IN))).drop("n")
     most = counts.agg(F.max("n")).first()[0] or 0
     nodes_left, level, rounded = -(-most // FAN_IN), 0, []
@@ -158,7 +166,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     targets = materialize(targets, "mix-targets")
     want = F.when(F.col("size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
     items = (items.withColumn("source_no", F.xxhash64(F.col("source").isNull(), "source")).drop("source")
-             .join(targets.drop("source"), "source_no")
+             .join(_by_source(targets.drop("source")), "source_no")
              .withColumn("want", want).withColumn("whole", F.floor(F.col("want") + _EPS)))
     items = items.withColumn("f", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
     parts = items.where(F.col("f") > _EPS).select("source_no", "k", F.col("size").alias("a"), "f")
