@@ -11,6 +11,7 @@ from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
 from furrow.llm.line_dedup import dedup_lines
+from furrow.llm.lm_scoring import score_texts
 from furrow.llm.minhash_forest import near_duplicates
 from furrow.llm.mixing import mix
 from furrow.llm.sentencepiece_codec import decode, encode
@@ -40,6 +41,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return score_texts(docs, vocabulary(), ~F.col("held_out"))
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -55,5 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op6_minhash_forest, op9_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op6_minhash_forest, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
