@@ -14,6 +14,7 @@ from furrow.llm.line_dedup import dedup_lines
 from furrow.llm.lm_scoring import score_texts
 from furrow.llm.minhash_forest import near_duplicates
 from furrow.llm.mixing import mix
+from furrow.llm import quality_fm
 from furrow.llm.sentencepiece_codec import decode, encode
 from furrow.llm.token_counts import count_tokens
 
@@ -52,6 +53,22 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, text, label) of the labelled rows to learn from."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))
+    label = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
+    return (docs.where(fold != 1).select("doc_id", "text").join(label, "doc_id")
+            .select(F.col("doc_id").alias("key"), "text", "label"))
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality_fm.fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = quality_fm.score(docs, machine).select("doc_id", held.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
@@ -62,5 +79,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op6_minhash_forest, op9_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op6_minhash_forest, op8_quality_fm, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
