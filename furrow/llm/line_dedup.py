@@ -35,26 +35,29 @@ GROUP = 16
 BROADCAST_ROWS = 200_000
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct words of a line as 64-bit hashes."""
-    return F.array_distinct(F.transform(F.filter(F.split(line, WORD_SEP), lambda w: w != ""), lambda w: F.xxhash64(w)))
+#: A word is the low 56 bits of its hash, with its level of rarity above them.
+_HASH = (1 << 56) - 1
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WORD_SEP), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs (d, text) to (d, l, tokens) of the lines that take part."""
+    """docs (d, text) to (d, l, line)."""
     lines = docs.where("text is not null").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    return (lines.select("d", F.col("l").cast("long").alias("l"), _tokens(F.col("line")).alias("tokens"))
-            .where(F.size("tokens") >= MIN_WORDS))
+    return lines.select("d", F.col("l").cast("long").alias("l"), "line")
 
 
-def rarity(lines: DataFrame, bits: int = BITS) -> bytes:
+def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
     """One byte per bucket of words, growing with the bucket's count: 0 for at
-    most one occurrence, then a step for every 12 percent."""
+    most one occurrence, then a step for every 25 percent, 127 at most."""
     segment = 1024
-    spark = lines.sparkSession
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count("*").alias("c"))
+    spark = docs.sparkSession
+    seen = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    counts = seen.groupBy(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count("*").alias("c"))
     every = spark.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("c"))
-    level = F.when(F.col("c") < 2, 0).otherwise(F.least(F.lit(255), 1 + F.floor(F.log(F.col("c") / 2) / F.log(F.lit(1.12)))))
+    level = F.when(F.col("c") < 2, 0).otherwise(F.least(F.lit(127), 1 + F.floor(F.log(F.col("c") / 2) / F.log(F.lit(1.25)))))
     packed = (counts.unionAll(every).groupBy("b").agg(F.sum("c").alias("c"))
               .groupBy((F.col("b") / segment).cast("long").alias("s"))
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", level.cast("int").alias("v")))),
@@ -62,17 +65,28 @@ def rarity(lines: DataFrame, bits: int = BITS) -> bytes:
     return b"".join(bytes.fromhex(r.hex) for r in packed.orderBy("s").collect())  # 2 ** bits bytes
 
 
-def _prefixes(lines: DataFrame, levels: bytes, bits: int) -> DataFrame:
-    """(d, l, s, n, parity, prefix) of lines; s identifies the set, prefix has
-    its rarest words in order, null where a word occurs nowhere else."""
+def _ordered(line: Column, levels: bytes, bits: int) -> Column:
+    """The distinct words of a line as numbers, rarest first."""
     table = F.lit(bytearray(levels))
-    level = lambda t: F.substring(table, t.bitwiseAND((1 << bits) - 1).cast("int") + 1, 1)
+
+    def number(word):
+        h = F.xxhash64(word)
+        level = F.ascii(F.substring(table, h.bitwiseAND((1 << bits) - 1).cast("int") + 1, 1).cast("string"))
+        return F.call_function("shiftleft", level.cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(_HASH))
+
+    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+
+
+def _prefixes(lines: DataFrame, levels: bytes, bits: int) -> DataFrame:
+    """(d, l, s, n, parity, prefix) of lines that take part; s names the set,
+    prefix has its rarest words in order."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    length = F.expr(f"cast(size(tokens) - (size(tokens) * {PERCENT} + 99) div 100 + 1 as int)")
-    return (lines.withColumn("ordered", F.array_sort(F.transform("tokens", lambda t: F.struct(level(t).alias("v"), t.alias("t")))))
-            .select("d", "l", F.xxhash64(F.transform("ordered", lambda x: x.t)).alias("s"), F.size("tokens").cast("long").alias("n"),
-                    F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
-                    F.transform(F.slice("ordered", F.lit(1), length), lambda x: F.when(x.v > F.lit(bytearray(b"\x00")), x.t)).alias("prefix")))
+    length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
+    return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
+            .where(F.size("ordered") >= MIN_WORDS)
+            .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
+                    F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
+                    F.slice("ordered", F.lit(1), length).alias("prefix")))
 
 
 #: Common words that sets of na and nb words need for the threshold.
@@ -99,9 +113,10 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     need = materialize(need, "lines-need")
     if need.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
+    wanted = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("l"), x.alias("line"))), lambda x: F.array_contains("nls", x.l))
     sets = (docs.where("text is not null").join(need, F.col("d") == F.col("nd"))
-            .withColumn("lines", F.split("text", "\n")).select("d", "lines", F.explode("nls").alias("l"))
-            .select("d", "l", _tokens(F.element_at("lines", (F.col("l") + 1).cast("int"))).alias("tokens")))
+            .select("d", F.inline(wanted))
+            .select("d", "l", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("tokens")))
     sets = materialize(sets, "lines-sets")
     one = sets.selectExpr("d as d1", "l as l1", "tokens as tokens1")
     two = sets.selectExpr("d as d2", "l as l2", "tokens as tokens2")
@@ -113,30 +128,26 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
-    levels = rarity(_lines(docs), bits)
-    lines = materialize(_prefixes(_lines(docs), levels, bits), "lines")
-    first = F.min(F.struct("d", "l")).alias("first")
-    sets = materialize(lines.groupBy("s", "n", "parity", "prefix").agg(first).select("s", "n", "parity", "prefix", "first.*"), "lines-distinct")
-    entries = (sets.select("d", "l", "n", "parity", F.posexplode("prefix").alias("p", "t")).where("t is not null")
-               .repartition("t"))
-    groups = entries.groupBy("t").agg(F.count("*").alias("many"), F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead"))
-    entries = entries.join(groups.where("many > 1"), "t")
+    lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines")
+    sets = lines.groupBy("s", "n", "parity", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
+    entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "t"))
+               .where(f"t > {_HASH}").repartition("t"))
+    groups = entries.groupBy("t").agg(F.count("*").alias("many"), F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead")).where("many > 1")
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
-    entries = materialize(entries.selectExpr("t", "d", "l", "n", "parity", "p", f"many > {GROUP} as large", f"case when many > {GROUP} then lead end as lead"), "lines-entries")
     # small groups: every pair; large ones: the earliest set with each other
-    small = entries.where("not large")
-    large = entries.where("large")
-    led = (large.selectExpr("lead as a", "struct(d, l, n, parity, p) as b").where(f"{earlier} and {_MAY_MATCH}")
-           .selectExpr("a.d as d1", "a.l as l1", "b.d as d2", "b.l as l2").distinct())
-    gone = materialize(_verify(_pairs(small, small, earlier).unionAll(led).distinct(), docs), "lines-gone")
+    shared = entries.join(groups.select("t", "many"), "t")
+    shared = materialize(shared.select("t", "d", "l", "n", "parity", "p", (F.col("many") > GROUP).alias("large")), "lines-entries")
+    small, large = shared.where("not large"), shared.where("large")
+    leads = large.groupBy("t").agg(F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead")).select("t", "lead.*")
+    found = materialize(_pairs(leads, large, earlier), "lines-led").unionAll(_pairs(small, small, earlier)).distinct()
+    gone = materialize(_verify(found, docs), "lines-gone")
     # what is left of large groups, against the rest of its groups
     probes = large.join(gone, ["d", "l"], "left_anti")
-    rest = _pairs(large, probes, f"(a.d <> a.lead.d or a.l <> a.lead.l) and {earlier}")
-    gone = gone.unionAll(_verify(rest, docs)).distinct()
+    gone = gone.unionAll(_verify(_pairs(large, probes, earlier), docs)).distinct()
     # all lines of a set but the first go, and the first if its set matched
-    gone = gone.select(F.col("d").alias("gd"), F.col("l").alias("gl"))
-    later = lines.join(sets.select("s", F.col("d").alias("fd"), F.col("l").alias("fl")), "s").where("d <> fd or l <> fl").select("d", "l")
-    return later.unionAll(gone.selectExpr("gd", "gl"))
+    first = lines.groupBy("s").agg(F.min(F.struct("d", "l")).alias("first"))
+    later = lines.select("s", "d", "l").join(first, "s").where("struct(d, l) <> first").select("d", "l")
+    return later.unionAll(gone)
 
 
 def _numbered(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
