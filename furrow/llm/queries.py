@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
+from furrow.llm.html_text import extract
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
 from furrow.llm.line_dedup import dedup_lines
 from furrow.llm.lm_scoring import score_texts
@@ -48,6 +49,10 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, vocabulary(), ~F.col("held_out"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -79,5 +84,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op6_minhash_forest, op8_quality_fm, op9_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op6_minhash_forest, op8_quality_fm, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
