@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
+from furrow.llm.hilbert_ann import nearest
 from furrow.llm.html_text import extract
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
 from furrow.llm.line_dedup import dedup_lines
@@ -17,6 +18,7 @@ from furrow.llm.minhash_forest import near_duplicates
 from furrow.llm.mixing import mix
 from furrow.llm import quality_fm
 from furrow.llm.sentencepiece_codec import decode, encode
+from furrow.llm.topk import top_k
 from furrow.llm.token_counts import count_tokens
 
 PIECES = "piece_bpe_32k.model"
@@ -53,11 +55,19 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 5, F.col("vec_id") % 50 == 0)
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, lambda vec_id: vec_id % 20 == 0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, text, label) of the labelled rows to learn from."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))
@@ -84,5 +94,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op6_minhash_forest, op8_quality_fm, op9_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op5_exact_topk, op6_minhash_forest, op7_hilbert_ann, op8_quality_fm, op9_line_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
