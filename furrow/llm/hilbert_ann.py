@@ -25,7 +25,7 @@ from furrow.llm.vectors import matrix, packed
 #: Curves, directions and bits of each, and the seed of the projections.
 CURVES, DIRECTIONS, BITS, SEED = 12, 4, 12, 11
 #: Places on each side of a query: this share of all, at least so many.
-SHARE, LEAST = 0.05, 256
+SHARE, LEAST = 0.06, 256
 #: Vectors that the spread of the projections is taken from, at most.
 SAMPLE = 20_000
 #: Places of a block.

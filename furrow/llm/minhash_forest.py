@@ -9,8 +9,10 @@ sparse region down to the least depth, only with deeper matches in a crowded
 one. The orders are range-partitioned and cut into blocks that overlap by the
 window, so a group of copies of any size is spread over many tasks.
 
-Candidates are confirmed on the full sets, and links are contracted to
-connected components.
+Neighbours whose signatures agree enough make candidate groups. The full sets
+of a group are compared with each other, and the links are contracted to
+connected components; neither step returns pairs, only enough edges to keep
+what belongs together connected.
 """
 
 from __future__ import annotations
@@ -34,15 +36,11 @@ VALUES, TREES = 64, 16
 LEAST_DEPTH = 2
 #: Neighbours looked at on each side in a tree, and rows of a block.
 WINDOW, BLOCK = 256, 4096
-#: Of its neighbours in a tree a class goes on with the nearest, and with
-#: those that have most near neighbours themselves (the centres of its group).
-#: Links that this leaves out are looked for once the group is known.
-NEAREST, CENTRES = 8, 4
-#: A pair goes on if its share of equal values is this far below the threshold
-#: (more than four standard deviations).
+#: Neighbours belong to one candidate group if their share of equal values is
+#: at most this far below the threshold (more than four standard deviations).
 SLACK = 0.22
-#: Pairs that are confirmed together in one task, about.
-CELL = 2048
+#: Classes of a bucket, and elements compared at once in a cell.
+BUCKET, COLUMNS = 512, 4096
 #: Documents to fetch are broadcast by id up to so many.
 BROADCAST_ROWS = 500_000
 PIECE_BYTES = 2 << 20
@@ -105,83 +103,99 @@ def ordered_blocks(classes: DataFrame) -> DataFrame:
     return placed.select("c", "tree", "key", "pos", F.explode(blocks).alias("block"))
 
 
-def neighbours(blocks: DataFrame, least_share: float, across: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of the ordered blocks: each
-    class with its nearest neighbours and centres, or, with ``across``, with
-    every neighbour of another ``component``."""
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that keep the connections of edges (i, j) of nodes below n: each
+    node to the smallest one that it reaches."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[i], root[j])
+        np.minimum.at(least, root[j], root[i])
+        least = least[least[root]]
+        if (least == root).all():
+            break
+        root = least
+    away = np.flatnonzero(root != np.arange(n))
+    return away, root[away]
+
+
+def neighbours(blocks: DataFrame, least_share: float) -> DataFrame:
+    """Edges (a, b) that connect, within each block, the classes whose
+    signatures agree in enough values: of all such neighbours in the window, as
+    many edges as it takes to keep them connected, so fewer than rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         c, tree = pdf["c"].to_numpy(), pdf["tree"].to_numpy()
-        apart = pdf["component"].to_numpy() if across else None
         key = np.frombuffer(b"".join(pdf["key"]), "<u4").reshape(-1, VALUES)
         # a region: rows of one tree that share the least prefix
         new = np.r_[True, (tree[1:] != tree[:-1]) | (key[1:, :LEAST_DEPTH] != key[:-1, :LEAST_DEPTH]).any(1)]
-        region = np.cumsum(new)
-        end = np.r_[np.flatnonzero(new)[1:], len(c)][region - 1]
+        end = np.r_[np.flatnonzero(new)[1:], len(c)][np.cumsum(new) - 1]
         at = np.arange(len(c))
-        left, right, share = [], [], []
+        left, right = [at[:0]], [at[:0]]
         for lag in range(1, WINDOW + 1):
             i = at[at + lag < end]
             if not len(i):
                 break
-            if across:
-                i = i[apart[i] != apart[i + lag]]
-            s = (key[i] == key[i + lag]).mean(1)
-            near = s >= least_share
-            left.append(i[near])
-            right.append(i[near] + lag)
-            share.append(s[near])
-        if not left:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if across:
-            a, b = c[np.concatenate(left)], c[np.concatenate(right)]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        i, j, s = map(np.concatenate, (left, right, share))
-        i, j, s = np.r_[i, j], np.r_[j, i], np.r_[s, s]
-        degree = np.bincount(i, minlength=len(c))
-        pick = np.zeros(len(i), bool)
-        for most, order in ((NEAREST, np.lexsort((j, -s, i))), (CENTRES, np.lexsort((j, -degree[j], i)))):
-            first = np.r_[0, np.cumsum(degree)[:-1]][i[order]]
-            pick[order[np.arange(len(i)) - first < most]] = True
-        a, b = c[i[pick]], c[j[pick]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return blocks.groupBy("block").applyInPandas(run, "a long, b long").distinct()
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets (c, members) reach the similarity.
-
-    Pairs meet their sets in cells: the pairs around one smallest neighbour,
-    split by hashes where they are many, so a set travels once per cell and
-    not once per pair.
+            i = i[(key[i] == key[i + lag]).mean(1) >= least_share]
+            left.append(i)
+            right.append(i + lag)
+        i, j = _forest(len(c), np.concatenate(left), np.concatenate(right))
+        return pd.DataFrame({"a": c[i], "b": c[j]})
+
+    return blocks.groupBy("block").applyInPandas(run, "a long, b long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of membership columns
+    of the elements that several sets have."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    several = count[element] > 1
+    column = (np.cumsum(count > 1) - 1)[element[several]]
+    row = row[several]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        member = np.zeros((len(sets), COLUMNS), np.float32)
+        member[row[a:b], column[a:b] - first] = 1
+        out += member @ member.T
+    return out.astype(np.int64)
+
+
+def confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the classes of a candidate group (node,
+    component) as their full sets (c, members) do.
+
+    A group is compared whole. A larger one is dealt into buckets, and each
+    pair of buckets is a cell; small groups share cells. A cell returns fewer
+    links than it has rows.
     """
-    both = pairs.selectExpr("a as u", "b as v").unionAll(pairs.selectExpr("b as u", "a as v"))
-    lead = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-    cells = (pairs.join(lead.selectExpr("u as a", "m as ma"), "a").join(lead.selectExpr("u as b", "m as mb"), "b")
-             .selectExpr("a", "b", "least(ma, mb) as cell"))
-    cells = materialize(cells, "forest-cells")
-    split = cells.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL)).alias("g"))
-    cells = cells.join(split, "cell").selectExpr("a", "b", "cell", "pmod(xxhash64(a), g) as ga", "pmod(xxhash64(b, 1), g) as gb")
-    where = ["cell", "ga", "gb"]
-    cells = materialize(cells, "forest-cells")
-    members = cells.select(*where, F.col("a").alias("c")).unionAll(cells.select(*where, F.col("b").alias("c"))).distinct()
-    members = members.join(sets, "c").toDF("c", "cell2", "ga2", "gb2", "members")
-
-    def run(todo: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        got = {c: np.frombuffer(m, np.uint64) for c, m in zip(have["c"], have["members"])}
-        ok = []
-        for a, b in zip(todo["a"], todo["b"]):
-            x, y = got[a], got[b]
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            else:
-                ok.append(False)
-        return todo.loc[np.asarray(ok, bool), ["a", "b"]]
-
-    return cells.groupBy(*where).cogroup(members.groupBy("cell2", "ga2", "gb2")).applyInPandas(run, "a long, b long")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BUCKET).alias("g"))
+    many = max(1, groups.count() // BUCKET)
+    dealt = groups.join(sizes, "component").select(F.col("node").alias("c"), "component", "g", F.expr("pmod(xxhash64(node), g)").alias("mine"))
+    dealt = dealt.select("c", "component", "g", "mine", F.explode(F.expr("sequence(0, g - 1)")).alias("other"))
+    # the cell of one bucket alone is left to those of two, if there are any
+    dealt = dealt.where("g = 1 or g = 2 and other = 1 - mine or g > 2 and other <> mine")
+    cell = F.when(F.col("g") == 1, F.pmod(F.xxhash64("component"), F.lit(many))).otherwise(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
+    members = dealt.select("c", "component", cell.alias("cell")).join(sets, "c")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in pdf.groupby("component"):
+            c = group["c"].to_numpy()
+            have = [np.frombuffer(m, np.uint64) for m in group["members"]]
+            n = np.fromiter(map(len, have), np.int64, len(have))
+            common = _common(have)
+            i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+            i, j = _forest(len(c), i, j)
+            found.append(pd.DataFrame({"a": c[i], "b": c[j]}))
+        return pd.concat(found)
+
+    return members.groupBy("cell").applyInPandas(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
@@ -224,20 +238,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     classes = (signed.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
                .withColumn("c", F.monotonically_increasing_id()))
     classes = materialize(classes, "forest-classes")
-    blocks = ordered_blocks(classes)
-    pairs = materialize(neighbours(blocks, percent / 100 - SLACK), "forest-pairs")
-    used = pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")).distinct()
-    need = materialize(classes.select("id", "c1", "c2", "c").join(used, "c"), "forest-need")
+    near = materialize(neighbours(ordered_blocks(classes), percent / 100 - SLACK), "forest-near")
+    candidates = materialize(components(near), "forest-candidates")
+    need = materialize(classes.select("id", "c1", "c2", "c").join(candidates.select(F.col("node").alias("c")), "c"), "forest-need")
     sets = materialize(_sets(docs, need, width), "forest-sets")
-    links = materialize(confirm(pairs, sets, percent), "forest-links")
-    groups = materialize(components(links), "forest-groups")
-    # neighbours that are still apart and were not compared, all of them
-    grouped = (blocks.join(groups.withColumnRenamed("node", "c"), "c", "left")
-               .withColumn("component", F.coalesce("component", "c")))
-    rest = neighbours(grouped, percent / 100 - SLACK, across=True).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, sets, percent), "forest-links")
-    if not more.isEmpty():
-        groups = materialize(components(groups.selectExpr("component as a", "node as b").unionAll(more)), "forest-groups")
+    groups = components(confirm(candidates, sets, percent))
     named = classes.select("id", "c1", "c2", "c").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least, "component").select("c1", "c2", "least")
