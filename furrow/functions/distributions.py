@@ -8,14 +8,19 @@ on whole Arrow batches. Used only on per-series summary rows.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the functions travel with the job: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS, _TINY, _MAXIT = 1e-15, 1e-300, 300
 
 
@@ -108,13 +113,15 @@ def t_crit_udf(df: pd.Series) -> pd.Series:
 
 
 def ols_pvalues(inference: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """p-values of t and F and 95 % confidence intervals per series."""
-    d = inference.where(F.col("df_resid") > 0)
-    d = d.withColumns({
-        "p_slope": t_pvalue_udf("t_slope", "df_resid"),
-        "p_intercept": t_pvalue_udf("t_intercept", "df_resid"),
-        "p_f": f_pvalue_udf("f_stat", F.lit(1.0), F.col("df_resid").cast("double")),
-        "_tc": t_crit_udf(F.col("df_resid").cast("double")),
+    """p-values of t and F and 95 % confidence intervals per series; null for
+    a series without residual degrees of freedom."""
+    has = F.col("df_resid") > 0
+    df = F.greatest(F.col("df_resid"), F.lit(1))
+    d = inference.withColumns({
+        "p_slope": F.when(has, t_pvalue_udf(F.col("t_slope"), df)),
+        "p_intercept": F.when(has, t_pvalue_udf(F.col("t_intercept"), df)),
+        "p_f": F.when(has, f_pvalue_udf(F.col("f_stat"), F.lit(1.0), df.cast("double"))),
+        "_tc": F.when(has, t_crit_udf(df.cast("double"))),
     })
     return d.select(*keys, "slope", "se_slope", "p_slope",
                     (F.col("slope") - F.col("_tc") * F.col("se_slope")).alias("slope_ci_lo"),

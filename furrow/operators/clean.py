@@ -33,7 +33,6 @@ UNIT_FACTORS = {
     "THOUSAND ACRES": (1000.0, "ACRES"),
     "THOUSAND CWT": (100000.0, "POUNDS"),
 }
-MAX_ONE_HOT = 256
 
 
 # ---- projections and filters -------------------------------------------------
@@ -155,18 +154,20 @@ def total_series_rows(df: DataFrame) -> DataFrame:
 # ---- encodings --------------------------------------------------------------------
 
 def one_hot(df: DataFrame, col: str = "CLASS_DESCRIPTION", prefix: str = "CLASS",
-            values: Sequence[str] | None = None, max_values: int = MAX_ONE_HOT) -> DataFrame:
+            values: Sequence[str] | None = None, max_values: int | None = None) -> DataFrame:
     """Boolean indicator per category value, columns sorted by value.
 
     The value list is the plan's column list, so it is fixed up front: either
-    given, or read as the distinct values (bounded by ``max_values``; more
-    raises instead of building a huge projection). Null -> all false.
+    given, or read as the distinct values of the table. A caller who wants no
+    projection beyond some width sets ``max_values``; more then raises.
+    Null -> all false.
     """
     if values is None:
-        distinct = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-                      .distinct().orderBy("v").limit(max_values + 1).collect())
-        values = [r.v for r in distinct]
-        if len(values) > max_values:
+        distinct = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
+        if max_values is not None:
+            distinct = distinct.limit(max_values + 1)
+        values = [r.v for r in distinct.collect()]
+        if max_values is not None and len(values) > max_values:
             raise ValueError(f"{col} has more than {max_values} values; pass values= explicitly")
     return df.withColumns({f"{prefix}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False))
                            for v in sorted(values)})

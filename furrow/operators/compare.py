@@ -25,7 +25,12 @@ def dropped_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
     for i, c in enumerate(common):
         left = F.col(c)
         if dict(raw.dtypes)[c] != ctypes[c]:
-            left = to_double(c).cast(ctypes[c]) if ctypes[c] in ("double", "int", "bigint") else F.col(c).cast(ctypes[c])
+            # the coercions of the cleaning chain: a fraction or an overflow is
+            # no integer there, so such a raw row is dropped
+            if ctypes[c] in ("int", "bigint"):
+                left = to_int(c).cast(ctypes[c])
+            else:
+                left = nan_to_null(to_double(c)) if ctypes[c] == "double" else F.col(c).cast(ctypes[c])
         e = left.eqNullSafe(F.col(f"__c_{i}"))
         cond = e if cond is None else cond & e
     return r.join(right, cond, "left_anti")

@@ -88,11 +88,13 @@ def value_counts_top(df: DataFrame, cols: Sequence[str] | None = None, k: int =
 
 
 def histogram(df: DataFrame, value_col: str, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins between min and max (last bin closed), nulls dropped,
-    empty bins filled; lo == hi puts everything in bin 1 of width 0."""
+    """Equal-width bins between min and max (last bin closed), empty bins
+    filled; lo == hi puts everything in bin 1 of width 0. Nulls, NaN and
+    infinite values have no bin and are left out."""
     keys = list(keys)
     v = F.col(value_col).cast("double")
-    d = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    finite = F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf"))
+    d = df.select(*keys, v.alias("_v")).where(finite)
     rng = d.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = attach(d, rng, keys).withColumn(
@@ -148,12 +150,7 @@ def rows_of_top_groups(df: DataFrame, value_col: str, group_col: str, k: int = 1
 def find_col(columns: Sequence[str], keywords: Sequence[str]) -> str | None:
     """First column whose lower-case name contains a keyword; keyword order
     wins over column order (plan-shaping helper)."""
-    lower = {c.lower(): c for c in columns}
-    for kw in keywords:
-        for low, orig in lower.items():
-            if kw in low:
-                return orig
-    return None
+    return next((c for kw in keywords for c in columns if kw in c.lower()), None)
 
 
 # Keyword lists of the column roles (fixed values).

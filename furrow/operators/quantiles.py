@@ -4,19 +4,16 @@
 single task, which breaks when one group holds a large share of the rows.
 Here the same numbers (position ``p*(n-1)``, linear interpolation between the
 two neighbouring order statistics, as ``percentile``/``quantile_cont`` and
-pandas) come from rank selection:
+pandas) come from ranks in one global order:
 
 1. count each distinct (group, value) pair - a partial aggregate, so a hot
    group is spread over many tasks by value and pre-combined map-side;
-2. per group: n (partial aggregate, one row per group) and the wanted ranks;
-3. refinement levels: split each current cell (at first the whole group)
-   into ``buckets`` equal-width value buckets between the cell's min and
-   max, count rows per bucket (a small table), locate the bucket holding
-   each wanted rank with running offsets over that table, and keep only the
-   distinct values of those buckets. A second level re-splits the chosen
-   buckets over their own range, so outliers that stretch the first range
-   do not leave most values in one bucket;
-4. rank the remaining distinct values inside their final cell.
+2. range-partition the counts by (group, value) and write them once: a hot
+   group or a heavy tail spans as many partitions as its values need, and no
+   assumption is made about how values are spread (infinities included);
+3. one row of totals per (partition, group) gives every partition's offset in
+   its group, and so the partition that holds each wanted rank;
+4. running counts inside those partitions alone find the values.
 
 No step holds all rows of a group, and nothing goes through the driver.
 """
@@ -28,60 +25,50 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.operators.common import attach
+from furrow.operators.common import attach, materialize
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
-                    keys: Sequence[str] = (), buckets: int = 1024, levels: int = 2) -> DataFrame:
+                    keys: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``keys`` + one double column per entry of ``probs``.
 
-    Nulls and NaN are ignored. Groups with no values are absent.
+    Nulls and NaN are ignored; infinities are values like others. Groups with
+    no values are absent.
     """
     keys = list(keys)
-    v = F.col(value_col).cast("double")
+    v = F.col(value_col).cast("double") + F.lit(0.0)
     base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cand = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # group size and the first level's value range in one aggregate
-    sizes = cand.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    order = [*keys, "_v"]
+    counted = (base.groupBy(*order).agg(F.count(F.lit(1)).alias("_c"))
+                   .repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    counted = materialize(counted, "value-counts")
 
-    # wanted ranks: the two neighbours of each position; _rr = rank in cell
-    names = list(probs)
-    prob_arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (sizes.select(*keys, "_n", F.explode(prob_arr).alias("_q"))
-                    .select(*keys, F.col("_q.name").alias("_name"), (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos")))
-    targets = targets.select(*keys, "_name", "_pos",
-                             F.explode(F.array(F.floor("_pos").cast("long"), F.ceil("_pos").cast("long"))).alias("_r"))
-    targets = targets.withColumn("_rr", F.col("_r"))
+    # one row per (partition, group): rows there and in the partitions before
+    totals = counted.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
+    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    totals = (totals.withColumn("_n", F.sum("_t").over(by_group))
+                    .withColumn("_off", F.sum("_t").over(by_group.orderBy("_part")) - F.col("_t")))
 
-    cell = list(keys)
-    for lvl in range(levels):
-        b = f"_b{lvl}"
-        rng = sizes.select(*cell, "_lo", "_hi") if lvl == 0 else \
-            cand.groupBy(*cell).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        cand = attach(cand, rng, cell).withColumn(
-            b, F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
-                                         F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")).drop("_lo", "_hi")
-        per_b = cand.groupBy(*cell, b).agg(F.sum("_c").alias("_bc"))
-        w = Window.partitionBy(*cell).orderBy(b) if cell else Window.orderBy(b)
-        offs = per_b.withColumn("_off", F.coalesce(F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                    F.lit(0)))
-        targets = attach(targets, offs, cell).where(
-            (F.col("_rr") >= F.col("_off")) & (F.col("_rr") < F.col("_off") + F.col("_bc")))
-        targets = targets.withColumn("_rr", F.col("_rr") - F.col("_off")).drop("_off", "_bc")
-        cell = cell + [b]
-        wanted = targets.select(*cell).distinct()
-        cand = attach(cand, wanted, cell, how="left_semi")
+    # the partition of each wanted rank (the two neighbours of a position)
+    prob_arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
+    targets = totals.select(*keys, "_part", "_t", "_n", "_off", F.explode(prob_arr).alias("_q"))
+    targets = targets.withColumn("_pos", F.col("_q.p") * (F.col("_n") - 1)).withColumn(
+        "_r", F.explode(F.array(F.floor("_pos").cast("long"), F.ceil("_pos").cast("long"))))
+    targets = targets.where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_t"))).select(
+        *keys, "_part", F.col("_q.name").alias("_name"), "_pos", "_r", (F.col("_r") - F.col("_off")).alias("_rr"))
 
-    wc = Window.partitionBy(*cell).orderBy("_v")
-    ranked = cand.withColumn("_cum", F.sum("_c").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = attach(targets, ranked.select(*cell, "_v", "_c", "_cum"), cell).where(
+    cell = [*keys, "_part"]
+    inside = attach(counted, targets.select(*cell).distinct(), cell, how="left_semi")
+    ranked = inside.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*cell).orderBy("_v")))
+    hit = attach(targets, ranked, cell).where(
         (F.col("_rr") >= F.col("_cum") - F.col("_c")) & (F.col("_rr") < F.col("_cum")))
     per_name = hit.groupBy(*keys, "_name").agg(
         F.first("_pos").alias("_pos"),
         F.min_by("_v", "_r").alias("_vlo"),
         F.max_by("_v", "_r").alias("_vhi"))
     frac = F.col("_pos") - F.floor("_pos")
-    per_name = per_name.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
+    per_name = per_name.withColumn("_q", F.when((frac == 0) | (F.col("_vlo") == F.col("_vhi")) | (F.abs("_vlo") == float("inf")), F.col("_vlo"))
+                                   .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac))
     return per_name.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
+        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs])

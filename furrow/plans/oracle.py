@@ -281,8 +281,8 @@ Q["total_series"] = with_(YIELD, """, t AS (SELECT *, coalesce(is_us_total AND i
   FROM t, a WHERE fl OR (NOT anyf AND coalesce(upper(LOCATION_DESCRIPTION) = 'U.S. TOTAL', false)
                          AND coalesce(upper(CLASS_DESCRIPTION) = 'ALL CLASSES', false))
   GROUP BY YEAR, MONTH""")
-Q["median_by_location"] = with_(YIELD, """SELECT LOCATION_DESCRIPTION, round(quantile_cont(VALUE, 0.5), 6) AS median
-  FROM yl WHERE VALUE IS NOT NULL GROUP BY 1""")
+Q["median_by_location"] = with_(LONG, """SELECT LOCATION_DESCRIPTION, round(quantile_cont(VALUE, 0.5), 6) AS median
+  FROM obs_long WHERE VALUE IS NOT NULL GROUP BY 1""")
 Q["top_locations_by_median"] = with_(LONG, """SELECT LOCATION_DESCRIPTION, round(median, 6) AS median,
   CAST(row_number() OVER (ORDER BY median DESC, LOCATION_DESCRIPTION) AS INTEGER) AS rank FROM (
   SELECT LOCATION_DESCRIPTION, quantile_cont(VALUE, 0.5) AS median FROM obs_long GROUP BY 1)

@@ -27,8 +27,6 @@ from furrow.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = SERIES_KEYS
-# Part types present in the driver tables (fixed indicator column list).
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 PIVOT_STATS = ["YIELD", "AREA PLANTED", "AREA HARVESTED", "PRODUCTION"]
 
 
@@ -41,9 +39,10 @@ def finalize(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> D
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
-def query(name: str, digits: dict | None = None):
+def query(name: str, digits: dict | None = None, exact: bool = False):
+    """Register a query; ``exact`` leaves its numbers as they are."""
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: finalize(fn(spark, sf_dir), overrides=digits)
+        QUERIES[name] = fn if exact else lambda spark, sf_dir: finalize(fn(spark, sf_dir), overrides=digits)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
@@ -83,7 +82,7 @@ def _raw(spark, sf):
 def _clean(spark, sf, raw=None):
     """The cleaned table (read by several report queries)."""
     raw = raw if raw is not None else _raw(spark, sf)
-    return prepared(spark, sf, "clean", lambda: C.clean_observations(raw, class_values=PART_TYPES))
+    return prepared(spark, sf, "clean", lambda: C.clean_observations(raw))
 
 
 def _long(spark, sf):
@@ -219,7 +218,7 @@ def q_total_series(spark, sf):
 
 @query("median_by_location")
 def q_median_loc(spark, sf):
-    return PR.median_by_group(C.filter_statistic(_long(spark, sf)), "VALUE", "LOCATION_DESCRIPTION")
+    return PR.median_by_group(_long(spark, sf), "VALUE", "LOCATION_DESCRIPTION")
 
 
 @query("top_locations_by_median")
@@ -318,9 +317,9 @@ def q_box_top12(spark, sf):
 
 @query("one_hot_class")
 def q_one_hot(spark, sf):
-    d = C.one_hot(_raw(spark, sf), "CLASS_DESCRIPTION", "CLASS", PART_TYPES)
+    d = C.one_hot(_raw(spark, sf), "CLASS_DESCRIPTION", "CLASS")
     return d.select("TABLE_NUMBER", "YEAR", "MONTH", "LOCATION_DESCRIPTION", "CLASS_DESCRIPTION",
-                    *[f"CLASS_{v}" for v in PART_TYPES])
+                    *[c for c in d.columns if c.startswith("CLASS_") and c != "CLASS_DESCRIPTION"])
 
 
 @query("factorize_location")
@@ -412,7 +411,7 @@ def q_ols_inf(spark, sf):
                       "t_intercept", "r2", "adj_r2", "f_stat", "llf", "aic", "bic", "cond_no")
 
 
-@query("ols_pvalues")
+@query("ols_pvalues", exact=True)
 def q_ols_p(spark, sf):
     from furrow.functions.distributions import ols_pvalues
     return ols_pvalues(TR.ols_inference(TR.ols_fit(_points(spark, sf), K)), K)
