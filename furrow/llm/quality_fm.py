@@ -28,7 +28,7 @@ from furrow.llm.common import batches
 from furrow.llm.sentencepiece_codec import _schema, _with
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Buckets of words and of word shapes, size classes, length of the vectors.
 WORDS, SHAPES, SIZES, FACTORS = 1 << 15, 1 << 12, 32, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.02, 1e-5, 7
@@ -145,8 +145,9 @@ def train(texts: list[str], labels: np.ndarray) -> Machine:
     for k in range(0, len(texts), 512):
         row, index, value = made.of(texts[k:k + 512])
         order = np.argsort(row, kind="stable")
-        parts.append((row[order] + k, index[order].astype(np.int32), value[order]))
+        parts.append(((row[order] + k).astype(np.int32), index[order].astype(np.int32), value[order].astype(np.float32)))
     row, index, value = map(np.concatenate, zip(*parts))
+    del parts
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     params = np.vstack([m.weight, m.vector])
     m1, m2, step = np.zeros_like(params), np.zeros_like(params), 0
