@@ -130,3 +130,20 @@ def ols_pvalues(inference: DataFrame, keys: Sequence[str]) -> DataFrame:
                     (F.col("intercept") - F.col("_tc") * F.col("se_intercept")).alias("intercept_ci_lo"),
                     (F.col("intercept") + F.col("_tc") * F.col("se_intercept")).alias("intercept_ci_hi"),
                     "f_stat", "p_f")
+
+
+def hac_pvalues(hac: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """p-values, 95 % confidence intervals (t with n - 2 degrees of freedom)
+    and p(F) of a robust trend table; null where n - 2 is not positive."""
+    has = F.col("n") > 2
+    df = F.greatest(F.col("n") - 2, F.lit(1)).cast("int")
+    d = hac.withColumns({
+        "p_slope": F.when(has, t_pvalue_udf(F.col("hac_t_slope"), df)),
+        "p_intercept": F.when(has, t_pvalue_udf(F.col("hac_t_intercept"), df)),
+        "p_f": F.when(has, f_pvalue_udf(F.col("hac_f"), F.lit(1.0), df.cast("double"))),
+        "_tc": F.when(has, t_crit_udf(df.cast("double"))),
+    })
+    bounds = [x for c in ("slope", "intercept") for x in (
+        (F.col(c) - F.col("_tc") * F.col(f"hac_se_{c}")).alias(f"{c}_ci_lo"),
+        (F.col(c) + F.col("_tc") * F.col(f"hac_se_{c}")).alias(f"{c}_ci_hi"))]
+    return d.select(*keys, "n", "slope", "hac_se_slope", "p_slope", "intercept", "hac_se_intercept", "p_intercept", *bounds, "hac_f", "p_f")

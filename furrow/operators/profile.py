@@ -109,6 +109,11 @@ def histogram(df: DataFrame, value_col: str, bins: int = 30, keys: Sequence[str]
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
+def histogram_all(df: DataFrame, bins: int = 30, cols: Sequence[str] | None = None) -> DataFrame:
+    """Histograms of every numeric column in one pass: (column, bin, ...)."""
+    return histogram(_long(df, list(cols or numeric_columns(df)), "double"), "value", bins, ["column"])
+
+
 BOX_PROBS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -130,6 +135,11 @@ def box_stats(df: DataFrame, value_col: str, keys: Sequence[str] = ()) -> DataFr
         F.count_if((F.col("_v") < lo_f) | (F.col("_v") > hi_f)).alias("n_outliers"))
 
 
+def box_stats_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Box statistics of every numeric column in one pass, by ``column``."""
+    return box_stats(_long(df, list(cols or numeric_columns(df)), "double"), "value", ["column"])
+
+
 def median_by_group(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     return exact_quantiles(df, value_col, {"median": 0.5}, [group_col])
 

@@ -397,6 +397,13 @@ Q["box_stats_top12"] = with_(LONG, """, med AS (SELECT LOCATION_DESCRIPTION, qua
          AND VALUE IS NOT NULL AND NOT isnan(VALUE)),
   """ + box_sql("v0", "LOCATION_DESCRIPTION"))
 
+_FEATURES = "v0 AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL AND NOT isnan({c})"
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "),\n"
+Q["histogram_all_columns"] = "WITH " + _FEATURES + hist_sql("v0", 30, "feature")
+Q["box_stats_all_columns"] = "WITH " + _FEATURES + box_sql("v0", "feature")
+Q["csv_round_trip"] = "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderpriority FROM orders"
+
 # ---- features ------------------------------------------------------------------------------
 Q["one_hot_class"] = with_(["obs_raw"], "SELECT TABLE_NUMBER, YEAR, MONTH, LOCATION_DESCRIPTION, CLASS_DESCRIPTION, " +
                            ", ".join(f"coalesce(CLASS_DESCRIPTION = '{v}', false) AS \"CLASS_{v}\"" for v in PART_TYPES) +
@@ -463,6 +470,7 @@ Q["clean_minimal_by_period"] = with_(["obs_raw"], f""", m0 AS (SELECT YEAR, {to_
 
 # ---- trend, inference, metrics ---------------------------------------------------------------
 Q["trend_fit"] = with_(FIT, f"SELECT {KEYS}, n, {r6('slope', 'intercept', 'r2')} FROM fit")
+Q["coefficients_round_trip"] = Q["trend_fit"]
 Q["trend_fitted_values"] = with_(FV, f"SELECT {KEYS}, x, {r6('y', 'y_hat', 'resid')} FROM fv")
 _LN2PI = dbl(1.8378770664093453)
 CTE["inf0"] = """SELECT *, CAST(n - 2 AS INTEGER) AS df_resid, CASE WHEN n - 2 > 0 THEN ssr / (n - 2.0e0) END AS s2 FROM fit"""

@@ -10,6 +10,7 @@ long-lived aggregation state is kept in the stream.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,10 @@ def stream_period_sums(spark: SparkSession, source_dir: str, schema: T.StructTyp
                        keys: Sequence[str], period_cols: Sequence[str], fmt: str = "parquet",
                        checkpoint_location: str | None = None, statistic: str = "YIELD",
                        available_now: bool = True):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``. Its state lives in a
+    folder of its own per sink unless one is named."""
     keys, period_cols = list(keys), list(period_cols)
-    checkpoint_location = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/furrow-stream"
+    checkpoint_location = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/furrow-stream/{zlib.crc32(sink_dir.rstrip('/').encode()):08x}"
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)

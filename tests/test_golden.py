@@ -36,6 +36,10 @@ def test_hac_and_durbin_watson(pts):
     assert nw.hac_se_slope == pytest.approx(2.644, abs=5e-4)
     assert nw.hac_se_intercept == pytest.approx(5280.803, abs=1e-3)
     assert nw.hac_f == pytest.approx(650.4, abs=0.05)
+    from furrow.functions.distributions import hac_pvalues
+    p = hac_pvalues(D.newey_west(pts, K), K).first()
+    assert p.slope_ci_lo == pytest.approx(62.147, abs=5e-4) and p.slope_ci_hi == pytest.approx(72.710, abs=5e-4)
+    assert p.p_f == pytest.approx(3.07e-35, rel=5e-3)
     fv = TR.fitted_values(pts, TR.ols_fit(pts, K), K)
     assert D.durbin_watson(fv, K).first().dw == pytest.approx(0.8222, abs=5e-5)
 
