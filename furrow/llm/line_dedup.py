@@ -18,7 +18,7 @@ the other earlier sets of the group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD_SEP, fresh, materialize
@@ -67,12 +67,11 @@ def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
 
 def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    table = F.lit(bytearray(levels))
+    table = F.split(F.lit(",".join(str(v << 56) if v else "0" for v in levels)), ",").cast("array<bigint>")  # folds to a literal
 
     def number(word):
         h = F.xxhash64(word)
-        level = F.ascii(F.substring(table, h.bitwiseAND((1 << bits) - 1).cast("int") + 1, 1).cast("string"))
-        return F.call_function("shiftleft", level.cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(_HASH))
+        return F.get(table, h.bitwiseAND((1 << bits) - 1).cast("int")).bitwiseOR(h.bitwiseAND(_HASH))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
@@ -80,12 +79,12 @@ def _ordered(line: Column, levels: bytes, bits: int) -> Column:
 def _prefixes(lines: DataFrame, levels: bytes, bits: int) -> DataFrame:
     """(d, l, s, n, parity, prefix) of lines that take part; s names the set,
     prefix has its rarest words in order."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1), (t % 31).cast("int"))
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
     return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
             .where(F.size("ordered") >= MIN_WORDS)
             .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
-                    F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
+                    F.aggregate("ordered", F.lit(0), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
                     F.slice("ordered", F.lit(1), length).alias("prefix")))
 
 
@@ -100,14 +99,14 @@ _MAY_MATCH = f"""100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
 
 
 def _pairs(a: DataFrame, b: DataFrame, extra: str) -> DataFrame:
-    """Distinct (earlier set, later set) that share a prefix word and may match."""
+    """(earlier set, later set) that share a prefix word and may match."""
     return (a.alias("a").join(b.alias("b"), F.expr(f"a.t = b.t and {extra} and {_MAY_MATCH}"))
-            .selectExpr("a.d as d1", "a.l as l1", "b.d as d2", "b.l as l2").distinct())
+            .selectExpr("a.d as d1", "a.l as l1", "b.d as d2", "b.l as l2"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The later sets (d, l) of the pairs whose full sets reach the threshold."""
-    pairs = materialize(pairs, "lines-pairs")
+    pairs = materialize(pairs.distinct(), "lines-pairs")
     need = (pairs.selectExpr("d1 as nd", "l1 as nl").unionAll(pairs.selectExpr("d2", "l2")).distinct()
             .groupBy("nd").agg(F.collect_set("nl").alias("nls")))
     need = materialize(need, "lines-need")
@@ -130,17 +129,20 @@ def repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
     lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines")
     sets = lines.groupBy("s", "n", "parity", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
-    entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "t"))
-               .where(f"t > {_HASH}").repartition("t"))
-    groups = entries.groupBy("t").agg(F.count("*").alias("many"), F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead")).where("many > 1")
+    # words meet by 31 bits of their hash and level: a chance match is one candidate more
+    entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "w")).where(f"w > {_HASH}")
+               .select(F.shiftright("w", 24).bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "d", "l", F.col("n").cast("int").alias("n"), "parity", "p"))
+    entries = entries.withColumn("many", F.count("*").over(Window.partitionBy("t")))
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
-    # small groups: every pair; large ones: the earliest set with each other
-    shared = entries.join(groups.select("t", "many"), "t")
-    shared = materialize(shared.select("t", "d", "l", "n", "parity", "p", (F.col("many") > GROUP).alias("large")), "lines-entries")
-    small, large = shared.where("not large"), shared.where("large")
+    # small groups: every pair. Large ones are written as they are, in the same
+    # job, and first meet their earliest set each
+    small = entries.where(f"many <= {GROUP} and many > 1").drop("many")
+    large = entries.where(f"many > {GROUP}").drop("many")
+    both = materialize(_pairs(small, small, earlier).selectExpr("d1", "l1", "d2", "l2", *(f"cast(null as {k}) as {c}" for c, k in large.dtypes))
+                       .unionAll(large.selectExpr("cast(null as bigint) as d1", "cast(null as bigint) as l1", "cast(null as bigint) as d2", "cast(null as bigint) as l2", "*")), "lines-pairs")
+    pairs, large = both.where("d1 is not null").select("d1", "l1", "d2", "l2"), both.where("d1 is null").select("t", "d", "l", "n", "parity", "p")
     leads = large.groupBy("t").agg(F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead")).select("t", "lead.*")
-    found = materialize(_pairs(leads, large, earlier), "lines-led").unionAll(_pairs(small, small, earlier)).distinct()
-    gone = materialize(_verify(found, docs), "lines-gone")
+    gone = materialize(_verify(pairs.unionAll(_pairs(leads, large, earlier)), docs), "lines-gone")
     # what is left of large groups, against the rest of its groups
     probes = large.join(gone, ["d", "l"], "left_anti")
     gone = gone.unionAll(_verify(_pairs(large, probes, earlier), docs)).distinct()
