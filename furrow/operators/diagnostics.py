@@ -118,17 +118,13 @@ def normality_tests(resid: DataFrame, keys: Sequence[str], e: str = "resid") ->
     has a row; the omnibus is null below 8 points, where its kurtosis part is
     not defined, and all are null for constant residuals."""
     keys = list(keys)
-    r = resid.withColumn("_d", F.col(e) - F.avg(e).over(Window.partitionBy(*keys)))
-    d = F.col("_d")
-    g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("m2"),
-                             F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
-    # the omnibus' expressions see no series too short for them
+    # both are one mergeable aggregate over population moments
+    g = resid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.skewness(e).alias("skew"),
+                                 (F.kurtosis(e) + 3.0).alias("kurtosis"))
     n = F.col("n").cast("double")
-    g = g.withColumns({
-        "skew": F.try_divide(F.col("m3"), F.pow(F.col("m2"), 1.5)),
-        "kurtosis": F.try_divide(F.col("m4"), F.col("m2") * F.col("m2"))})
     s, k = F.col("skew"), F.col("kurtosis")
     jb = n / 6 * (s * s + (k - 3) * (k - 3) / 4)
+    # the expressions below see no series too short for them
     n = F.when(F.col("n") >= 8, n)
     # skewness test (D'Agostino 1970)
     yv = s * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))

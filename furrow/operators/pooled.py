@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC = ["period_idx", "AREA PLANTED", "AREA HARVESTED", "PRODUCTION"]
@@ -53,10 +53,9 @@ def pooled_model_comparison(pivoted: DataFrame, ridge_alpha: float = 1.0) -> Dat
         p = est.fit(tr).transform(te).select(F.lit(name).alias("model"), F.col(LABEL).alias("y"),
                                              F.col("prediction").alias("y_hat"))
         preds = p if preds is None else preds.unionByName(p)
-    preds = preds.withColumn("_ym", F.avg("y").over(Window.partitionBy("model")))
     e = F.col("y") - F.col("y_hat")
     out = preds.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"),
                                      F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("_sse"),
-                                     F.sum((F.col("y") - F.col("_ym")) ** 2).alias("_sst"))
+                                     (F.var_pop("y") * F.count("y")).alias("_sst"))
     return out.select("model", "n_test", "rmse", "mae",
                       F.when(F.col("_sst") != 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"))

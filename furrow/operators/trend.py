@@ -1,9 +1,9 @@
 """Per-series OLS trend, its inference table, metrics and baselines.
 
-Every series is fitted in one grouped pass over centred sums (mergeable,
-no cancellation from raw x^2 sums); ``Window.partitionBy(keys)`` for the
-means is followed by ``groupBy(keys)`` on the same partitioning, so the fit
-costs one shuffle of the aggregated series.
+Every series is fitted in one grouped pass over centred moments, which
+Spark merges pairwise (no cancellation from raw x^2 sums): partial sums leave
+the tasks, never the points, so one long series or no key at all is no
+hot task.
 """
 
 from __future__ import annotations
@@ -11,26 +11,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.common import attach
 
 
-def _w(keys):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-
-
 def ols_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     keys = list(keys)
     p = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
               .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    w = _w(keys)
-    p = p.withColumn("_mx", F.avg("_x").over(w)).withColumn("_my", F.avg("_y").over(w))
-    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
+    n = F.count(F.lit(1))
     g = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("_mx").alias("x_mean"), F.first("_my").alias("y_mean"),
-        F.sum(dx * dx).alias("sxx"), F.sum(dx * dy).alias("sxy"), F.sum(dy * dy).alias("syy"))
+        n.alias("n"), F.avg("_x").alias("x_mean"), F.avg("_y").alias("y_mean"),
+        (F.var_pop("_x") * n).alias("sxx"), (F.covar_pop("_x", "_y") * n).alias("sxy"), (F.var_pop("_y") * n).alias("syy"))
     slope = F.col("sxy") / F.when(F.col("sxx") != 0, F.col("sxx"))
     g = g.withColumn("slope", slope).withColumn("intercept", F.col("y_mean") - F.col("slope") * F.col("x_mean"))
     g = g.withColumn("ssr", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
@@ -77,12 +71,11 @@ def ols_inference(fit: DataFrame) -> DataFrame:
 def regression_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """n, RMSE, MAE and R^2 = 1 - SSE/SST (null when SST is 0; can be < 0)."""
     keys = list(keys)
-    p = pred.withColumn("_ym", F.avg(y).over(_w(keys)))
     e = F.col(y) - F.col(y_hat)
-    g = p.groupBy(*keys).agg(
+    g = pred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.sum(e * e).alias("_sse"), F.sum((F.col(y) - F.col("_ym")) ** 2).alias("_sst"))
+        F.sum(e * e).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
     return g.withColumn("r2", F.when(F.col("_sst") != 0, F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst")))) \
             .drop("_sse", "_sst")
 
@@ -93,7 +86,7 @@ def baseline_comparison(points: DataFrame, keys: Sequence[str], x: str = "x", y:
     fit = ols_fit(points, keys, x, y)
     fv = fitted_values(points, fit, keys, x, y)
     lr = regression_metrics(fv, keys, y, "y_hat").withColumn("model", F.lit("LinearRegression"))
-    mb = points.withColumn("_mean", F.avg(y).over(_w(keys)))
+    mb = attach(points, points.groupBy(*keys).agg(F.avg(y).alias("_mean")), keys)
     base = regression_metrics(mb, keys, y, "_mean").withColumn("model", F.lit("MeanBaseline"))
     cols = [*keys, "model", "n", "rmse", "mae", "r2"]
     return lr.select(*cols).unionByName(base.select(*cols))
