@@ -16,5 +16,5 @@ def test_entry_and_registry(spark):
     assert len(q) >= 70
     # the optional subpackage adds its queries, and only where it is there
     added = {k for k in q if k.startswith("op") or k == "pipeline"}
-    assert bool(find_spec("furrow.llm")) == bool(added)
+    assert bool(find_spec("furrow.llm") and find_spec("furrow.llm.queries")) == bool(added)
     assert len(q) - len(added) >= 72
