@@ -66,6 +66,6 @@ def query_blocks(queries: DataFrame, size: int, extra: str | None = None) -> Dat
     """Queries dealt into full blocks: (qids, qdims, q, extra), ready to meet
     every block of candidates."""
     count, length = queries.agg(F.count("*"), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
-    dealt = queries.repartition(max(1, -(-count // size)), "id")
+    dealt = queries.repartition(max(1, -(-count // size)))
     out = materialize(blocks(dealt, size, ("qids", "qdims", "q", "extra"), extra), "query-blocks")
     return F.broadcast(out) if length <= BROADCAST_BYTES else out
