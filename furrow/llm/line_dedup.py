@@ -67,11 +67,12 @@ def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
 
 def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    table = F.split(F.lit(",".join(str(v << 56) if v else "0" for v in levels)), ",").cast("array<bigint>")  # folds to a literal
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")  # folds to a literal
 
     def number(word):
         h = F.xxhash64(word)
-        return F.get(table, h.bitwiseAND((1 << bits) - 1).cast("int")).bitwiseOR(h.bitwiseAND(_HASH))
+        level = F.get(table, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(_HASH))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
