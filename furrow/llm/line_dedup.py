@@ -67,7 +67,8 @@ def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
 
 def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")  # folds to a literal
+    names = [str(v) for v in range(128)]
+    table = F.split(F.lit(",".join([names[v] for v in levels])), ",").cast("array<tinyint>")  # folds to a literal
 
     def number(word):
         h = F.xxhash64(word)
