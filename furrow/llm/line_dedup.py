@@ -134,7 +134,8 @@ def repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
     # words meet by 31 bits of their hash and level: a chance match is one candidate more
     entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "w")).where(f"w > {_HASH}")
                .select(F.shiftright("w", 24).bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "d", "l", F.col("n").cast("int").alias("n"), "parity", "p"))
-    entries = entries.withColumn("many", F.count("*").over(Window.partitionBy("t")))
+    # the filter that a join on t would add, so that all uses share one shuffle
+    entries = entries.where("t is not null").withColumn("many", F.count("*").over(Window.partitionBy("t")))
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
     # small groups: every pair. Large ones are written as they are, in the same
     # job, and first meet their earliest set each
