@@ -33,8 +33,12 @@ def _slices(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
 
 
 def _best(query: np.ndarray, cand: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Rows with the k best of each query: highest score, then smallest id."""
-    order = np.lexsort((cand, -score, query))
+    """Rows with the k best candidates of each query, the best row of each:
+    highest score, then smallest id."""
+    order = np.lexsort((-score, cand, query))
+    q, c = query[order], cand[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])][:len(order)]]
+    order = order[np.lexsort((cand[order], -score[order], query[order]))]
     q = query[order]
     first = np.r_[True, q[1:] != q[:-1]]
     nth = np.arange(len(q)) - np.repeat(np.flatnonzero(first), np.diff(np.r_[np.flatnonzero(first), len(q)]))
@@ -66,9 +70,11 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector: str =
     Rows that repeat an id stand for one candidate with its best score. Scores
     are exact below 2 ** 53. An empty table gives an empty table.
     """
-    rows = packed(df, id_col, vector)
+    rows = packed(df, id_col, vector).distinct()
+    # no more partitions than full blocks: every block returns k rows a query
+    rows = rows.coalesce(max(1, -(-df.count() // CANDIDATES)))
     cand = materialize(blocks(rows, CANDIDATES, ("ids", "dims", "c", "none")).drop("none"), "topk-blocks")
-    queries = materialize(packed(df.where(is_query), id_col, vector), "topk-queries")
+    queries = materialize(packed(df.where(is_query), id_col, vector).distinct(), "topk-queries")
 
     def gather(parts):
         for pdf in parts:
@@ -77,7 +83,8 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector: str =
                 total = sum(lists)
                 at = np.argsort(cid)
                 pick = np.zeros(total.shape, bool)
-                m = min(k + 1, len(cid))
+                # so many rows have k candidates beside the query itself
+                m = min((k + 1) * int(np.unique(cid, return_counts=True)[1].max()), len(cid))
                 for part in lists:
                     np.put_along_axis(pick, np.argpartition(-part, m - 1, axis=1)[:, :m], True, axis=1)
                 pick &= qid[:, None] != cid[None, :]

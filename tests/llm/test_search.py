@@ -41,6 +41,23 @@ def test_op5_equals_brute_force(spark, sf):
     assert {q: [(r.vec_id, r.score) for r in rs] for q, rs in got.items()} == want
 
 
+def test_op5_repeated_rows_and_ids_are_one_candidate(spark):
+    """Every row 6 times, and one id with ten good vectors, in one block."""
+    rng = np.random.default_rng(3)
+    ids, x = np.arange(40), rng.normal(size=(40, 8))
+    ids, x = np.r_[ids, np.full(10, 7)], np.vstack([x, 3 * x[0] + rng.normal(scale=0.01, size=(10, 8))])
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] * 6
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    y, best = np.floor(256 * x), {}
+    for a in np.flatnonzero(ids % 10 == 0):
+        for b in np.flatnonzero(ids != ids[a]):
+            pair = int(ids[a]), int(ids[b])
+            best[pair] = max(best.get(pair, -np.inf), (y[a] * y[b]).sum())
+    want = {q: sorted(((c, s) for (p, c), s in best.items() if p == q), key=lambda z: (-z[1], z[0]))[:5] for q in (0, 10, 20, 30)}
+    got = _by_query(top_k(df, 5, F.col("vec_id") % 10 == 0).collect())
+    assert {q: [(r.vec_id, r.score) for r in rs] for q, rs in got.items()} == want
+
+
 def test_op7_recall_and_scores(spark, sf):
     ids, x = _table(sf)
     want = _brute(ids, x, 20, 20)
