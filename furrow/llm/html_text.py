@@ -3,14 +3,18 @@
 Markup is stripped into lines, one for each block. Lines in menus, forms,
 notices and the like count nothing, link text counts nothing, and where the
 page marks its article, lines outside it count nothing. Text lengths are
-summed over a sliding window of lines; the text begins where the sum surges
-and ends where it dives, and everything between is kept.
+summed over a sliding window of lines. The sum surges where the text is, and
+the elements that hold the surging lines are its containers. From the first
+surge to the last, and in the containers before and after, the text goes on
+until the sum dives to nothing: lines without text of their own stay only
+where the window still has some.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,9 @@ from pyspark.sql import types as T
 from furrow.llm.common import batches
 from furrow.llm.sentencepiece_codec import _schema, _with
 
-#: Lines of a window, and the characters in one that make a surge on pages
-#: that don't mark their article.
-WINDOW, SURGE = 3, 86
+#: Lines of a window, the characters in one that make a surge, and those below
+#: which it has dived.
+WINDOW, SURGE, DIVE = 3, 86, 1
 PIECE_BYTES = 4 << 20
 
 _MARKUP = re.compile(
@@ -37,6 +41,8 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table "
     "tbody td tfoot th thead title tr ul".split())
+#: Blocks that hold other lines; the rest are lines, lists or tables in them.
+_CONTAINERS = frozenset("article aside details dialog div fieldset footer form header main section td th".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("aside button dialog footer form head header menu nav select title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -63,11 +69,17 @@ def _apart(tag: str, rest: str, in_article: bool) -> bool:
     return bool(re.search(r"(?<![-\w=\"'])hidden(?![-\w])", _ATTRIBUTE.sub("", rest)))
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lines of a page in order, their weights, and which the page marks as
-    its article (2) or main part (1)."""
-    out, weight, marks = [], [], []
+def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], list[int]]:
+    """Lines of a page in order, their weights, which the page marks as its
+    article (2) or main part (1), and their places: the innermost container (0
+    is the page), and for a line that is the text of a container itself, what
+    it shares with its like beside it, else None. Last, the container around
+    each container."""
+    out, weight, marks, places = [], [], [], []
     text, linked = [], 0
+    around, path = [0], [(0, "")]       # open containers and their elements
+    opened: Counter[str] = Counter()
+    bare = True                         # no paragraph or the like around the text
     skip, depth, link = "", 0, 0        # the element left out, its nesting; open links
     article = main = seen = 0
 
@@ -78,6 +90,8 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             out.append(line)
             weight.append(max(0, len(line) - linked))
             marks.append(2 if article else 1 if main else 0)
+            inner, element = path[-1]
+            places.append((inner, (around[inner], element) if bare and inner else None))
         text.clear()
         linked = 0
 
@@ -106,11 +120,23 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                 continue
         if tag in _BLOCKS:
             flush()
+            bare = end or tag in _CONTAINERS or tag in ("html", "body")
         elif tag == "br":
             text.append(" ")
         if not end and tag not in _VOID and _apart(tag, m["rest"], article > 0):
             skip, depth = tag, 1
-        elif tag == "a":
+            continue
+        if tag in _CONTAINERS:
+            if not end:
+                around.append(path[-1][0])
+                path.append((len(around) - 1, tag))
+                opened[tag] += 1
+            elif opened[tag]:
+                closed = ""
+                while closed != tag:
+                    closed = path.pop()[1]
+                    opened[closed] -= 1
+        if tag == "a":
             link = 0 if end else 1
         elif tag == "article":
             article, seen = max(0, article + (-1 if end else 1)), 1
@@ -119,34 +145,45 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     if not skip and at < len(page):
         text.append(page[at:])
     flush()
-    return out, np.asarray(weight, np.int64), np.asarray(marks, np.int64)
+    return out, np.asarray(weight, np.int64), np.asarray(marks, np.int64), places, around
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by an empty line."""
     if not page:
         return ""
-    out, weight, marks = lines(page)
+    out, weight, marks, places, around = lines(page)
     if not out:
         return ""
-    least = SURGE
-    if marks.any():
-        # the page tells where its article is: any line there counts
-        weight, least = np.where(marks == marks.max(), np.maximum(weight, 1), 0), 1
-    window = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1:]   # the line and those after it
-    least = min(least, int(window.max()))
+    # the page may tell where its article is: no line elsewhere counts
+    part = marks == marks.max()
+    weight = np.where(part, weight, 0)
+    if marks.any() and not weight.any():
+        weight = part.astype(np.int64)          # an article of links alone
+    windows = np.lib.stride_tricks.sliding_window_view(np.r_[weight, np.zeros(WINDOW - 1, np.int64)], WINDOW)
+    window = windows.sum(axis=1)                # the line and those after it
+    least = min(SURGE, int(window.max()))
     if not least:
         return ""
-    # from a surge to the dive: the last line with weight before the sum is low
-    high = window >= least
-    keep = high & (weight > 0)
-    for start in np.flatnonzero(high & ~np.r_[False, high[:-1]]):
-        stop = start + int(np.argmin(np.r_[high[start:], False]))
-        heavy = np.flatnonzero(weight[start:stop]) + start
-        if len(heavy):
-            keep[heavy[0]:heavy[-1] + 1] = True
-    if marks.any():
-        keep &= marks == marks.max()
+    surge = np.flatnonzero(window >= least)
+    # where the heaviest line of a surge is, there is the text
+    heaviest = {places[i] for i in (surge + windows[surge].argmax(axis=1)).tolist()}
+    holds, alike = [False] * len(around), {like for _, like in heaviest if like}
+    for c, _ in heaviest:
+        holds[c] = True
+    for c in range(1, len(around)):     # and what is in them, but for the page
+        holds[c] = holds[c] or around[c] > 0 and holds[around[c]]
+    keep = np.fromiter((holds[c] or like in alike for c, like in places), bool, len(out))
+    keep[surge] = True
+    keep &= weight > 0
+    # lines between: other text, and links before the sum dives
+    last = int(np.flatnonzero(keep)[-1])
+    keep[surge[0]:last + 1] |= weight[surge[0]:last + 1] > 0
+    at = np.flatnonzero(keep)
+    for i, j in zip(at[:-1], at[1:]):
+        if window[i + 1] >= DIVE:
+            keep[i:j] |= weight[i:j] < 1
+    keep &= part
     return "\n\n".join(x for x, k in zip(out, keep) if k)
 
 

@@ -47,3 +47,33 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(p, "t") for p in cases], "html string, Text string")
     assert [r.text for r in extract(df).collect()] == list(cases.values())
     assert extract(df.limit(0)).count() == 0
+
+
+def test_unmarked_pages_keep_short_endings_and_lists():
+    text = " ".join(LONG.split())
+    items = "".join(f"<li>item {n}</li>" for n in range(8))
+    page = (f"<body><div><a href=/>Home</a></div><div class=post><h1>Title</h1><p>By me</p><p>May 1</p><p>{LONG}</p><ul>{items}</ul><p>{LONG}</p>"
+            f"<p>One.</p><p>Two.</p><p>The end.</p></div><div>&copy; 2020</div></body>")
+    want = ["Title", "By me", "May 1", text, *(f"item {n}" for n in range(8)), text, "One.", "Two.", "The end."]
+    assert main_text(page) == "\n\n".join(want)
+    assert main_text(f"<h1>Title</h1><p>{LONG}</p><p>The end.</p>") == f"Title\n\n{text}\n\nThe end."
+    assert main_text(f"<div><div>{LONG}</div><div>The end.</div></div><p>foot</p>") == f"{text}\n\nThe end."
+
+
+def test_windows_select_inside_an_article():
+    text = " ".join(LONG.split())
+    links = "<li><a href=x>another story of this site</a></li>" * 4
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><p>The end.</p><ul>{links}</ul></article>") == f"{text}\n\nThe end."
+    assert main_text(f"<article><div><p>{LONG}</p><p>See <a href=x>this</a></p></div><div><p>5 shares</p></div></article>") == f"{text}\n\nSee this"
+    assert main_text("<article><p><a href=x>all linked</a></p></article>") == "all linked"
+
+
+def test_unmarked_table_equals_the_marked_one(sf):
+    for r in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        page = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        page = re.sub(r"<main\b[^>]*>", "<div>", page).replace("</main>", "</div>")
+        assert main_text(page) == _template(r["html"])
+
+
+def test_deeply_nested_and_unmatched_elements():
+    assert main_text("<div>x" * 20_000 + "</td>" * 20_000).startswith("x\n\nx")
