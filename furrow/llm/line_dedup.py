@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD_SEP, fresh, materialize
 
-#: Lines with fewer distinct words are left alone.
+#: Lines with fewer distinct words are left alone, unless the caller sets another
+#: minimum; the join is exact down to 1.
 MIN_WORDS = 5
 #: Similarity, as a percentage so that every bound is an exact integer.
 PERCENT = 80
@@ -78,13 +79,13 @@ def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
-def _prefixes(lines: DataFrame, levels: bytes, bits: int) -> DataFrame:
+def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, l, s, n, parity, prefix) of lines that take part; s names the set,
     prefix has its rarest words in order."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1), (t % 31).cast("int"))
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
     return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
-            .where(F.size("ordered") >= MIN_WORDS)
+            .where(F.size("ordered") >= max(1, min_words))
             .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
                     F.aggregate("ordered", F.lit(0), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
                     F.slice("ordered", F.lit(1), length).alias("prefix")))
@@ -127,9 +128,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .selectExpr("d2 as d", "l2 as l").distinct())
 
 
-def repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
-    lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines")
+    lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits, min_words), "lines")
     sets = lines.groupBy("s", "n", "parity", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
     # words meet by 31 bits of their hash and level: a chance match is one candidate more
     entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "w")).where(f"w > {_HASH}")
@@ -172,12 +173,13 @@ def _numbered(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
     return keyed.join(order, F.col(id_col).eqNullSafe(F.col(number + "i")) & (F.col(key) == F.col(number + "k"))).drop(number + "i", number + "k", key), number
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """Remove repeated lines; adds n_lines, n_removed and removed (the places
     of the lines that went, from 0), and puts the rest in ``text``.
 
     Lines end at "\n". Null texts stay null, with no lines; an empty text is
-    one empty line. Lines of fewer than ``MIN_WORDS`` distinct words stay.
+    one empty line. Lines of fewer than ``min_words`` distinct words stay,
+    and lines without words always.
     Rows that repeat an id come in the order of their texts' hashes, and equal
     rows share their lines: none is removed for the other's sake. Null ids
     come last. Other columns pass through; input columns named as an added one
@@ -188,7 +190,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits:
     rows, number = _numbered(df.select(keep), id_col, text)
     docs = rows.select(F.col(number).alias("d"), F.col(text).alias("text"))
     gone, at = fresh(rows, "__gone"), fresh(rows, "__at")
-    removed = materialize(repeated_lines(docs, bits).groupBy(F.col("d").alias(at)).agg(F.array_sort(F.collect_set(F.col("l").cast("int"))).alias(gone)), "lines-removed")
+    removed = materialize(repeated_lines(docs, bits, min_words).groupBy(F.col("d").alias(at)).agg(F.array_sort(F.collect_set(F.col("l").cast("int"))).alias(gone)), "lines-removed")
     if removed.count() <= BROADCAST_ROWS:
         removed = F.broadcast(removed)
     lines = F.split(text, "\n")

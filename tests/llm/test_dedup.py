@@ -132,6 +132,23 @@ def test_op9_equals_all_pairs(spark, bits):
         assert (r.n_lines, r.n_removed) == (len(lines), len(want[r.doc_id]))
 
 
+def test_op9_minimum_of_words_is_the_callers(spark):
+    """Short lines, and a long line of few words, against an earlier equal one."""
+    short = ["Read more", "menu", "la la la la la la la", "a b c d"]
+    rows = [(i, "\n".join([short[i % 4], "", " ", short[(i + 1) % 4], f"own{i}", "d c b a"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, want = set(), {}
+    for i, text in rows:
+        want[i] = []
+        for k, line in enumerate(text.split("\n")):
+            words = frozenset(line.split())
+            if words and words in seen:
+                want[i].append(k)
+            seen.add(words)
+    assert {r.doc_id: r.removed for r in dedup_lines(df, min_words=1).collect()} == want
+    assert all(r.removed == [] for r in dedup_lines(df).collect())
+
+
 def test_odd_rows_lines(odd_docs, no_docs):
     rows = dedup_lines(odd_docs.withColumnRenamed("ids", "removed")).collect()
     assert len(rows) == odd_docs.count()
