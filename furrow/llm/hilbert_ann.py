@@ -26,10 +26,11 @@ from furrow.llm.vectors import matrix, packed
 CURVES, DIRECTIONS, BITS, SEED = 12, 4, 12, 11
 #: Places on each side of a query: this share of all, at least so many.
 SHARE, LEAST = 0.06, 256
-#: Vectors that the spread of the projections is taken from, at most.
-SAMPLE = 20_000
-#: Places of a block.
-BLOCK = 4096
+#: Vectors that the spread of the projections is taken from, about, shared by
+#: the vector lengths; no length has a share below the second number.
+SAMPLE, SAMPLE_LEAST = 20_000, 512
+#: Places of a block, and asking rows that meet it in one task, about.
+BLOCK, TILE = 4096, 4096
 
 
 def _projections(dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -44,10 +45,14 @@ def _projections(dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _spread(rows: DataFrame) -> dict[int, np.ndarray]:
     """Quantiles (curve, direction, 257) of the projections by vector length,
-    from a bounded sample chosen by a hash of the ids."""
-    total = rows.count()
-    keep = 1_000_000 if total <= SAMPLE else int(1_000_000 * SAMPLE / total)
-    got = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < keep).select("dims", "v").limit(SAMPLE).toPandas()
+    from a bounded sample of each, chosen by a hash of the vectors."""
+    totals = {r.dims: r.n for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # vector lengths
+    if not totals:
+        return {}
+    share = max(SAMPLE_LEAST, SAMPLE // len(totals))
+    keep = F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, 1_000_000 if n <= share else max(1, 1_000_000 * share // n))])
+    picked = F.pmod(F.xxhash64("v", F.lit(SEED)), F.lit(1_000_000)) < F.element_at(keep, F.col("dims"))
+    got = rows.where(picked).select("dims", "v").toPandas()
     return {d: np.stack([np.quantile(matrix(same["v"], d) @ w, np.linspace(0, 1, 257), axis=0).T for w, _ in _projections(d)])
             for d, same in got.groupby("dims")}
 
@@ -111,6 +116,13 @@ def nearest(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector: str
     blocks = places.select(F.col("curve").alias("curve2"), F.col("dims").alias("dims2"), F.expr(f"pos div {BLOCK}").alias("block2"),
                            F.col("pos").alias("pos2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
 
+    # the rows that ask a block are dealt into tiles, each with the whole block
+    tiles = asking.groupBy("curve", "dims", "block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = materialize(tiles, "ann-tiles")
+    asking = asking.join(tiles, ["curve", "dims", "block"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
+    blocks = (blocks.join(tiles.toDF("curve2", "dims2", "block2", "tiles"), ["curve2", "dims2", "block2"])
+              .withColumn("tile2", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("tiles"))
+
     def rank(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(have):
             return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64"})
@@ -133,7 +145,7 @@ def nearest(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector: str
         q, c, s = (np.concatenate(z) for z in zip(*out))
         return pd.DataFrame({"q": q, "c": c, "score": s})
 
-    found = (asking.groupBy("curve", "dims", "block").cogroup(blocks.groupBy("curve2", "dims2", "block2"))
+    found = (asking.groupBy("curve", "dims", "block", "tile").cogroup(blocks.groupBy("curve2", "dims2", "block2", "tile2"))
              .applyInPandas(rank, "q long, c long, score double"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)

@@ -80,6 +80,26 @@ def test_op7_windows_alone_reach_the_recall(spark, sf, monkeypatch):
     assert np.mean([len({r.vec_id for r in rs} & {i for i, _ in want[q]}) / 20 for q, rs in got.items()]) >= 0.9
 
 
+def test_op7_spread_knows_every_length(spark, monkeypatch):
+    import furrow.llm.hilbert_ann as ann
+    monkeypatch.setattr(ann, "SAMPLE", 60)
+    monkeypatch.setattr(ann, "SAMPLE_LEAST", 30, raising=False)
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(30, 3))
+    rows = [(n, v.tolist()) for n, v in enumerate([*rng.normal(size=(3000, 8)), *few])]
+    spread = ann._spread(ann.packed(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v"))
+    assert sorted(spread) == [3, 8]
+    for c, (w, _) in enumerate(ann._projections(3)):
+        assert spread[3][c] == pytest.approx(np.quantile(few @ w, np.linspace(0, 1, 257), axis=0).T)
+
+
+def test_op7_tiles_do_not_change_the_result(spark, sf, monkeypatch):
+    import furrow.llm.hilbert_ann as ann
+    want = sorted(op7_hilbert_ann(spark, sf).collect())
+    monkeypatch.setattr(ann, "TILE", 3)
+    assert sorted(op7_hilbert_ann(spark, sf).collect()) == want
+
+
 def test_hilbert_curve_steps_to_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = hilbert_keys(grid, 3)
