@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
+from furrow.llm import fill_middle
 from furrow.llm.hilbert_ann import nearest
 from furrow.llm.html_text import extract
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
@@ -94,5 +95,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op5_exact_topk, op6_minhash_forest, op7_hilbert_ann, op8_quality_fm, op9_line_dedup, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = fill_middle.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    made = fill_middle.digests(fill_middle.fill_in_middle(stored))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op5_exact_topk, op6_minhash_forest, op7_hilbert_ann, op8_quality_fm, op9_line_dedup, op10_token_counts,
+                                op11_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op11_fill_in_middle": fill_middle.ORACLE}
