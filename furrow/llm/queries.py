@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
-from furrow.llm import fill_middle
+from furrow.llm import fill_middle, filter_audit
 from furrow.llm.hilbert_ann import nearest
 from furrow.llm.html_text import extract
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
@@ -101,6 +101,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cells = filter_audit.document_cells(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return filter_audit.interactions(cells, filter_audit.LETTERS)
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op5_exact_topk, op6_minhash_forest, op7_hilbert_ann, op8_quality_fm, op9_line_dedup, op10_token_counts,
-                                op11_fill_in_middle)}
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op11_fill_in_middle": fill_middle.ORACLE}
+                                op11_fill_in_middle, op12_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op11_fill_in_middle": fill_middle.ORACLE,
+                              "op12_filter_audit": filter_audit.ORACLE}
