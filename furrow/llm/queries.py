@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import Vocabulary
 from furrow.llm.common import table
-from furrow.llm import fill_middle, filter_audit
+from furrow.llm import fill_middle, filter_audit, url_filter
 from furrow.llm.hilbert_ann import nearest
 from furrow.llm.html_text import extract
 from furrow.llm.line_dedup import ORACLE as LINE_SQL
@@ -107,7 +107,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(cells, filter_audit.LETTERS)
 
 
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_lattice_lm, op4_html_text, op5_exact_topk, op6_minhash_forest, op7_hilbert_ann, op8_quality_fm, op9_line_dedup, op10_token_counts,
-                                op11_fill_in_middle, op12_filter_audit)}
+                                op11_fill_in_middle, op12_filter_audit, op13_link_trust)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op11_fill_in_middle": fill_middle.ORACLE,
                               "op12_filter_audit": filter_audit.ORACLE}
