@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD_SEP, fresh, materialize
+from furrow.llm.salting import hot_keys, salted_join
 
-#: Lines with fewer distinct words are left alone, unless the caller sets another
-#: minimum; the join is exact down to 1.
-MIN_WORDS = 5
+#: Lines with fewer distinct words are left alone. One takes every line that has
+#: a word; a caller may set a higher minimum to spare short lines that repeat.
+MIN_WORDS = 1
 #: Similarity, as a percentage so that every bound is an exact integer.
 PERCENT = 80
 #: Counters of the rarity table: 2 ** BITS bytes.
@@ -68,15 +69,14 @@ def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
 
 def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    names = [str(v) for v in range(128)]
-    table = F.split(F.lit(",".join([names[v] for v in levels])), ",").cast("array<tinyint>")  # folds to a literal
+    table = F.lit(levels)  # one byte a bucket, each an ASCII character
 
-    def number(word):
-        h = F.xxhash64(word)
-        level = F.get(table, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long")
+    def number(h):
+        level = F.ascii(F.substring(table, h.bitwiseAND((1 << bits) - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(_HASH))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_WORDS) -> DataFrame:
@@ -152,7 +152,8 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
     gone = gone.unionAll(_verify(_pairs(large, probes, earlier), docs)).distinct()
     # all lines of a set but the first go, and the first if its set matched
     first = lines.groupBy("s").agg(F.min(F.struct("d", "l")).alias("first"))
-    later = lines.select("s", "d", "l").join(first, "s").where("struct(d, l) <> first").select("d", "l")
+    # a line that very many documents share is one set: its rows are salted
+    later = salted_join(lines.select("s", "d", "l"), first, "s", hot_keys(lines, "s")).where("struct(d, l) <> first").select("d", "l")
     return later.unionAll(gone)
 
 

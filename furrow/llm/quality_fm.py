@@ -7,8 +7,8 @@ features interact by the product of their vectors; with
     sum over pairs <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2
 
 a text is scored in time linear in its features. The model is fitted on a
-bounded sample of labelled rows, on the driver, and scores whole texts inside
-the partitions.
+bounded sample of labelled rows, in one task, and scores whole texts inside the
+partitions.
 """
 
 from __future__ import annotations
@@ -131,9 +131,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(n, row, index, value)[0], -500, 500)))
 
 
-def train(texts: list[str], labels: np.ndarray) -> Machine:
-    """Fit by Adam on the logistic loss. Without both labels the machine is
-    the share of label 1 alone (one half without any row)."""
+def train(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
+    """Fit by Adam on the logistic loss to (index, value) arrays, one pair a
+    text. Without both labels the machine is the share of label 1 alone (one
+    half without any row)."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     rng = np.random.default_rng(SEED)
     size = Features.size
@@ -141,20 +142,14 @@ def train(texts: list[str], labels: np.ndarray) -> Machine:
     if len(np.unique(labels)) < 2:
         m.vector[:] = 0
         return m
-    made, parts = Features(), []
-    for k in range(0, len(texts), 512):
-        row, index, value = made.of(texts[k:k + 512])
-        order = np.argsort(row, kind="stable")
-        parts.append(((row[order] + k).astype(np.int32), index[order].astype(np.int32), value[order].astype(np.float32)))
-    row, index, value = map(np.concatenate, zip(*parts))
-    del parts
-    begin = np.searchsorted(row, np.arange(len(texts) + 1))
+    index, value = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    begin = np.r_[0, np.cumsum([len(i) for i, _ in parts])]
     params = np.vstack([m.weight, m.vector])
     m1, m2, step = np.zeros_like(params), np.zeros_like(params), 0
     bias = np.zeros(3)
     bias[0] = m.bias
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(parts))
         for k in range(0, len(order), BATCH):
             rows = order[k:k + BATCH]
             n_of = begin[rows + 1] - begin[rows]
@@ -176,17 +171,52 @@ def train(texts: list[str], labels: np.ndarray) -> Machine:
     return Machine(float(bias[0]), params[0].copy(), params[1:].copy())
 
 
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The first ``sample`` of the labelled rows in the order of (hash of the
+    key, hash of the text, label), which depends on the rows alone, as h, t,
+    label, text. Rows with a null label are no labelled rows."""
+    order = ["h", "t", "label"]
+    rows = labelled.where("label is not null").select(F.xxhash64("key", F.lit(SEED)).alias("h"), F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = rows.withColumn("t", F.xxhash64("text"))
+    # the last place first, so that only the sample's texts are sorted
+    last = rows.select(F.struct(*order).alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    if last is not None:
+        rows = rows.where(F.struct(*order) <= F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order, last, ("long", "long", "double"))]))
+    return rows.orderBy(*order).limit(sample)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on labelled rows (key, text, label 0 or 1): at most ``sample``,
-    chosen by a hash of the key, so reruns agree. Rows with a null label are
-    no labelled rows; null texts count as empty."""
-    rows = labelled.where("label is not null")
-    total = rows.count()
-    keep = 1_000_000 if total <= sample else int(1_000_000 * sample / total)
-    picked = rows.withColumn("h", F.xxhash64("key", F.lit(SEED))).where(F.pmod("h", F.lit(1_000_000)) < keep)
-    got = picked.select("h", F.coalesce("text", F.lit("")).alias("text"), "label").limit(sample).toPandas()
-    got = got.sort_values(["h", "text", "label"])
-    return train(got["text"].tolist(), got["label"].to_numpy(float))
+    """Fit on labelled rows (key, text, label 0 or 1), at most ``sample`` of
+    them (:func:`sampled`), so reruns agree. Features are made in the tasks,
+    one task fits on the sample, and only the machine reaches the driver. Null
+    texts count as empty."""
+
+    def features(rows):
+        made = Features()
+        for b in rows:
+            for piece in batches([b], PIECE_BYTES):
+                row, index, value = made.of(piece.column("text").to_pylist())
+                order = np.argsort(row, kind="stable")
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=piece.num_rows))].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v[order].astype(k))) for v, k in ((index, np.int32), (value, np.float32))]
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in ("h", "t", "label")] + lists, names=["h", "t", "label", "index", "value"])
+
+    def learn(rows):
+        parts, keys = [], []
+        for b in rows:
+            keys += zip(*(b.column(c).to_pylist() for c in ("h", "t", "label")))
+            lists = [b.column(c) for c in ("index", "value")]
+            parts += [tuple(x[k].values.to_numpy() for x in lists) for k in range(b.num_rows)]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        machine = train([parts[k] for k in order], np.array([keys[k][2] for k in order]))
+        yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), pa.array([machine.weight.tobytes()]), pa.array([machine.vector.tobytes()])],
+                                         names=["bias", "weight", "vector"])
+
+    made = sampled(labelled, sample).mapInArrow(features, "h long, t long, label double, index array<int>, value array<float>")
+    got = made.coalesce(1).mapInArrow(learn, "bias double, weight binary, vector binary").collect()
+    if not got:  # no labelled row, no task
+        return train([], np.zeros(0))
+    return Machine(got[0].bias, np.frombuffer(got[0].weight), np.frombuffer(got[0].vector).reshape(FACTORS, Features.size))
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:

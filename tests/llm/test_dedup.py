@@ -94,13 +94,13 @@ def test_op9_equals_its_sql(spark, sf):
     assert oracle_check.compare(spark, con, "op9", op9_line_dedup, ORACLE_SQL["op9_line_dedup"], sf)["status"] == "OK"
 
 
-def _plain(rows):
+def _plain(rows, least=1):
     """Lines to remove, by comparing every line with all earlier ones."""
     seen, out = [], defaultdict(list)
     for i, t in sorted(rows):
         for k, line in enumerate(t.split("\n")):
             x = set(line.encode().split())
-            if len(x) < 5:
+            if len(x) < least:
                 continue
             if any(180 * len(x & y) >= 80 * (len(x) + len(y)) for y in seen):
                 out[i].append(k)
@@ -145,8 +145,14 @@ def test_op9_minimum_of_words_is_the_callers(spark):
             if words and words in seen:
                 want[i].append(k)
             seen.add(words)
-    assert {r.doc_id: r.removed for r in dedup_lines(df, min_words=1).collect()} == want
-    assert all(r.removed == [] for r in dedup_lines(df).collect())
+    assert {r.doc_id: r.removed for r in dedup_lines(df).collect()} == want
+    assert all(r.removed == [] for r in dedup_lines(df, min_words=5).collect())
+
+
+def test_a_line_that_most_documents_share(spark):
+    rows = [(i, f"the line that all of them have\nown{i} words{i} here{i}") for i in range(300)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in got} == {i: [0] if i else [] for i in range(300)}
 
 
 def test_odd_rows_lines(odd_docs, no_docs):

@@ -40,16 +40,12 @@ def test_reruns_agree_and_other_columns_do_not_matter(spark, sf):
     assert one.bias == two.bias and (one.weight == two.weight).all() and (one.vector == two.vector).all()
 
 
-def test_sample_is_bounded(spark):
-    rows = spark.range(3000).selectExpr("id as key", "concat('w', id % 7) as text", "cast(id % 2 as double) as label")
-    seen = {}
-    original = quality_fm.train
-    try:
-        quality_fm.train = lambda texts, labels: seen.update(n=len(texts)) or original(texts[:10], labels[:10])
-        quality_fm.fit(rows, sample=500)
-    finally:
-        quality_fm.train = original
-    assert 300 < seen["n"] <= 500
+def test_sample_is_bounded_and_depends_on_the_rows_alone(spark):
+    rows = spark.range(9000).selectExpr("id div 2 as key", "concat('w', id % 7) as text", "cast(id % 2 as double) as label")
+    a, b = (sorted(map(tuple, quality_fm.sampled(rows.repartition(n), 2000).collect())) for n in (3, 7))
+    assert a == b and len(a) == 2000
+    same = spark.range(500).selectExpr("1 as key", "'x' as text", "cast(id % 2 as double) as label")
+    assert quality_fm.sampled(same, 50).count() == 50 and quality_fm.sampled(rows.limit(0), 50).count() == 0
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
