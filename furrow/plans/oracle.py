@@ -504,6 +504,12 @@ Q["ridge_fit"] = with_(HOLD, f"""SELECT {KEYS}, round(alpha, 6) AS alpha, degree
 Q["ridge_holdout_metrics"] = with_(HOLD, "SELECT * REPLACE (" + r6("rmse", "mae", "r2") + ") FROM (" +
                                    metrics_sql("ho_pred", KEYS + ", part") + ")")
 
+Q["csv_by_header"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 2 THEN o_orderstatus END AS o_orderstatus,
+  round(CAST(o_totalprice AS DOUBLE), 6) AS o_totalprice, o_orderpriority, 'p' || CAST(o_orderkey % 4 AS VARCHAR) AS folder
+  FROM orders WHERE o_orderkey % 100 NOT IN (1, 3)"""
+Q["csv_rejected"] = """SELECT 'p' || CAST(o_orderkey % 4 AS VARCHAR) AS folder, count(*) AS bad_rows
+  FROM orders WHERE o_orderkey % 100 IN (1, 3) GROUP BY 1"""
+
 # learning curve
 _step = (1.0 - 0.1) / 9
 _fracs = [i * _step + 0.1 for i in range(9)] + [1.0]

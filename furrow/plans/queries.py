@@ -27,6 +27,7 @@ from furrow.operators.common import materialize
 from furrow.session import ensure_checkpoint_dir
 from furrow.sources.adapters import SERIES_KEYS, obs_long, obs_raw
 from furrow.sources.sinks import load_coefficients, save_coefficients, write_table
+from furrow.sources.csv_files import rejected_counts, scan_csv_checked
 from furrow.sources.tables import read_table, scan_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -448,6 +449,44 @@ def q_csv(spark, sf):
     return scan_csv(spark, path, d.schema)
 
 
+def _csv_files(spark, sf):
+    """Orders as CSV folders whose files order their columns differently; some
+    lack a column, have another, or hold lines that don't fit."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", (F.col("o_orderkey") % 4).alias("p"),
+                                               (F.col("o_orderkey") % 100).alias("r"))
+    text = F.when(F.col("r") == 1, F.lit("unknown")).otherwise(F.col("o_totalprice").cast("string"))
+    loose = F.when(F.col("r") == 3, F.concat("o_orderpriority", F.lit(",more"))).otherwise(F.col("o_orderpriority"))
+    parts = {"p0": ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
+             "p1": [text.alias(" o_totalprice"), "o_orderpriority", "o_orderkey", "o_orderstatus"],
+             "p2": ["o_orderpriority", "o_orderkey", "o_totalprice"],
+             "p3": [F.lit("x").alias("o_comment"), "o_totalprice", loose.alias("o_orderpriority"), "o_orderstatus", "o_orderkey"]}
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/furrow-csv/{uuid.uuid4().hex}"
+    for i, (name, columns) in enumerate(parts.items()):
+        # without quotes in the last one, so that a comma in a value is one field more
+        out = o.where(F.col("p") == i).select(*columns).write.option("header", True)
+        (out.option("quote", "\u0000") if i == 3 else out).csv(f"{base}/{name}")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()),
+                           T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_orderpriority", T.StringType())])
+    return scan_csv_checked(spark, [f"{base}/{n}" for n in parts], schema, with_source=True)
+
+
+def _folder(file):
+    return F.element_at(F.split(file, "/"), -2)
+
+
+@query("csv_by_header")
+def q_csv_by_header(spark, sf):
+    """CSV files of different column orders as one table, with provenance."""
+    return _csv_files(spark, sf).rows.withColumn("source_file", _folder("source_file")).withColumnRenamed("source_file", "folder")
+
+
+@query("csv_rejected")
+def q_csv_rejected(spark, sf):
+    """Unreadable CSV lines per folder."""
+    per_file = rejected_counts(_csv_files(spark, sf))
+    return per_file.groupBy(_folder("source_file").alias("folder")).agg(F.sum("bad_rows").alias("bad_rows"))
+
+
 @query("hac_pvalues", exact=True)
 def q_hac_p(spark, sf):
     from furrow.functions.distributions import hac_pvalues

@@ -1,4 +1,4 @@
-"""Scans: parquet test tables and CSV long-format files under one schema."""
+"""Scans: parquet tables and CSV long-format files under one schema."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from furrow.sources.csv_files import scan_csv_checked
+
 # The raw long-format statistics table. VALUE is read as text so that the
 # cleaning chain owns number coercion (bad cells become null, not errors).
 RAW_SCHEMA = T.StructType([
@@ -43,22 +45,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_SCHEMA,
              with_source: bool = False) -> DataFrame:
-    """Header CSV (quoted commas allowed) from a path, glob or path list.
-
-    All files are read as one table under one explicit schema (no inference
-    pass over the data). ``with_source`` adds the originating file path.
-    Column names are stripped of surrounding whitespace.
+    """The readable rows of CSV files from a path, glob or path list, as one
+    table under one explicit schema (no inference pass over the data); columns
+    are found by each file's own header. ``with_source`` adds the originating
+    file path. :func:`furrow.sources.csv_files.scan_csv_checked` also gives the
+    lines that could not be read.
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    df = (spark.read.schema(schema)
-          .option("header", True)
-          .option("quote", '"')
-          .option("escape", '"')
-          .option("mode", "PERMISSIVE")
-          .csv(list(paths)))
-    df = df.toDF(*[c.strip() for c in df.columns])
-    if with_source:
-        from pyspark.sql import functions as F
-        df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    return df
+    return scan_csv_checked(spark, paths, schema, with_source).rows
