@@ -11,11 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.functions.columns import probit
-from furrow.operators.common import attach
+from furrow.operators.common import attach, attach_checked, materialize, reserved_keys
+from furrow.operators.quantiles import exact_quantiles
 from furrow.operators.trend import fitted_values, ols_fit
 
 Z975 = 1.959963984540054   # standard normal 97.5 % point
@@ -30,6 +35,7 @@ def ols_residuals(points: DataFrame, keys: Sequence[str], x: str = "x", y: str =
     return fitted_values(points, fit, keys, x, y), fit
 
 
+@reserved_keys
 def newey_west(points: DataFrame, keys: Sequence[str], maxlags: int = HAC_LAGS,
                x: str = "x", y: str = "y") -> DataFrame:
     """HAC (Bartlett kernel) standard errors of the OLS trend, no small-sample
@@ -69,6 +75,7 @@ def newey_west(points: DataFrame, keys: Sequence[str], maxlags: int = HAC_LAGS,
                     "hac_t_slope", "hac_t_intercept", "hac_f")
 
 
+@reserved_keys
 def durbin_watson(resid: DataFrame, keys: Sequence[str], x: str = "x", e: str = "resid") -> DataFrame:
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(x)
@@ -76,6 +83,7 @@ def durbin_watson(resid: DataFrame, keys: Sequence[str], x: str = "x", e: str =
     return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col(e) * F.col(e))).alias("dw"))
 
 
+@reserved_keys
 def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
                  x: str = "x", e: str = "resid") -> DataFrame:
     """Biased ACF (divide by the lag-0 sum) for lags 0..nlags, Bartlett band."""
@@ -98,6 +106,7 @@ def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
     return long.select(*keys, "lag", "acf", band.alias("band"))
 
 
+@reserved_keys
 def residual_qq(resid: DataFrame, keys: Sequence[str], e: str = "resid") -> DataFrame:
     """Sorted residuals against normal quantiles of i/(n+1); reference line
     through mean and population sd of the residuals."""
@@ -112,6 +121,7 @@ def residual_qq(resid: DataFrame, keys: Sequence[str], e: str = "resid") -> Data
                     (F.col("_s") * th + F.col("_m")).alias("line"))
 
 
+@reserved_keys
 def normality_tests(resid: DataFrame, keys: Sequence[str], e: str = "resid") -> DataFrame:
     """Skew, kurtosis (population moments), Jarque-Bera and D'Agostino-
     Pearson omnibus K^2, with chi-square(2) tail probabilities. Every series
@@ -149,24 +159,88 @@ def normality_tests(resid: DataFrame, keys: Sequence[str], e: str = "resid") ->
                     k2.alias("omnibus"), F.exp(-k2 / 2).alias("omnibus_pvalue"))
 
 
+#: Series whose sums a task holds at once.
+KDE_HELD = 10_000
+
+
+@reserved_keys
 def residual_kde(resid: DataFrame, keys: Sequence[str], e: str = "resid", points: int = KDE_POINTS) -> DataFrame:
     """Gaussian KDE on an even grid from min to max, Scott bandwidth
-    n^(-1/5) * sample sd. Each residual meets the fixed 200-point grid of
-    its own series: work is linear in the series length (no pairs of
-    residuals are formed)."""
+    n^(-1/5) * sample sd. Tasks add the kernels of their residuals into one
+    array of ``points`` numbers per series, and the arrays are summed place by
+    place. A series with fewer than two residuals or none of spread keeps one
+    row with nulls; null residuals don't count."""
     keys = list(keys)
-    st = resid.groupBy(*keys).agg(F.count(e).alias("n"), F.min(e).alias("lo"), F.max(e).alias("hi"),
-                                  F.stddev_samp(e).alias("sd"))
-    st = st.where((F.col("n") >= 2) & (F.col("sd") > 0)) \
-           .withColumn("h", F.pow(F.col("n").cast("double"), -0.2) * F.col("sd"))
-    grid = st.select(*keys, "n", "h", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
-    grid = grid.withColumn("gx", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / F.lit(points - 1.0))
-    pairs = attach(grid, resid.select(*keys, F.col(e).alias("_e")), keys)
-    u = F.try_divide(F.col("gx") - F.col("_e"), F.col("h"))
-    dens = F.try_divide(F.sum(F.exp(-0.5 * u * u)), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return pairs.groupBy(*keys, "g", "gx", "n", "h").agg(dens.alias("density")).select(*keys, "g", "gx", "density")
-
-
+    st = resid.groupBy(*keys).agg(F.count(e).alias("n"), F.min(e).alias("lo"), F.max(e).alias("hi"), F.stddev_samp(e).alias("sd"))
+    st = materialize(st.withColumn("h", F.when((F.col("n") >= 2) & (F.col("sd") > 0), F.pow(F.col("n").cast("double"), -0.2) * F.col("sd"))), "kde-stats")
+    rows = attach_checked(resid.where(F.col(e).isNotNull()).select(*keys, F.col(e).cast("double").alias("e")),
+                          st.where("h is not null").select(*keys, "lo", "hi", "h"), keys, "kde-stats")
+    kept = [rows.schema[k] for k in keys]
+
+    def kernels(batches):
+        sums: dict = {}
+
+        def out():
+            cells = list(zip(*sums)) if keys else []
+            columns = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(cells, kept)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.list_(pa.float64()))], names=[*keys, "sums"])
+
+        for b in batches:
+            ids: dict = {}
+            code = np.fromiter((ids.setdefault(k, len(ids)) for k in zip(*(b.column(k).to_pylist() for k in keys))) if keys
+                               else (ids.setdefault((), 0) for _ in range(b.num_rows)), np.int64, b.num_rows)
+            value, lo, hi, h = (b.column(c).to_numpy() for c in ("e", "lo", "hi", "h"))
+            for key, i in ids.items():
+                at = np.flatnonzero(code == i) if len(ids) > 1 else np.arange(b.num_rows)
+                grid = lo[at[0]] + (hi[at[0]] - lo[at[0]]) * np.arange(points) / (points - 1.0)
+                total = sums.setdefault(key, np.zeros(points))
+                for part in np.array_split(value[at], len(at) // 1000 + 1):
+                    total += np.exp(-0.5 * ((grid[:, None] - part) / h[at[0]]) ** 2).sum(1)
+            if len(sums) > KDE_HELD:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    parts = rows.mapInArrow(kernels, T.StructType([*kept, T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+    summed = parts.select(*keys, F.posexplode("sums").alias("g", "s")).groupBy(*keys, "g").agg(F.sum("s").alias("s"))
+    out = attach(summed, st, keys)
+    dens = F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    out = out.select(*keys, "g", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / F.lit(points - 1.0)).alias("gx"), dens.alias("density"))
+    none = F.lit(None)
+    return out.unionByName(st.where("h is null").select(*keys, none.cast("int").alias("g"), none.cast("double").alias("gx"), none.cast("double").alias("density")))
+
+
+@reserved_keys
+def residual_histogram(resid: DataFrame, keys: Sequence[str], e: str = "resid") -> DataFrame:
+    """Histogram per series with an automatic number of even bins from min to
+    max: the smaller of the Sturges width, range / (log2(n) + 1), and the
+    Freedman-Diaconis width, 2 * IQR / n^(1/3) (left out if the IQR is 0), from
+    exact quartiles. The last bin is closed; empty bins have a row. Residuals
+    without spread make one bin of width 1 around them; a series without
+    residuals keeps a row of nulls."""
+    keys = list(keys)
+    rows = resid.select(*keys, F.col(e).cast("double").alias("e"))
+    st = attach(rows.groupBy(*keys).agg(F.count("e").alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi")),
+                exact_quantiles(rows.where(F.col("e").isNotNull()), "e", {"q1": 0.25, "q3": 0.75}, keys), keys, "left")
+    span, n = F.col("hi") - F.col("lo"), F.col("n").cast("double")
+    sturges = span / (F.log2(n) + 1)
+    fd = 2 * (F.col("q3") - F.col("q1")) / F.pow(n, 1 / 3)
+    width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
+    st = st.withColumn("bins", F.when(span > 0, F.ceil(span / width).cast("int")).when(span == 0, F.lit(1)))
+    st = st.withColumn("from", F.when(span > 0, F.col("lo")).otherwise(F.col("lo") - 0.5)).withColumn("wide", F.when(span > 0, span / F.col("bins")).otherwise(F.lit(1.0)))
+    st = materialize(st.select(*keys, "bins", "from", "wide"), "bin-stats")
+    rows = attach_checked(rows.where(F.col("e").isNotNull()), st, keys, "bin-stats")
+    place = F.least(F.floor((F.col("e") - F.col("from")) / F.col("wide")).cast("int") + 1, F.col("bins"))
+    counts = rows.groupBy(*keys, place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = st.select(*keys, "from", "wide", F.explode_outer(F.when(F.col("bins") > 0, F.sequence(F.lit(1), F.col("bins")))).alias("bin"))
+    out = attach(every, counts, [*keys, "bin"], "left")
+    low = F.col("from") + F.col("wide") * (F.col("bin") - 1)
+    return out.select(*keys, "bin", F.when(F.col("bin").isNotNull(), low).alias("bin_lo"), F.when(F.col("bin").isNotNull(), low + F.col("wide")).alias("bin_hi"),
+                      F.when(F.col("bin").isNotNull(), F.coalesce("count", F.lit(0))).alias("count"))
+
+
+@reserved_keys
 def pred_vs_actual(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """Pairs plus identity-line limits (min and max over both) per series."""
     keys = list(keys)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.common import reserved_keys
 from furrow.operators.clean import filter_statistic, total_series_rows, winsorize
 
 
@@ -38,6 +39,7 @@ def series_points(obs: DataFrame, keys: Sequence[str], period: str = "period_idx
              .withColumnRenamed(period, "x"))
 
 
+@reserved_keys
 def number_points(points: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
     """0-based position ``rn`` and size ``n`` of each point in its series."""
     keys = list(keys)
@@ -46,6 +48,7 @@ def number_points(points: DataFrame, keys: Sequence[str], x: str = "x") -> DataF
                   .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")))
 
 
+@reserved_keys
 def temporal_split(points: DataFrame, keys: Sequence[str], x: str = "x", test_frac: float = 0.2) -> DataFrame:
     """Last max(1, ceil(test_frac * n)) periods of each series are test."""
     p = number_points(points, keys, x)
@@ -55,24 +58,25 @@ def temporal_split(points: DataFrame, keys: Sequence[str], x: str = "x", test_fr
              .withColumn("is_test", F.col("rn") >= F.col("n_train")))
 
 
+@reserved_keys
 def ts_cv_folds(split: DataFrame, keys: Sequence[str], n_splits: int = 5) -> DataFrame:
     """Expanding-window folds over each series' training rows.
 
     test block size = n_train // (n_splits + 1); fold i trains on every row
     before its block. Rows get one output row per fold they take part in,
-    with ``role`` 'train' or 'test'. Series too short for a block are absent.
+    with ``role`` 'train' or 'test'. A series too short for a block keeps its
+    rows once, without a fold and with the role 'too short'.
     """
-    tr = split.where(~F.col("is_test"))
-    ts = (F.col("n_train") / F.lit(n_splits + 1)).cast("int")
-    f = tr.withColumn("_ts", ts).where(F.col("_ts") > 0) \
-          .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    start = F.col("n_train") - (F.lit(n_splits) - F.col("fold")) * F.col("_ts")
-    f = f.withColumn("_start", start)
-    f = f.where(F.col("rn") < F.col("_start") + F.col("_ts"))
-    return (f.withColumn("role", F.when(F.col("rn") < F.col("_start"), F.lit("train")).otherwise(F.lit("test")))
-             .drop("_ts", "_start"))
+    f = split.withColumn("_ts", (F.col("n_train") / F.lit(n_splits + 1)).cast("int")).where(~F.col("is_test") | (F.col("_ts") == 0))
+    folds = F.when(F.col("_ts") > 0, F.sequence(F.lit(0), F.lit(n_splits - 1))).otherwise(F.array(F.lit(None).cast("int")))
+    f = f.withColumn("fold", F.explode(folds))
+    f = f.withColumn("_start", F.col("n_train") - (F.lit(n_splits) - F.col("fold")) * F.col("_ts"))
+    f = f.where((F.col("_ts") == 0) | (F.col("rn") < F.col("_start") + F.col("_ts")))
+    role = F.when(F.col("_ts") == 0, F.lit("too short")).when(F.col("rn") < F.col("_start"), F.lit("train")).otherwise(F.lit("test"))
+    return f.withColumn("role", role).drop("_ts", "_start")
 
 
+@reserved_keys
 def recent(df: DataFrame, keys: Sequence[str], order_col: str, n: int = 20) -> DataFrame:
     """Last ``n`` periods of each series."""
     w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())

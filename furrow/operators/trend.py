@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.operators.common import attach
+from furrow.operators.common import attach, reserved_keys
 
 
+@reserved_keys
 def ols_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     keys = list(keys)
     p = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
@@ -31,6 +32,7 @@ def ols_fit(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
     return g.withColumn("r2", F.when(F.col("syy") != 0, F.lit(1.0) - F.try_divide(F.col("ssr"), F.col("syy"))))
 
 
+@reserved_keys
 def fitted_values(points: DataFrame, fit: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     j = attach(points, fit.select(*keys, "slope", "intercept", "x_mean"), keys)
     j = j.withColumn("y_hat", F.col("intercept") + F.col("slope") * F.col(x).cast("double"))
@@ -68,6 +70,7 @@ def ols_inference(fit: DataFrame) -> DataFrame:
     })
 
 
+@reserved_keys
 def regression_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """n, RMSE, MAE and R^2 = 1 - SSE/SST (null when SST is 0; can be < 0)."""
     keys = list(keys)
@@ -80,6 +83,7 @@ def regression_metrics(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat
             .drop("_sse", "_sst")
 
 
+@reserved_keys
 def baseline_comparison(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Linear trend vs mean predictor on each whole series, long format."""
     keys = list(keys)

@@ -154,7 +154,9 @@ CTE["split"] = """SELECT *, n - n_test AS n_train, rn >= n - n_test AS is_test
 CTE["folds"] = """SELECT s.*, CAST(f.fold AS INTEGER) AS fold,
          CASE WHEN rn < n_train - (5 - f.fold) * (n_train // 6) THEN 'train' ELSE 'test' END AS role
   FROM split s, range(0, 5) f(fold)
-  WHERE NOT is_test AND n_train // 6 > 0 AND rn < n_train - (5 - f.fold) * (n_train // 6) + n_train // 6"""
+  WHERE NOT is_test AND n_train // 6 > 0 AND rn < n_train - (5 - f.fold) * (n_train // 6) + n_train // 6
+  UNION ALL SELECT s.*, CAST(NULL AS INTEGER) AS fold, 'too short' AS role FROM split s WHERE n_train < 6"""
+SHORT = "'fewer than 6 training points'"
 SPLIT = PTS + ["sp0", "split"]
 FOLDS = SPLIT + ["folds"]
 
@@ -194,15 +196,17 @@ CTE["cv_pred"] = f"""SELECT f.{KEYS.replace(', ', ', f.')}, f.fold, f.y, c.alpha
   FROM folds f JOIN cv_coef c USING ({KEYS}, fold) WHERE f.role = 'test'"""
 CTE["cv_fold_mse"] = f"""SELECT {KEYS}, fold, alpha, degree, grid_idx, avg((y - y_hat) * (y - y_hat)) AS mse
   FROM cv_pred GROUP BY {KEYS}, fold, alpha, degree, grid_idx"""
-CTE["cv"] = f"""SELECT {KEYS}, alpha, degree, grid_idx, avg(mse) AS cv_mse, count(*) AS n_folds
-  FROM cv_fold_mse GROUP BY {KEYS}, alpha, degree, grid_idx"""
-CTE["best"] = f"""SELECT {KEYS}, alpha, degree, cv_mse FROM (
+CTE["cv"] = f"""SELECT {KEYS}, alpha, degree, grid_idx, avg(mse) AS cv_mse, count(*) AS n_folds, CAST(NULL AS VARCHAR) AS reason
+  FROM cv_fold_mse GROUP BY {KEYS}, alpha, degree, grid_idx
+  UNION ALL SELECT DISTINCT {KEYS}, alpha, degree, grid_idx, CAST(NULL AS DOUBLE), 0, {SHORT} FROM split, grid WHERE n_train < 6"""
+CTE["best"] = f"""SELECT {KEYS}, CASE WHEN cv_mse IS NOT NULL THEN alpha END AS alpha,
+  CASE WHEN cv_mse IS NOT NULL THEN degree END AS degree, cv_mse, reason FROM (
   SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY cv_mse, grid_idx) AS _r FROM cv) WHERE _r = 1"""
 CV = FOLDS + ["grid", "cv_tr", "cv_mom", "cv_coef0", "cv_coef", "cv_pred", "cv_fold_mse", "cv"]
 BEST = CV + ["best"]
 CTE["ho_tr"] = f"SELECT {KEYS}, CAST(x AS DOUBLE) AS xd, y FROM split WHERE NOT is_test"
 CTE["ho_mom"] = moments_cte("ho_tr", KEYS)
-CTE["ho_coef0"] = coef_select(f"(SELECT * FROM ho_mom JOIN best USING ({KEYS}))")
+CTE["ho_coef0"] = coef_select(f"(SELECT * REPLACE (coalesce(n_fit, 0) AS n_fit) FROM best LEFT JOIN ho_mom USING ({KEYS}))")
 CTE["ho_coef"] = "SELECT *, my - w1 * mz - w2 * mz2 AS b0 FROM ho_coef0"
 CTE["ho_pred"] = f"""SELECT s.*, CASE WHEN s.is_test THEN 'test' ELSE 'train' END AS part,
          c.b0 + c.w1 * ((CAST(s.x AS DOUBLE) - c.mx) / c.sx) + c.w2 * ((CAST(s.x AS DOUBLE) - c.mx) / c.sx)
@@ -497,8 +501,8 @@ Q["model_comparison_view"] = with_(FV + ["bcomp"], f"""SELECT {KEYS},
   FROM bcomp WHERE model IN ('LinearRegression', 'MeanBaseline')""")
 Q["temporal_split"] = with_(SPLIT, f"SELECT {KEYS}, x, rn, n, n_test, is_test FROM split")
 Q["ts_cv_folds"] = with_(FOLDS, f"SELECT {KEYS}, x, rn, fold, role FROM folds")
-Q["ridge_grid_cv"] = with_(CV, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse, n_folds FROM cv")
-Q["ridge_grid_best"] = with_(BEST, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse FROM best")
+Q["ridge_grid_cv"] = with_(CV, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse, n_folds, reason FROM cv")
+Q["ridge_grid_best"] = with_(BEST, f"SELECT {KEYS}, round(alpha, 6) AS alpha, degree, round(cv_mse, 2) AS cv_mse, reason FROM best")
 Q["ridge_fit"] = with_(HOLD, f"""SELECT {KEYS}, round(alpha, 6) AS alpha, degree, n_fit,
   {r6('mx', 'sx', 'b0', 'w1', 'w2')} FROM ho_coef""")
 Q["ridge_holdout_metrics"] = with_(HOLD, "SELECT * REPLACE (" + r6("rmse", "mae", "r2") + ") FROM (" +
@@ -541,8 +545,10 @@ CTE["lc_va"] = f"SELECT {KEYS}, size, avg(score) AS valid_mean, stddev_pop(score
 Q["learning_curve"] = with_(BEST + ["lc_first", "lc_sizes", "lc_prefix", "lc_tr", "lc_mom", "lc_coef0", "lc_coef",
                                     "lc_trp", "lc_vp", "lc_ts", "lc_vs", "lc_va"],
                             f"""SELECT {KEYS}, size, round(score, 6) AS train_mean,
-  round(CASE WHEN score IS NOT NULL THEN 0.0e0 END, 6) AS train_std, round(valid_mean, 6) AS valid_mean, round(valid_std, 6) AS valid_std
-  FROM lc_ts JOIN lc_va USING ({KEYS}, size)""")
+  round(CASE WHEN score IS NOT NULL THEN 0.0e0 END, 6) AS train_std, round(valid_mean, 6) AS valid_mean, round(valid_std, 6) AS valid_std, CAST(NULL AS VARCHAR) AS reason
+  FROM lc_ts JOIN lc_va USING ({KEYS}, size)
+  UNION ALL SELECT DISTINCT {KEYS}, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), {SHORT}
+  FROM split WHERE n_train < 6""")
 
 # ---- diagnostics ------------------------------------------------------------------------------
 Q["residuals"] = with_(FV + TRES[len(PTS):], f"""SELECT {KEYS}, 'ols_full' AS kind, x, {r6('y', 'y_hat', 'resid')} FROM fv
@@ -605,7 +611,19 @@ Q["residual_kde"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, m
   SELECT {KEYS}, g, round(lo + (hi - lo) * g / 199.0e0, 6) AS gx,
     round(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h)))
           / (n * h * {dbl(2.5066282746310002)}), 6) AS density
-  FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h""")
+  FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h
+  UNION ALL SELECT {KEYS}, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM tres GROUP BY {KEYS}
+    HAVING NOT (count(resid) >= 2 AND coalesce(stddev_samp(resid), 0) > 0)""")
+Q["residual_histogram"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, min(resid) AS lo, max(resid) AS hi,
+         quantile_cont(resid, 0.75) - quantile_cont(resid, 0.25) AS iqr FROM tres GROUP BY {KEYS}),
+  wd AS (SELECT *, (hi - lo) / (log2(n) + 1) AS w1, 2 * iqr / pow(n, 1.0e0 / 3) AS w2 FROM st),
+  bn AS (SELECT *, CASE WHEN hi > lo THEN CAST(ceil((hi - lo) / CASE WHEN w2 > 0 THEN least(w1, w2) ELSE w1 END) AS INTEGER) WHEN hi = lo THEN 1 END AS k FROM wd),
+  sz AS (SELECT *, CASE WHEN hi > lo THEN lo ELSE lo - 0.5e0 END AS fr, CASE WHEN hi > lo THEN (hi - lo) / k ELSE 1.0e0 END AS w FROM bn),
+  ct AS (SELECT {KEYS}, least(CAST(floor((resid - fr) / w) AS INTEGER) + 1, k) AS bin, count(*) AS c
+         FROM tres JOIN sz USING ({KEYS}) WHERE resid IS NOT NULL GROUP BY ALL),
+  ev AS (SELECT {KEYS}, fr, w, CAST(unnest(CASE WHEN k > 0 THEN range(1, k + 1) ELSE [NULL] END) AS INTEGER) AS bin FROM sz)
+  SELECT {KEYS}, bin, round(fr + w * (bin - 1), 6) AS bin_lo, round(fr + w * (bin - 1) + w, 6) AS bin_hi,
+    CASE WHEN bin IS NOT NULL THEN coalesce(c, 0) END AS count FROM ev LEFT JOIN ct USING ({KEYS}, bin)""")
 Q["pred_vs_actual"] = with_(TRES, f"""SELECT {KEYS}, x, round(y, 6) AS actual, round(y_hat, 6) AS predicted, round(resid, 6) AS resid,
   round(least(min(y) OVER w, min(y_hat) OVER w), 6) AS lim_lo, round(greatest(max(y) OVER w, max(y_hat) OVER w), 6) AS lim_hi
   FROM tres WINDOW w AS (PARTITION BY {KEYS})""")

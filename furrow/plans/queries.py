@@ -113,12 +113,17 @@ def _best(spark, sf, pts=None):
     """Chosen (alpha, degree) per series (one row per series), so later fits
     read it instead of re-planning the grid search."""
     pts = pts if pts is not None else _points(spark, sf)
-    return prepared(spark, sf, "ridge-best", lambda: RG.ridge_grid_best(RG.ridge_grid_cv(pts, K, spark), K))
+    return prepared(spark, sf, "ridge-best", lambda: RG.ridge_grid_best(RG.ridge_grid_cv(pts, K, _moments(spark, sf)), K))
+
+
+def _moments(spark, sf):
+    """Running moments of every series (at most 17 rows each)."""
+    return prepared(spark, sf, "ridge-moments", lambda: RG.prefix_moments(_points(spark, sf), K))
 
 
 def _holdout(spark, sf):
     pts = _points(spark, sf)
-    return RG.ridge_holdout_predictions(pts, K, _best(spark, sf, pts))
+    return RG.ridge_holdout_predictions(pts, K, _best(spark, sf, pts), _moments(spark, sf))
 
 
 def _events(spark, sf):
@@ -528,18 +533,18 @@ def q_folds(spark, sf):
 
 @query("ridge_grid_cv", {"cv_mse": 2})
 def q_grid(spark, sf):
-    return RG.ridge_grid_cv(_points(spark, sf), K, spark).select(*K, "alpha", "degree", "cv_mse", "n_folds")
+    return RG.ridge_grid_cv(_points(spark, sf), K, _moments(spark, sf)).drop("grid_idx")
 
 
 @query("ridge_grid_best", {"cv_mse": 2})
 def q_best(spark, sf):
-    return RG.ridge_grid_best(RG.ridge_grid_cv(_points(spark, sf), K, spark), K)
+    return RG.ridge_grid_best(RG.ridge_grid_cv(_points(spark, sf), K, _moments(spark, sf)), K)
 
 
 @query("ridge_fit")
 def q_ridge_fit(spark, sf):
     pts = _points(spark, sf)
-    c = RG.ridge_fit(pts, K, _best(spark, sf, pts))
+    c = RG.ridge_fit(pts, K, _best(spark, sf, pts), _moments(spark, sf))
     return c.select(*K, "alpha", "degree", "n_fit", "mx", "sx", "b0", "w1", "w2")
 
 
@@ -551,7 +556,7 @@ def q_holdout(spark, sf):
 @query("learning_curve")
 def q_learning(spark, sf):
     pts = _points(spark, sf)
-    return RG.learning_curve(pts, K, _best(spark, sf, pts))
+    return RG.learning_curve(pts, K, _best(spark, sf, pts), _moments(spark, sf))
 
 
 # ---- diagnostics ---------------------------------------------------------------------------
@@ -603,6 +608,11 @@ def q_kde(spark, sf):
     return D.residual_kde(_test_resid(spark, sf), K)
 
 
+@query("residual_histogram")
+def q_residual_histogram(spark, sf):
+    return D.residual_histogram(_test_resid(spark, sf), K)
+
+
 @query("pred_vs_actual")
 def q_pva(spark, sf):
     return D.pred_vs_actual(_test_resid(spark, sf), K)

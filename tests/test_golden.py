@@ -66,7 +66,7 @@ CV_TABLE = {  # (degree, alpha) -> mean CV MSE on the first 52 years
 
 
 def test_ridge_grid_and_holdout(spark, pts):
-    cv = RG.ridge_grid_cv(pts, K, spark)
+    cv = RG.ridge_grid_cv(pts, K)
     got = {(r.degree, r.alpha): r.cv_mse for r in cv.collect()}
     for k, v in CV_TABLE.items():
         assert got[k] == pytest.approx(v, abs=5e-5)
@@ -92,7 +92,7 @@ def test_folds_and_learning_curve_sizes(spark, pts):
     for i, start in enumerate([12, 20, 28, 36, 44]):
         assert spans[(i, "train")] == (0, start - 1)
         assert spans[(i, "test")] == (start, start + 7)
-    best = RG.ridge_grid_best(RG.ridge_grid_cv(pts, K, spark), K)
+    best = RG.ridge_grid_best(RG.ridge_grid_cv(pts, K), K)
     lc = RG.learning_curve(pts, K, best).orderBy("size").collect()
     assert [r.size for r in lc] == [1, 2, 3, 4, 6, 7, 8, 9, 10, 12]
     assert lc[0].train_mean is None and lc[0].valid_mean is not None
