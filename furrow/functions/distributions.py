@@ -1,149 +1,132 @@
-"""Student-t / F tail probabilities as Arrow-batched pandas UDFs.
+"""Tail probabilities of Student's t and F, as Column expressions.
 
-Spark SQL has no t or F distribution function, so the regularised incomplete
-beta function is evaluated in numpy (continued fraction, modified Lentz)
-on whole Arrow batches. Used only on per-series summary rows.
+Spark SQL has no t or F distribution function. For whole degrees of freedom
+the tail is a regularised incomplete beta function whose factor is a short
+product and whose continued fraction is a recurrence, so both are an
+``aggregate`` over a sequence inside the row. Quantiles are solved once per
+distinct degrees of freedom and joined.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# the functions travel with the job: executors need no copy of the package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_EPS, _TINY, _MAXIT = 1e-15, 1e-300, 300
-
-
-def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < _TINY, _TINY, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, _MAXIT + 1):
-        m2 = 2.0 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if np.all(np.abs(delta - 1.0) < _EPS):
-            break
-    return h
-
-
-def betainc(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b), vectorised."""
-    a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
-    out = np.full(x.shape, np.nan)
-    ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(x) & (a > 0) & (b > 0) & (x >= 0) & (x <= 1)
-    out[ok & (x == 0)] = 0.0
-    out[ok & (x == 1)] = 1.0
-    mid = ok & (x > 0) & (x < 1)
-    if mid.any():
-        am, bm, xm = a[mid], b[mid], x[mid]
-        lg = np.vectorize(math.lgamma)
-        front = np.exp(lg(am + bm) - lg(am) - lg(bm) + am * np.log(xm) + bm * np.log1p(-xm))
-        direct = xm < (am + 1.0) / (am + bm + 2.0)
-        res = np.empty_like(xm)
-        res[direct] = front[direct] * _betacf(am[direct], bm[direct], xm[direct]) / am[direct]
-        fl = ~direct
-        res[fl] = 1.0 - front[fl] * _betacf(bm[fl], am[fl], 1.0 - xm[fl]) / bm[fl]
-        out[mid] = res
-    return out
-
-
-def t_two_sided_p(t, df) -> np.ndarray:
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def f_sf(f, d1, d2) -> np.ndarray:
-    f, d1, d2 = np.asarray(f, float), np.asarray(d1, float), np.asarray(d2, float)
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
-
-
-def t_ppf(p, df) -> np.ndarray:
-    """Quantile of Student t for p in (0.5, 1), by bisection on the tail."""
-    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
-    lo, hi = np.zeros(p.shape), np.full(p.shape, 1e3)
-    target = 2.0 * (1.0 - p)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        tail = t_two_sided_p(mid, df)
-        lo = np.where(tail > target, mid, lo)
-        hi = np.where(tail > target, hi, mid)
-    return (lo + hi) / 2
-
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(t_two_sided_p(t.to_numpy(float), df.to_numpy(float)))
-
-
-@F.pandas_udf(T.DoubleType())
-def f_pvalue_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(f_sf(f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)))
-
-
-@F.pandas_udf(T.DoubleType())
-def t_crit_udf(df: pd.Series) -> pd.Series:
-    return pd.Series(t_ppf(0.975, df.to_numpy(float)))
 
+from furrow.operators.common import attach, reserved_keys
 
+#: Steps of the continued fraction and of Newton's method.
+STEPS, NEWTON = 200, 8
+#: Degrees of freedom above which the factor comes from its expansion.
+EXACT_DF = 400
+Z975 = 1.959963984540054  # standard normal 97.5 % point
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    d0 = 1 / tiny(1 - (a + b) * x / (a + 1))
+
+    def half(s: Column, term: Column) -> Column:
+        c, d = tiny(1 + term / s["c"]), 1 / tiny(1 + term * s["d"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    def even(s: Column, i: Column) -> Column:
+        m = i.cast("double")
+        return half(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+
+    def odd(s: Column, i: Column) -> Column:
+        m = i.cast("double")
+        return half(s, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+    # terms 1, 2, ... 2 * STEPS: even and odd ones take turns
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    step = lambda s, i: F.when(i % 2 == 0, even(s, (i / 2).cast("int"))).otherwise(odd(s, ((i - 1) / 2).cast("int")))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * STEPS + 1)), start, step, lambda s: s["h"])
+
+
+def _product(terms: Column, factor) -> Column:
+    """Product of factor(j) for j = 1 .. terms (1 for none)."""
+    js = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(js, F.lit(1.0), lambda p, j: p * factor(j.cast("double")))
+
+
+def _factor(d1: int, d2: Column) -> Column:
+    """Gamma(a + b) / (Gamma(a + 1) Gamma(b)) with a = d2 / 2 and b = d1 / 2."""
+    a = d2.cast("double") / 2
+    if d1 % 2 == 0:
+        first, b = F.lit(1.0), 1.0
+    else:
+        half = F.floor(d2 / 2).cast("int")
+        even = _product(half, lambda j: (2 * j - 1) / (2 * j))
+        odd = 2 / math.pi * _product(half, lambda j: 2 * j / (2 * j + 1))
+        far = (1 - 1 / (8 * a) + 1 / (128 * a * a) + 5 / (1024 * a * a * a) - 21 / (32768 * a * a * a * a)) / F.sqrt(a * math.pi)
+        first, b = F.when(d2 > EXACT_DF, far).when(d2 % 2 == 0, even).otherwise(odd), 0.5
+    while b < d1 / 2:
+        first, b = first * (a + b) / b, b + 1
+    return first
+
+
+def f_tail(f: Column, d1: int, d2: Column) -> Column:
+    """P(F > f) for d1 and d2 whole degrees of freedom; null where f is null or
+    d2 is below 1, 1 for f = 0."""
+    d2 = F.when(d2 >= 1, d2.cast("int"))
+    a, b, r = d2.cast("double") / 2, F.lit(d1 / 2), f * d1 / d2.cast("double")
+    x, y = 1 / (1 + r), r / (1 + r)
+    front = _factor(d1, d2) * F.exp(-a * F.log1p(r)) * F.pow(y, b)
+    near = x < (a + 1) / (a + b + 2)
+    return (F.when(f.isNull() | d2.isNull(), F.lit(None).cast("double")).when(f <= 0, F.lit(1.0))
+            .when(near, front * _fraction(a, b, x)).otherwise(1 - front * a / b * _fraction(b, a, y)))
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided P(|T| > |t|) for whole degrees of freedom."""
+    return f_tail(t * t, 1, df)
+
+
+def t_critical(dfs: DataFrame, df: str = "df", out: str = "t_crit") -> DataFrame:
+    """The 97.5 % points of Student's t for the distinct values of ``df``
+    (whole numbers from 1 on): Newton's method from an expansion around the
+    normal point, exact for 1 and 2."""
+    v = F.col(df).cast("double")
+    z = Z975
+    start = (z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v * v * v))
+    scale = _factor(1, F.col(df)) * F.sqrt(v) / 2  # the density at 0
+    slope = lambda t: 2 * scale * F.exp(-(v + 1) / 2 * F.log1p(t * t / v))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.col("start"), lambda t, _: t + (t_tail(t, F.col(df)) - 0.05) / slope(t))
+    known = F.when(F.col(df) == 1, F.lit(math.tan(0.475 * math.pi))).when(F.col(df) == 2, F.lit(0.95 * math.sqrt(2 / (1 - 0.95**2))))
+    distinct = dfs.select(F.col(df).cast("int").alias(df)).where(F.col(df) >= 1).distinct().withColumn("start", start)
+    return distinct.select(df, F.coalesce(known, solved).alias(out))
+
+
+def _with_critical(table: DataFrame, df: Column) -> DataFrame:
+    """``_df`` (null below 1) and ``_tc``, its 97.5 % point."""
+    d = table.withColumn("_df", F.when(df >= 1, df.cast("int")))
+    return attach(d, t_critical(d, "_df", "_tc"), ["_df"], how="left")
+
+
+def _bounds(name: str, se: str) -> list[Column]:
+    return [(F.col(name) - F.col("_tc") * F.col(se)).alias(f"{name}_ci_lo"), (F.col(name) + F.col("_tc") * F.col(se)).alias(f"{name}_ci_hi")]
+
+
+@reserved_keys
 def ols_pvalues(inference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """p-values of t and F and 95 % confidence intervals per series; null for
     a series without residual degrees of freedom."""
-    has = F.col("df_resid") > 0
-    df = F.greatest(F.col("df_resid"), F.lit(1))
-    d = inference.withColumns({
-        "p_slope": F.when(has, t_pvalue_udf(F.col("t_slope"), df)),
-        "p_intercept": F.when(has, t_pvalue_udf(F.col("t_intercept"), df)),
-        "p_f": F.when(has, f_pvalue_udf(F.col("f_stat"), F.lit(1.0), df.cast("double"))),
-        "_tc": F.when(has, t_crit_udf(df.cast("double"))),
-    })
-    return d.select(*keys, "slope", "se_slope", "p_slope",
-                    (F.col("slope") - F.col("_tc") * F.col("se_slope")).alias("slope_ci_lo"),
-                    (F.col("slope") + F.col("_tc") * F.col("se_slope")).alias("slope_ci_hi"),
-                    "intercept", "se_intercept", "p_intercept",
-                    (F.col("intercept") - F.col("_tc") * F.col("se_intercept")).alias("intercept_ci_lo"),
-                    (F.col("intercept") + F.col("_tc") * F.col("se_intercept")).alias("intercept_ci_hi"),
-                    "f_stat", "p_f")
+    d = _with_critical(inference, F.col("df_resid"))
+    return d.select(*keys, "slope", "se_slope", t_tail(F.col("t_slope"), F.col("_df")).alias("p_slope"), *_bounds("slope", "se_slope"),
+                    "intercept", "se_intercept", t_tail(F.col("t_intercept"), F.col("_df")).alias("p_intercept"), *_bounds("intercept", "se_intercept"),
+                    "f_stat", f_tail(F.col("f_stat"), 1, F.col("_df")).alias("p_f"))
 
 
+@reserved_keys
 def hac_pvalues(hac: DataFrame, keys: Sequence[str]) -> DataFrame:
     """p-values, 95 % confidence intervals (t with n - 2 degrees of freedom)
     and p(F) of a robust trend table; null where n - 2 is not positive."""
-    has = F.col("n") > 2
-    df = F.greatest(F.col("n") - 2, F.lit(1)).cast("int")
-    d = hac.withColumns({
-        "p_slope": F.when(has, t_pvalue_udf(F.col("hac_t_slope"), df)),
-        "p_intercept": F.when(has, t_pvalue_udf(F.col("hac_t_intercept"), df)),
-        "p_f": F.when(has, f_pvalue_udf(F.col("hac_f"), F.lit(1.0), df.cast("double"))),
-        "_tc": F.when(has, t_crit_udf(df.cast("double"))),
-    })
-    bounds = [x for c in ("slope", "intercept") for x in (
-        (F.col(c) - F.col("_tc") * F.col(f"hac_se_{c}")).alias(f"{c}_ci_lo"),
-        (F.col(c) + F.col("_tc") * F.col(f"hac_se_{c}")).alias(f"{c}_ci_hi"))]
-    return d.select(*keys, "n", "slope", "hac_se_slope", "p_slope", "intercept", "hac_se_intercept", "p_intercept", *bounds, "hac_f", "p_f")
+    d = _with_critical(hac, F.col("n") - 2)
+    return d.select(*keys, "n", "slope", "hac_se_slope", t_tail(F.col("hac_t_slope"), F.col("_df")).alias("p_slope"),
+                    "intercept", "hac_se_intercept", t_tail(F.col("hac_t_intercept"), F.col("_df")).alias("p_intercept"),
+                    *_bounds("slope", "hac_se_slope"), *_bounds("intercept", "hac_se_intercept"),
+                    "hac_f", f_tail(F.col("hac_f"), 1, F.col("_df")).alias("p_f"))

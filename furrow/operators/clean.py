@@ -16,7 +16,7 @@ from furrow.functions.columns import (
     clip, contains_upper, first_present, nan_to_null, norm_eq, norm_upper,
     regex_contains, to_double, to_int,
 )
-from furrow.operators.common import attach, materialize
+from furrow.operators.common import attach, attach_checked, materialize
 from furrow.operators.quantiles import exact_quantiles
 
 # Fixed labels and patterns of the reference's cleaning rules.
@@ -259,7 +259,9 @@ def outlier_columns(df: DataFrame, value_col: str = "VALUE", keys: Sequence[str]
     statistics table (one moments pass, one quantile pass, one attach)."""
     keys = list(keys)
     st = value_stats(df, value_col, keys, probs={"_lo": lower, "_hi": upper, "_q1": 0.25, "_q3": 0.75})
-    j = attach(df, st.select(*keys, "mean", "std", "_lo", "_hi", "_q1", "_q3"), keys, how="left")
+    # groups without values have a row of moments too, so none is lost
+    st = st.select(*keys, "mean", "std", "_lo", "_hi", "_q1", "_q3")
+    j = attach_checked(df, st, keys, "outlier-stats") if keys else attach(df, st)
     v = F.col(value_col)
     iqr = F.col("_q3") - F.col("_q1")
     zs = F.when(F.col("std") != 0, (v - F.col("mean")) / F.col("std"))
@@ -295,7 +297,9 @@ def impute_group_median(df: DataFrame, value_col: str, group_col: str, out: str
     out = out or value_col
     gm = exact_quantiles(df, value_col, {"_gmed": 0.5}, [group_col])
     om = exact_quantiles(df, value_col, {"_omed": 0.5})
-    j = attach(attach(df, gm, [group_col], how="left"), om)
+    # groups without a value have no median of their own, but a row
+    groups = attach(attach(df.select(group_col).distinct(), gm, [group_col], how="left"), om)
+    j = attach_checked(df, groups, [group_col], "group-medians")
     return j.withColumn(out, F.coalesce(F.col(value_col), F.col("_gmed"), F.col("_omed"))).drop("_gmed", "_omed")
 
 
@@ -305,7 +309,7 @@ def replace_group_outliers(df: DataFrame, value_col: str, group_col: str, thresh
     out = out or value_col
     st = df.groupBy(group_col).agg(F.avg(value_col).alias("_m"), F.stddev_samp(value_col).alias("_s"))
     med = exact_quantiles(df, value_col, {"_med": 0.5}, [group_col])
-    j = attach(attach(df, st, [group_col], how="left"), med, [group_col], how="left")
+    j = attach_checked(df, attach(st, med, [group_col], how="left"), [group_col], "group-stats")
     z = F.when(F.col("_s") != 0, (F.col(value_col) - F.col("_m")) / F.col("_s"))
     return (j.withColumn(out, F.when(F.coalesce(F.abs(z) > threshold, F.lit(False)), F.col("_med"))
                          .otherwise(F.col(value_col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import contains_upper, nan_to_null, norm_eq, to_double, to_int
@@ -16,23 +16,13 @@ def dropped_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Raw rows with no equal row in the cleaned table on all common columns
     (null-safe; raw values are coerced to the cleaned column types)."""
     common = [c for c in raw.columns if c in clean.columns]
-    ctypes = dict(clean.dtypes)
     r = raw
     # existence is all an anti join needs: identical cleaned rows collapse
     # map-side, so copies of one row never pile up in a single join task
     right = clean.select(*[F.col(c).alias(f"__c_{i}") for i, c in enumerate(common)]).distinct()
-    cond = None
-    for i, c in enumerate(common):
-        left = F.col(c)
-        if dict(raw.dtypes)[c] != ctypes[c]:
-            # the coercions of the cleaning chain: a fraction or an overflow is
-            # no integer there, so such a raw row is dropped
-            if ctypes[c] in ("int", "bigint"):
-                left = to_int(c).cast(ctypes[c])
-            else:
-                left = nan_to_null(to_double(c)) if ctypes[c] == "double" else F.col(c).cast(ctypes[c])
-        e = left.eqNullSafe(F.col(f"__c_{i}"))
-        cond = e if cond is None else cond & e
+    cond = F.lit(True)
+    for i, left in enumerate(_coerced(raw, clean, common)):
+        cond = cond & left.eqNullSafe(F.col(f"__c_{i}"))
     return r.join(right, cond, "left_anti")
 
 
@@ -49,29 +39,58 @@ def duplicate_count(df: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def _frame_summary(df: DataFrame, prefix: str) -> DataFrame:
-    """rows, missing cells and duplicate rows from one grouped pass: identical
-    rows are combined map-side, and every count is weighted by group size."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    missing = sum((F.when(F.col(c).isNull(), n).otherwise(F.lit(0)) for c in df.columns), F.lit(0))
-    return g.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"{prefix}_rows"),
-                 F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias(f"{prefix}_missing_total"),
-                 F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias(f"{prefix}_duplicates")) \
-            .withColumn(f"{prefix}_cols", F.lit(len(df.columns)).cast("long"))
+def _digest(columns: Sequence[Column]) -> list[Column]:
+    """128 bits that name a row: two hashes of all values and of which of them
+    are null (hashes skip nulls)."""
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    return [F.xxhash64(nulls, *columns), F.xxhash64(F.lit(1), nulls, *columns)]
+
+
+def _coerced(raw: DataFrame, clean: DataFrame, common: Sequence[str]) -> list[Column]:
+    """Common columns of the raw rows as the cleaning chain reads them: a
+    fraction or an overflow is no integer there."""
+    have, want, out = dict(raw.dtypes), dict(clean.dtypes), []
+    for c in common:
+        if have[c] == want[c]:
+            out.append(F.col(c))
+        elif want[c] in ("int", "bigint"):
+            out.append(to_int(c).cast(want[c]))
+        else:
+            out.append(nan_to_null(to_double(c)) if want[c] == "double" else F.col(c).cast(want[c]))
+    return out
 
 
 def processing_compare(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """rows/cols/missing/duplicates before and after, rows removed and rows
-    dropped by the merge, as (metric, value)."""
-    a, b = _frame_summary(raw, "orig"), _frame_summary(clean, "clean")
-    dropped = dropped_rows(raw, clean).agg(F.count(F.lit(1)).alias("dropped_rows_by_merge"))
-    j = attach(attach(a, b), dropped)
-    j = j.withColumn("rows_removed", F.col("orig_rows") - F.col("clean_rows"))
-    metrics = ["orig_rows", "orig_cols", "orig_missing_total", "orig_duplicates", "clean_rows", "clean_cols",
-               "clean_missing_total", "clean_duplicates", "rows_removed", "dropped_rows_by_merge"]
-    return j.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value"))
-                                        for m in metrics])).alias("_m")).select("_m.*")
+    dropped by the merge, as (metric, value).
+
+    Both tables are read once, as one union of row digests of 128 bits: one
+    for the whole row, one for its values in the common columns. Identical rows
+    are counted together before anything is shuffled, and no row's columns are.
+    """
+    common = [c for c in raw.columns if c in clean.columns]
+
+    def side(df: DataFrame, is_raw: bool, values: list[Column]) -> DataFrame:
+        missing = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0))
+        whole, part = _digest([F.col(c) for c in df.columns]), _digest(values)
+        return df.select(F.lit(is_raw).alias("is_raw"), *[c.alias(n) for n, c in zip(("r1", "r2", "c1", "c2"), whole + part)], missing.alias("missing"))
+
+    rows = side(raw, True, _coerced(raw, clean, common)).unionByName(side(clean, False, [F.col(c) for c in common]))
+    distinct = rows.groupBy("c1", "c2", "is_raw", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"))
+    sides = {"orig": F.col("is_raw"), "clean": ~F.col("is_raw")}
+    per_common = distinct.groupBy("c1", "c2").agg(*[x for s, mine in sides.items() for x in (
+        F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"{s}_rows"), F.count_if(mine).alias(f"{s}_distinct"),
+        F.coalesce(F.sum(F.when(mine, F.col("missing"))), F.lit(0)).alias(f"{s}_missing"))])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = per_common.agg(*[total(f"{s}_{x}").alias(f"{s}_{x}") for s in sides for x in ("rows", "distinct", "missing")],
+                         total(F.when(F.col("clean_rows") == 0, F.col("orig_rows"))).alias("dropped"))
+    metrics = {}
+    for s, df in (("orig", raw), ("clean", clean)):
+        metrics |= {f"{s}_rows": F.col(f"{s}_rows"), f"{s}_cols": F.lit(len(df.columns)), f"{s}_missing_total": F.col(f"{s}_missing"),
+                    f"{s}_duplicates": F.col(f"{s}_rows") - F.col(f"{s}_distinct")}
+    metrics |= {"rows_removed": F.col("orig_rows") - F.col("clean_rows"), "dropped_rows_by_merge": F.col("dropped")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("long").alias("value"))
+                                          for m, v in metrics.items()])).alias("_m")).select("_m.*")
 
 
 def cleaning_audit(raw: DataFrame, clean: DataFrame) -> DataFrame:

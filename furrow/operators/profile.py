@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.operators.common import attach
+from furrow.operators.common import attach, attach_checked, materialize
 from furrow.operators.quantiles import exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -97,7 +97,8 @@ def histogram(df: DataFrame, value_col: str, bins: int = 30, keys: Sequence[str]
     d = df.select(*keys, v.alias("_v")).where(finite)
     rng = d.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     width = F.col("hi") - F.col("lo")
-    b = attach(d, rng, keys).withColumn(
+    rng = materialize(rng, "histogram-ranges") if keys else rng
+    b = (attach_checked(d, rng, keys, "histogram-ranges") if keys else attach(d, rng)).withColumn(
         "bin", F.when(width > 0, F.least((F.floor((F.col("_v") - F.col("lo")) / width * bins) + 1).cast("int"),
                                          F.lit(bins))).otherwise(F.lit(1)))
     cnt = b.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))

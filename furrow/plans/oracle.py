@@ -7,7 +7,15 @@ common table expressions; every query is one WITH statement.
 
 from __future__ import annotations
 
-from furrow.functions.columns import NUMBER_TEXT, NUMBER_TOKEN, _PA, _PB, _PC, _PD, P_LOW
+# fixed values: number patterns, and the rational approximation of the normal
+# quantile with the limit of its tails
+NUMBER_TEXT = r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
+NUMBER_TOKEN = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
+_PA = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+_PB = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01]
+_PC = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+_PD = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
+P_LOW = 0.02425
 
 KEYS = "LOCATION_DESCRIPTION, CLASS_DESCRIPTION"
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -489,6 +497,38 @@ CTE["inf"] = """SELECT *, t_slope * t_slope AS f_stat, -2.0e0 * llf + 4.0e0 AS a
 Q["ols_inference"] = with_(FIT + ["inf0", "inf1", "inf2", "inf"], f"""SELECT {KEYS}, n, df_resid,
   {r6('slope', 'intercept', 'se_slope', 'se_intercept', 't_slope', 't_intercept', 'r2', 'adj_r2', 'f_stat', 'llf', 'aic', 'bic')},
   round(cond_no, 6) AS cond_no FROM inf""")
+
+
+def t_tail_sql(t: str, v: str) -> str:
+    """Two-sided tail of Student's t: the power series of the incomplete beta
+    function in v / (v + t^2), or 1 less that in t^2 / (v + t^2)."""
+    x, y = f"({v} / ({v} + {t} * {t}))", f"({t} * {t} / ({v} + {t} * {t}))"
+    far = f"sqrt({y}) * list_sum([exp(lgamma({v} / 2 + 0.5e0 + i) - lgamma(0.5e0) - lgamma({v} / 2 + 1 + i) + ({v} / 2 + i) * ln({x})) FOR i IN range(0, 2000)])"
+    near = f"1 - sqrt({y}) * list_sum([exp(lgamma({v} / 2 + 0.5e0 + i) - lgamma({v} / 2) - lgamma(1.5e0 + i) + {v} / 2 * ln({x}) + i * ln({y})) FOR i IN range(0, 2000)])"
+    return f"(CASE WHEN {t} IS NULL OR {v} IS NULL OR {v} < 1 THEN NULL WHEN {t} = 0 THEN 1.0e0 WHEN {t} * {t} > 4 THEN {far} ELSE {near} END)"
+
+
+def sig_sql(e: str, name: str) -> str:
+    return f"CASE WHEN {e} IS NOT NULL THEN CAST(printf('%.5e', {e}) AS DOUBLE) END AS {name}"
+
+
+# 97.5 % points by halving, per distinct degrees of freedom
+HALVING = f"""steps(v, lo, hi, k) AS (
+  SELECT DISTINCT v, 0.0e0, 1000.0e0, 0 FROM vs WHERE v >= 1
+  UNION ALL SELECT v, CASE WHEN p > 0.05e0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > 0.05e0 THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM (SELECT *, {t_tail_sql("((lo + hi) / 2)", "v")} AS p FROM steps WHERE k < 60)),
+  crit AS (SELECT v, (lo + hi) / 2 AS tc FROM steps WHERE k = 60)"""
+
+
+def bounds_sql(c: str, se: str) -> str:
+    return f"round({c} - tc * {se}, 6) AS {c}_ci_lo, round({c} + tc * {se}, 6) AS {c}_ci_hi"
+
+
+Q["ols_pvalues"] = with_(FIT + ["inf0", "inf1", "inf2", "inf"], f""", vs AS (SELECT CAST(n - 2 AS DOUBLE) AS v, * FROM inf), {HALVING}
+  SELECT {KEYS}, {r6('slope', 'se_slope')}, {sig_sql(t_tail_sql('t_slope', 'vs.v'), 'p_slope')}, {bounds_sql('slope', 'se_slope')},
+    {r6('intercept', 'se_intercept')}, {sig_sql(t_tail_sql('t_intercept', 'vs.v'), 'p_intercept')}, {bounds_sql('intercept', 'se_intercept')},
+    round(f_stat, 6) AS f_stat, {sig_sql(t_tail_sql('sqrt(f_stat)', 'vs.v'), 'p_f')}
+  FROM vs LEFT JOIN crit ON vs.v = crit.v""").replace("WITH ", "WITH RECURSIVE ", 1)
 Q["regression_metrics"] = with_(FV, "SELECT * REPLACE (" + r6("rmse", "mae", "r2") + ") FROM (" + metrics_sql("fv", KEYS) + ")")
 _bm = metrics_sql("(SELECT *, avg(y) OVER (PARTITION BY " + KEYS + ") AS y_hat FROM pts)", KEYS)
 CTE["bcomp"] = f"SELECT *, 'LinearRegression' AS model FROM ({metrics_sql('fv', KEYS)}) UNION ALL " \
@@ -568,6 +608,13 @@ CTE["nw1"] = f"""SELECT {KEYS}, n, slope, intercept,
 Q["newey_west"] = with_(FV + ["nw0", "nw1"], f"""SELECT {KEYS}, n, {r6('slope', 'intercept', 'hac_se_slope', 'hac_se_intercept')},
   round(slope / hac_se_slope, 6) AS hac_t_slope, round(intercept / hac_se_intercept, 6) AS hac_t_intercept,
   round((slope / hac_se_slope) * (slope / hac_se_slope), 6) AS hac_f FROM nw1""")
+Q["hac_pvalues"] = with_(FV + ["nw0", "nw1"], f""", vs AS (SELECT CAST(n - 2 AS DOUBLE) AS v, slope / hac_se_slope AS ts,
+    intercept / hac_se_intercept AS ti, * FROM nw1), {HALVING}
+  SELECT {KEYS}, n, {r6('slope', 'hac_se_slope')}, {sig_sql(t_tail_sql('ts', 'vs.v'), 'p_slope')},
+    {r6('intercept', 'hac_se_intercept')}, {sig_sql(t_tail_sql('ti', 'vs.v'), 'p_intercept')},
+    {bounds_sql('slope', 'hac_se_slope')}, {bounds_sql('intercept', 'hac_se_intercept')},
+    round(ts * ts, 6) AS hac_f, {sig_sql(t_tail_sql('abs(ts)', 'vs.v'), 'p_f')}
+  FROM vs LEFT JOIN crit ON vs.v = crit.v""").replace("WITH ", "WITH RECURSIVE ", 1)
 Q["durbin_watson"] = with_(FV, f"""SELECT {KEYS}, round(sum(d * d) / sum(resid * resid), 6) AS dw FROM (
   SELECT {KEYS}, resid, resid - lag(resid, 1) OVER (PARTITION BY {KEYS} ORDER BY x) AS d FROM fv) GROUP BY {KEYS}""")
 _NL = 20
@@ -609,8 +656,7 @@ Q["residual_kde"] = with_(TRES, f""", st AS (SELECT {KEYS}, count(resid) AS n, m
          stddev_samp(resid) AS sd FROM tres GROUP BY {KEYS} HAVING count(resid) >= 2 AND stddev_samp(resid) > 0),
   gr AS (SELECT st.*, pow(CAST(n AS DOUBLE), -0.2e0) * sd AS h, CAST(g.range AS INTEGER) AS g FROM st, range(0, 200) g)
   SELECT {KEYS}, g, round(lo + (hi - lo) * g / 199.0e0, 6) AS gx,
-    round(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h)))
-          / (n * h * {dbl(2.5066282746310002)}), 6) AS density
+    {sig_sql(f"(sum(exp(-0.5e0 * ((lo + (hi - lo) * g / 199.0e0 - resid) / h) * ((lo + (hi - lo) * g / 199.0e0 - resid) / h))) / (n * h * {dbl(2.5066282746310002)}))", "density")}
   FROM gr JOIN (SELECT {KEYS}, resid FROM tres) t USING ({KEYS}) GROUP BY {KEYS}, g, lo, hi, n, h
   UNION ALL SELECT {KEYS}, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM tres GROUP BY {KEYS}
     HAVING NOT (count(resid) >= 2 AND coalesce(stddev_samp(resid), 0) > 0)""")

@@ -1,9 +1,9 @@
 """Named queries over the driver tables: one per operator of the inventory.
 
 Each entry is ``(spark, sf_dir) -> DataFrame`` and reads whole tables;
-outputs have doubles rounded to 6 places so that results can be compared
-value by value with an independent SQL formulation, but for those that have
-none (``exact``).
+outputs have doubles rounded to 6 places, or significant digits, so that
+results can be compared value by value with an independent SQL formulation,
+but for those that have none (``exact``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +35,23 @@ K = SERIES_KEYS
 PIVOT_STATS = ["YIELD", "AREA PLANTED", "AREA HARVESTED", "PRODUCTION"]
 
 
+def significant(c) -> Column:
+    """Six significant digits, for numbers of any magnitude."""
+    return F.when(c.isNotNull(), F.format_string("%.5e", c).cast("double"))
+
+
 def finalize(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
     """Round every double column (stable value comparison across engines);
-    ``overrides`` gives coarser digits for large sums of squares."""
+    ``overrides`` gives coarser digits for large sums of squares, or
+    ``significant`` for columns whose values may be tiny."""
     overrides = overrides or {}
-    # "+ 0.0" turns a rounded -0.0 into 0.0 (noise of either sign around zero)
-    return df.select(*[(rounded(F.col(f.name), overrides.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
-                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+    def value(name):
+        d = overrides.get(name, digits)
+        # "+ 0.0" turns a rounded -0.0 into 0.0 (noise of either sign around zero)
+        return significant(F.col(name)) if d is significant else rounded(F.col(name), d) + F.lit(0.0)
+
+    return df.select(*[value(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
 def query(name: str, digits: dict | None = None, exact: bool = False):
@@ -53,6 +63,9 @@ def query(name: str, digits: dict | None = None, exact: bool = False):
     return deco
 
 
+P_DIGITS = {"p_slope": significant, "p_intercept": significant, "p_f": significant}
+
+
 # ---- shared inputs ------------------------------------------------------------
 
 _PREPARED: dict = {}
@@ -492,13 +505,13 @@ def q_csv_rejected(spark, sf):
     return per_file.groupBy(_folder("source_file").alias("folder")).agg(F.sum("bad_rows").alias("bad_rows"))
 
 
-@query("hac_pvalues", exact=True)
+@query("hac_pvalues", P_DIGITS)
 def q_hac_p(spark, sf):
     from furrow.functions.distributions import hac_pvalues
     return hac_pvalues(D.newey_west(_points(spark, sf), K), K)
 
 
-@query("ols_pvalues", exact=True)
+@query("ols_pvalues", P_DIGITS)
 def q_ols_p(spark, sf):
     from furrow.functions.distributions import ols_pvalues
     return ols_pvalues(TR.ols_inference(TR.ols_fit(_points(spark, sf), K)), K)
@@ -603,7 +616,7 @@ def q_normality(spark, sf):
     return D.normality_tests(_ols_resid(spark, sf), K)
 
 
-@query("residual_kde")
+@query("residual_kde", {"density": significant})
 def q_kde(spark, sf):
     return D.residual_kde(_test_resid(spark, sf), K)
 
