@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import (
@@ -18,6 +18,7 @@ from furrow.functions.columns import (
 )
 from furrow.operators.common import attach, attach_checked, materialize
 from furrow.operators.quantiles import exact_quantiles
+from furrow.operators.ranking import grouped_rank
 
 # Fixed labels and patterns of the reference's cleaning rules.
 STATISTIC_WANTED = "YIELD"
@@ -154,37 +155,45 @@ def total_series_rows(df: DataFrame) -> DataFrame:
 # ---- encodings --------------------------------------------------------------------
 
 def one_hot(df: DataFrame, col: str = "CLASS_DESCRIPTION", prefix: str = "CLASS",
-            values: Sequence[str] | None = None, max_values: int | None = None) -> DataFrame:
+            values: Sequence[str] | None = None, max_values: int = 1000) -> DataFrame:
     """Boolean indicator per category value, columns sorted by value.
 
     The value list is the plan's column list, so it is fixed up front: either
-    given, or read as the distinct values of the table. A caller who wants no
-    projection beyond some width sets ``max_values``; more then raises.
-    Null -> all false.
+    given, or read as the distinct values of the table, of which more than
+    ``max_values`` raise an error: so many columns are better kept as codes
+    (:func:`class_codes`). Null -> all false.
     """
     if values is None:
         distinct = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
-        if max_values is not None:
-            distinct = distinct.limit(max_values + 1)
-        values = [r.v for r in distinct.collect()]
-        if max_values is not None and len(values) > max_values:
-            raise ValueError(f"{col} has more than {max_values} values; pass values= explicitly")
+        values = [r.v for r in distinct.limit(max_values + 1).collect()]
+        if len(values) > max_values:
+            raise ValueError(f"{col} has more than {max_values} values; pass values=, or use class_codes")
     return df.withColumns({f"{prefix}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False))
                            for v in sorted(values)})
 
 
+def class_codes(df: DataFrame, col: str = "CLASS_DESCRIPTION", out: str = "CLASS_CODE") -> tuple[DataFrame, DataFrame]:
+    """Indicators of any number of categories in sparse form: the rows with
+    ``out``, the place from 0 of the one indicator that is true (null for a null
+    value), and the dictionary (``col``, ``out``) in the order of the values.
+    Nothing is collected, and the dictionary is ranked in all tasks."""
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    codes = materialize(grouped_rank(values, [col], out=out).withColumn(out, F.col(out).cast("int")), "class-codes")
+    return attach_checked(df, codes, [col], "class-codes", "left"), codes
+
+
 def factorize(df: DataFrame, col: str = "LOCATION_DESCRIPTION", order_col: str = "YEAR",
               out: str = "LOCATION_CODE") -> DataFrame:
     """Integer codes in order of first appearance along ``order_col``.
 
     First appearance = smallest ``order_col`` of the value (ties by value).
-    The ranking runs over the distinct-value table only; null stays null
-    (code -1 in pandas is not a category).
+    The distinct values are ranked in all tasks; null stays null (code -1 in
+    pandas is not a category).
     """
     first = (df.where(F.col(col).isNotNull()).groupBy(col)
                .agg(F.min(order_col).alias("_first")))
-    codes = first.select(col, (F.row_number().over(Window.orderBy("_first", col)) - 1).cast("int").alias(out))
-    return attach(df, codes, [col], how="left")
+    codes = grouped_rank(first, ["_first", col], out="_code").select(col, F.col("_code").cast("int").alias(out))
+    return attach_checked(df, codes, [col], "location-codes", "left")
 
 
 # ---- statistics-driven columns ----------------------------------------------------
@@ -324,7 +333,9 @@ def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Se
     number coercion, exact flags, trimmed descriptions with class one-hot and
     location codes, population-sd scaling of YEAR and VALUE, IQR flag,
     sample-sd z-score and 1/99 % winsorising. Statistics are global by
-    default or per ``keys``; moments and quantiles each take one pass."""
+    default or per ``keys``; moments and quantiles each take one pass. The rows
+    are written once, after the filters; the result adds the written statistics
+    and codes to them."""
     keys = list(keys)
     df = strip_column_names(df)
     df = filter_unit(filter_statistic(df))
@@ -344,7 +355,7 @@ def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Se
         F.stddev_samp("VALUE").alias("_zs"))
     q = exact_quantiles(df, "VALUE", {"_q1": 0.25, "_q3": 0.75, "_p01": 0.01, "_p99": 0.99}, keys)
     st = attach(st, q, keys, how="left")
-    j = attach(df, st, keys)
+    j = attach_checked(df, st, keys, "clean-stats") if keys else attach(df, materialize(st, "clean-stats"))
     iqr = F.col("_q3") - F.col("_q1")
     v = F.col("VALUE")
     j = j.withColumns({

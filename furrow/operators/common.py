@@ -70,21 +70,21 @@ BROADCAST_BYTES = 8 << 20
 HOT = 64
 
 
-def attach_checked(df: DataFrame, stats: DataFrame, keys: Sequence[str], name: str = "stats") -> DataFrame:
+def attach_checked(df: DataFrame, stats: DataFrame, keys: Sequence[str], name: str = "stats", how: str = "inner") -> DataFrame:
     """Attach one row of statistics per key without shuffling ``df`` where the
     statistics are small: they are written first, and broadcast if the written
     table has at most ``BROADCAST_BYTES``. A larger table is joined by key, with
     the rows of hot keys (fewer than ``HOT`` of them) dealt over places and
-    their statistics copied to each."""
+    their statistics copied to each. ``how`` is inner or left."""
     keys = list(keys)
     stats = materialize(stats, name)
     size = int(str(stats._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= BROADCAST_BYTES:
-        return attach(df, F.broadcast(stats), keys)
-    return _attach_salted(df, stats, keys)
+        return attach(df, F.broadcast(stats), keys, how)
+    return _attach_salted(df, stats, keys, how)
 
 
-def _attach_salted(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def _attach_salted(df: DataFrame, stats: DataFrame, keys: list[str], how: str) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     hot = counts.where(F.col("__n") > total / HOT).select(*keys).collect()
@@ -96,7 +96,7 @@ def _attach_salted(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFram
         is_hot = is_hot | same
     dealt = df.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*df.columns), F.lit(HOT)).cast("int")).otherwise(F.lit(0)))
     places = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0)))
-    return attach(dealt, stats.withColumn("__salt", F.explode(places)), [*keys, "__salt"]).drop("__salt")
+    return attach(dealt, stats.withColumn("__salt", F.explode(places)), [*keys, "__salt"], how).drop("__salt")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from furrow.functions.columns import probit
 from furrow.operators.common import attach, attach_checked, materialize, reserved_keys
 from furrow.operators.quantiles import exact_quantiles
+from furrow.operators.ranking import grouped_rank
 from furrow.operators.trend import fitted_values, ols_fit
 
 Z975 = 1.959963984540054   # standard normal 97.5 % point
@@ -109,13 +110,13 @@ def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
 @reserved_keys
 def residual_qq(resid: DataFrame, keys: Sequence[str], e: str = "resid") -> DataFrame:
     """Sorted residuals against normal quantiles of i/(n+1); reference line
-    through mean and population sd of the residuals."""
+    through mean and population sd of the residuals. Ranks come from range
+    partitions, so a long series is spread over all tasks."""
     keys = list(keys)
-    wk = Window.partitionBy(*keys)
-    r = resid.select(*keys, F.col(e).alias("sample"))
-    r = r.withColumn("i", F.row_number().over(wk.orderBy("sample"))) \
-         .withColumn("n", F.count(F.lit(1)).over(wk)) \
-         .withColumn("_m", F.avg("sample").over(wk)).withColumn("_s", F.stddev_pop("sample").over(wk))
+    r = resid.select(*keys, F.col(e).alias("sample")).where(F.col(e).isNotNull())
+    st = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("sample").alias("_m"), F.stddev_pop("sample").alias("_s"))
+    r = grouped_rank(r, ["sample"], keys, "i").withColumn("i", (F.col("i") + 1).cast("int"))
+    r = attach_checked(r, st, keys, "qq-stats")
     th = probit(F.col("i") / (F.col("n") + F.lit(1.0)))
     return r.select(*keys, "i", "sample", th.alias("theoretical"),
                     (F.col("_s") * th + F.col("_m")).alias("line"))

@@ -106,10 +106,11 @@ MODEL_NAMES = {
 
 
 def model_comparison_view(comp: DataFrame, keys: Sequence[str] = (), wanted: Sequence[str] | None = None) -> DataFrame:
-    """Filter models, map display names (unknown names kept), round to 3."""
+    """Filter models, map display names (unknown names kept), round to 3 with
+    ties to the even digit."""
     if wanted is not None:
         comp = comp.where(F.col("model").isin(list(wanted)))
-    from furrow.functions.columns import rounded
+    rounded = lambda c, d: F.bround(F.col(c), d)
     m = F.create_map(*[F.lit(x) for kv in MODEL_NAMES.items() for x in kv])
     return comp.select(*keys, F.coalesce(m[F.col("model")], F.col("model")).alias("Model"),
                        rounded("rmse", 3).alias("RMSE"), rounded("mae", 3).alias("MAE"),

@@ -425,6 +425,10 @@ Q["factorize_location"] = with_(["obs_raw"], """, f AS (SELECT LOCATION_DESCRIPT
   SELECT r.LOCATION_DESCRIPTION, c.LOCATION_CODE, count(*) AS "rows"
   FROM obs_raw r LEFT JOIN c ON r.LOCATION_DESCRIPTION IS NOT DISTINCT FROM c.LOCATION_DESCRIPTION GROUP BY 1, 2
 """)
+Q["class_codes"] = with_(["obs_raw"], """, c AS (SELECT CLASS_DESCRIPTION, CAST(row_number() OVER (ORDER BY CLASS_DESCRIPTION) - 1 AS INTEGER) AS CLASS_CODE
+    FROM (SELECT DISTINCT CLASS_DESCRIPTION FROM obs_raw WHERE CLASS_DESCRIPTION IS NOT NULL))
+  SELECT r.CLASS_DESCRIPTION, c.CLASS_CODE, count(*) AS "rows"
+  FROM obs_raw r LEFT JOIN c ON r.CLASS_DESCRIPTION = c.CLASS_DESCRIPTION GROUP BY 1, 2""")
 Q["standard_scale"] = with_(YIELD, f""", s AS (SELECT avg(YEAR) AS my, stddev_pop(YEAR) AS sy, avg(VALUE) AS mv, stddev_pop(VALUE) AS sv FROM yl)
   SELECT YEAR, MONTH, {KEYS}, round(VALUE, 6) AS VALUE,
     round((YEAR - my) / CASE WHEN sy IS NULL OR sy = 0 THEN 1.0e0 ELSE sy END, 6) AS YEAR_scaled,
@@ -537,7 +541,7 @@ Q["baseline_comparison"] = with_(FV + ["bcomp"], f"SELECT {KEYS}, model, n, {r6(
 Q["model_comparison_view"] = with_(FV + ["bcomp"], f"""SELECT {KEYS},
   CASE model WHEN 'LinearRegression' THEN 'Linear Regression' WHEN 'GradientBoosting' THEN 'Gradient Boosting'
              WHEN 'RandomForest' THEN 'Random Forest' WHEN 'MeanBaseline' THEN 'Mean baseline' ELSE model END AS Model,
-  round(rmse, 3) AS RMSE, round(mae, 3) AS MAE, round(r2, 3) AS R2
+  round_even(rmse, 3) AS RMSE, round_even(mae, 3) AS MAE, round_even(r2, 3) AS R2
   FROM bcomp WHERE model IN ('LinearRegression', 'MeanBaseline')""")
 Q["temporal_split"] = with_(SPLIT, f"SELECT {KEYS}, x, rn, n, n_test, is_test FROM split")
 Q["ts_cv_folds"] = with_(FOLDS, f"SELECT {KEYS}, x, rn, fold, role FROM folds")

@@ -103,10 +103,13 @@ def _once(spark, sf):
     return obs_raw(spark, sf)
 
 
-def _clean(spark, sf, raw=None):
-    """The cleaned table (read by several report queries)."""
-    raw = raw if raw is not None else _raw(spark, sf)
-    return prepared(spark, sf, "clean", lambda: C.clean_observations(raw))
+def _clean(spark, sf):
+    """The cleaned table (read by several report queries): its rows are written
+    by the chain itself, with the filters before, and not a second time."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), "clean")
+    if key not in _PREPARED or _PREPARED[key].sparkSession is not spark:
+        _PREPARED[key] = C.clean_observations(_once(spark, sf))
+    return _PREPARED[key]
 
 
 def _long(spark, sf):
@@ -294,26 +297,26 @@ def q_duplicates(spark, sf):
 
 @query("processing_compare")
 def q_processing_compare(spark, sf):
-    raw = _raw(spark, sf)
-    return CMP.processing_compare(raw, _clean(spark, sf, raw))
+    raw = _once(spark, sf)
+    return CMP.processing_compare(raw, _clean(spark, sf))
 
 
 @query("cleaning_audit")
 def q_cleaning_audit(spark, sf):
-    raw = _raw(spark, sf)
-    return CMP.cleaning_audit(raw, _clean(spark, sf, raw))
+    raw = _once(spark, sf)
+    return CMP.cleaning_audit(raw, _clean(spark, sf))
 
 
 @query("dropped_rows")
 def q_dropped(spark, sf):
-    raw = _raw(spark, sf)
-    return CMP.dropped_rows(raw, _clean(spark, sf, raw))
+    raw = _once(spark, sf)
+    return CMP.dropped_rows(raw, _clean(spark, sf))
 
 
 @query("dropped_rows_sample")
 def q_dropped_sample(spark, sf):
-    raw = _raw(spark, sf)
-    return CMP.sample_rows(CMP.dropped_rows(raw, _clean(spark, sf, raw)), 50)
+    raw = _once(spark, sf)
+    return CMP.sample_rows(CMP.dropped_rows(raw, _clean(spark, sf)), 50)
 
 
 @query("histogram_30")
@@ -332,7 +335,7 @@ def q_hist_ba(spark, sf):
     raw = _raw(spark, sf)
     before = C.filter_statistic_regex(raw).select(
         F.lit("before").alias("stage"), nan_to_null(to_double("VALUE")).alias("v"))
-    after = _clean(spark, sf, raw).select(F.lit("after").alias("stage"), F.col("VALUE_clipped").alias("v"))
+    after = _clean(spark, sf).select(F.lit("after").alias("stage"), F.col("VALUE_clipped").alias("v"))
     return PR.histogram(before.unionByName(after), "v", 40, ["stage"])
 
 
@@ -363,6 +366,13 @@ def q_one_hot(spark, sf):
                     *[c for c in d.columns if c.startswith("CLASS_") and c != "CLASS_DESCRIPTION"])
 
 
+@query("class_codes")
+def q_class_codes(spark, sf):
+    """Sparse class indicators: rows per code of the dictionary."""
+    rows, codes = C.class_codes(_once(spark, sf).select("CLASS_DESCRIPTION", "LOCATION_DESCRIPTION"))
+    return rows.groupBy("CLASS_DESCRIPTION", "CLASS_CODE").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("factorize_location")
 def q_factorize(spark, sf):
     d = C.factorize(_raw(spark, sf), "LOCATION_DESCRIPTION", "YEAR", "LOCATION_CODE")
