@@ -171,10 +171,11 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mac
     return Machine(float(bias[0]), params[0].copy(), params[1:].copy())
 
 
-def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def sampled(labelled: DataFrame, sample: int = SAMPLE, made=None) -> DataFrame:
     """The first ``sample`` of the labelled rows in the order of (hash of the
     key, hash of the text, label), which depends on the rows alone, as h, t,
-    label, text. Rows with a null label are no labelled rows."""
+    label, text. Rows with a null label are no labelled rows. ``made`` may turn
+    the rows into others that keep h, t and label."""
     rows = labelled.where("label is not null").withColumn("h", F.xxhash64("key", F.lit(SEED)))
     total = rows.count()
     # the lowest hashes first: a filter on the key alone, before texts move
@@ -186,7 +187,8 @@ def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
             break
         share *= 2
     rows = rows.select("h", F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("t", F.xxhash64("text"))
-    return rows.orderBy("h", "t", "label").limit(sample)
+    # features first, in all tasks: one task sorts and learns, of rows of bounded size
+    return (made(rows) if made else rows).orderBy("h", "t", "label").limit(sample)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -216,7 +218,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
         yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), pa.array([machine.weight.tobytes()]), pa.array([machine.vector.tobytes()])],
                                          names=["bias", "weight", "vector"])
 
-    made = sampled(labelled, sample).mapInArrow(features, "h long, t long, label double, index array<int>, value array<float>")
+    made = sampled(labelled, sample, lambda rows: rows.mapInArrow(features, "h long, t long, label double, index array<int>, value array<float>"))
     got = made.coalesce(1).mapInArrow(learn, "bias double, weight binary, vector binary").collect()
     if not got:  # no labelled row, no task
         return train([], np.zeros(0))

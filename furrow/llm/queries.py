@@ -18,7 +18,7 @@ from furrow.llm.lm_scoring import score_texts
 from furrow.llm.minhash_forest import near_duplicates
 from furrow.llm.mixing import mix
 from furrow.llm import quality_fm
-from furrow.llm.sentencepiece_codec import decode, encode
+from furrow.llm.sentencepiece_codec import encode_and_decode
 from furrow.llm.topk import top_k
 from furrow.llm.token_counts import count_tokens
 
@@ -34,7 +34,7 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, vocab).select("doc_id", "ids"), vocab)
+    coded = encode_and_decode(docs, vocab).drop("text")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -29,6 +29,37 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
+def _encoder(vocab: Vocabulary, add_eos: bool):
+    """texts -> (list array of ids)."""
+    merger, eos = Merger(vocab), [vocab.eos] if add_eos else []
+
+    def step(texts: list[str | None]) -> pa.ListArray:
+        ids, n = merger.encode([t or "" for t in texts])
+        ends = np.cumsum(n + len(eos))
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        if eos:
+            last = np.zeros(len(flat), bool)
+            last[ends - 1] = True
+            flat[last] = eos[0]
+            flat[~last] = ids
+        else:
+            flat[:] = ids
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
+
+    return step
+
+
+def _decoder(vocab: Vocabulary):
+    """List array of ids -> array of texts."""
+    decoder = Decoder(vocab)
+
+    def step(lists: pa.ListArray) -> pa.Array:
+        lists = lists.fill_null([]) if lists.null_count else lists
+        return pa.array(decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())), pa.string())
+
+    return step
+
+
 def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids", add_eos: bool = True) -> DataFrame:
     """Add ``out``, the ids (array<int>) of each whole text.
 
@@ -37,24 +68,12 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids
     other columns pass through, and a column already named ``out`` is
     replaced. An empty table gives an empty table.
     """
-    eos = [vocab.eos] if add_eos else []
 
     def run(rows):
-        merger = Merger(vocab)
+        step = _encoder(vocab, add_eos)
         for b in rows:
             for piece in batches([b], PIECE_BYTES):
-                ids, n = merger.encode([t or "" for t in piece.column(text).to_pylist()])
-                n_all = n + len(eos)
-                ends = np.cumsum(n_all)
-                flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-                if eos:
-                    last = np.zeros(len(flat), bool)
-                    last[ends - 1] = True
-                    flat[last] = eos[0]
-                    flat[~last] = ids
-                else:
-                    flat[:] = ids
-                yield _with(piece, out, pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat)))
+                yield _with(piece, out, step(piece.column(text).to_pylist()))
 
     return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
 
@@ -68,12 +87,25 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "decod
     """
 
     def run(rows):
-        decoder = Decoder(vocab)
+        step = _decoder(vocab)
         for b in rows:
             for piece in batches([b], PIECE_BYTES):
-                lists = piece.column(ids).fill_null([]) if piece.column(ids).null_count else piece.column(ids)
-                n = np.diff(lists.offsets.to_numpy())
-                texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), n)
-                yield _with(piece, out, pa.array(texts, pa.string()))
+                yield _with(piece, out, step(piece.column(ids)))
 
     return df.mapInArrow(run, _schema(df, out, T.StringType()))
+
+
+def encode_and_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids", decoded: str = "decoded", add_eos: bool = True) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, in one worker a task, so
+    that ids don't go back and forth."""
+
+    def run(rows):
+        forth, back = _encoder(vocab, add_eos), _decoder(vocab)
+        for b in rows:
+            for piece in batches([b], PIECE_BYTES):
+                coded = forth(piece.column(text).to_pylist())
+                yield _with(_with(piece, ids, coded), decoded, back(coded))
+
+    schema = _schema(df, ids, T.ArrayType(T.IntegerType()))
+    fields = [f for f in schema.fields if f.name.lower() != decoded.lower()]
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(decoded, T.StringType())]))

@@ -75,5 +75,9 @@ def test_every_stage_takes_odd_rows(spark, sf, odd_docs, no_docs):
             if stage is not cp.encoding:
                 assert got.columns == docs.columns, name
             got.collect()
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(8, base + " x"), (8, base + " y"), (None, base + " z"), (None, base), (None, "alone " * 9), (3, ""), (3, ""), (None, None)]
+    kept = cp.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, ""), (3, ""), (None, None), (None, "alone " * 9), min(r for r in map(tuple, kept) if r[0] == 8)], key=str)
     once = cp.near(spark, odd_docs, sf).collect()
     assert sum(r.doc_id == 1 for r in once) == 1 and not any(r.doc_id == 5 for r in once)

@@ -7,7 +7,7 @@ import pytest
 
 from furrow.llm.bpe import Decoder, Merger
 from furrow.llm.queries import op1_sentencepiece, op10_token_counts
-from furrow.llm.sentencepiece_codec import decode, encode
+from furrow.llm.sentencepiece_codec import decode, encode, encode_and_decode
 from furrow.llm.token_counts import count_tokens
 
 
@@ -55,6 +55,7 @@ def test_odd_rows(odd_docs, no_docs, vocab, sp):
     coded = decode(encode(odd_docs, vocab), vocab)
     assert coded.columns == ["doc_id", "text", "lang", "source", "n_chars", "Score", "ids", "decoded"]
     rows = coded.collect()
+    assert encode_and_decode(odd_docs, vocab).columns == coded.columns and sorted(map(str, encode_and_decode(odd_docs, vocab).collect())) == sorted(map(str, rows))
     assert len(rows) == odd_docs.count()
     for r in rows:
         assert r.ids == sp.encode(r.text or "", add_eos=True)
