@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import quality_fm
-from furrow.llm.common import fresh, materialize, table
+from furrow.llm.common import fresh, materialize, table, words
 from furrow.llm.line_dedup import dedup_lines
 from furrow.llm.minhash_forest import near_duplicates
-from furrow.llm.mixing import mix
+from furrow.llm.mixing import mix, ranked
 from furrow.llm.queries import training_rows, vocabulary
-from furrow.llm.sentencepiece_codec import decode, encode
+from furrow.llm.sentencepiece_codec import encode_and_decode
 
 #: Words of a shingle of the near-duplicate stage.
 SHINGLE = 5
@@ -55,12 +55,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies.
-    Of rows with the same id and text one stays. Texts without words are in no
-    group and stay."""
-    rows, distinct = docs.agg(F.count("*"), F.count_distinct(F.struct("doc_id"))).first()
-    kept = _with_own(docs, ("n_shingles", "component_id", "kept"), lambda d: near_duplicates(d, width=SHINGLE).where("kept"))
-    return kept if rows == distinct else kept.dropDuplicates(["doc_id", "text"])
+    """One document, that of the smallest id, of each group of near copies,
+    also where rows repeat an id or have none: rows are numbered in the order
+    of id (null last) and text for this stage, equal rows sharing a number, and
+    one row of a number stays. Texts without words are in no group and stay."""
+    number, own = fresh(docs, "__row"), fresh(docs, "__id")
+    rows, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == distinct:
+        return _with_own(docs, ("n_shingles", "component_id", "kept"), lambda d: near_duplicates(d, width=SHINGLE).where("kept"))
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), hashed.alias("h")).alias("by")).distinct()
+    keys = ranked(keys, "by").select(F.col("by.i").alias(number + "i"), F.col("by.h").alias(number + "h"), F.col("rank").alias(number))
+    numbered = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(number + "i")) & (hashed == F.col(number + "h"))).drop(number + "i", number + "h")
+    blank = F.size(words(F.col("text"))) == 0
+    once = numbered.where(~blank).dropDuplicates([number]).unionByName(numbered.where(blank)).withColumnsRenamed({"doc_id": own}).withColumnRenamed(number, "doc_id")
+    kept = _with_own(once, ("n_shingles", "component_id", "kept"), lambda d: near_duplicates(d, width=SHINGLE).where("kept"))
+    return kept.drop("doc_id").withColumnRenamed(own, "doc_id").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +85,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of every whole text with the end id, and digests
     of the ids and of the text that they decode to."""
     vocab = vocabulary()
-    coded = decode(encode(docs.select("doc_id", "text"), vocab).select("doc_id", "ids"), vocab)
+    coded = encode_and_decode(docs.select("doc_id", "text"), vocab)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
