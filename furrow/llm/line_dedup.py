@@ -80,15 +80,19 @@ def _ordered(line: Column, levels: bytes, bits: int) -> Column:
 
 
 def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, l, s, n, parity, prefix) of lines that take part; s names the set,
-    prefix has its rarest words in order."""
+    """(d, l, s, n, parity, z, prefix) of lines that take part; s names the set,
+    prefix has its rarest words in order but for the z first, which occur once
+    in the table and meet no other. Words are named by 31 bits of their hash and
+    level: a chance match is one candidate more."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1), (t % 31).cast("int"))
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
+    meets = F.filter(F.slice("ordered", F.lit(1), length), lambda w: w > _HASH)
+    short = F.transform("meets", lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
     return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
             .where(F.size("ordered") >= max(1, min_words))
             .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
-                    F.aggregate("ordered", F.lit(0), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
-                    F.slice("ordered", F.lit(1), length).alias("prefix")))
+                    F.aggregate("ordered", F.lit(0), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"), length.alias("length"), meets.alias("meets"))
+            .select("d", "l", "s", "n", "parity", (F.col("length") - F.size("meets")).alias("z"), short.alias("prefix")))
 
 
 #: Common words that sets of na and nb words need for the threshold.
@@ -131,10 +135,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
     lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits, min_words), "lines")
-    sets = lines.groupBy("s", "n", "parity", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
-    # words meet by 31 bits of their hash and level: a chance match is one candidate more
-    entries = (sets.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "w")).where(f"w > {_HASH}")
-               .select(F.shiftright("w", 24).bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "d", "l", F.col("n").cast("int").alias("n"), "parity", "p"))
+    sets = lines.groupBy("s", "n", "parity", "z", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
+    entries = (sets.select("first.*", "n", "parity", "z", F.posexplode("prefix").alias("k", "t"))
+               .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", (F.col("z") + F.col("k")).alias("p")))
     # the filter that a join on t would add, so that all uses share one shuffle
     entries = entries.where("t is not null").withColumn("many", F.count("*").over(Window.partitionBy("t")))
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
