@@ -29,6 +29,7 @@ US_REGEX = "U.S"          # a regex: '.' matches any character (kept on purpose
 ALL_REGEX = "ALL"
 RENAMES = {"Year": "YEAR", "LOCATION": "LOCATION_DESCRIPTION", "CLASS": "CLASS_DESCRIPTION"}
 VALUE_CANDIDATES = ["VALUE", "YIELD", "Value"]
+LOCATION_CANDIDATES = ["STATE", "STATE_NAME", "State", "LOCATION", "Location", "LOCATION_DESCRIPTION", "LOCATION_NAME"]
 # Unit standardisation: unit -> (factor, standard unit).
 UNIT_FACTORS = {
     "THOUSAND ACRES": (1000.0, "ACRES"),
@@ -54,9 +55,22 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def value_column(df: DataFrame) -> str:
-    """Preferred modelling value: VALUE_clipped when present, else VALUE."""
-    return "VALUE_clipped" if "VALUE_clipped" in df.columns else "VALUE"
+def location_and_value(df: DataFrame) -> DataFrame:
+    """LOCATION_DESCRIPTION and numeric VALUE of a table with other column
+    names, each from the first of its candidates that the table has; a table
+    without one of them is an error."""
+    found = {"LOCATION_DESCRIPTION": first_present(df.columns, LOCATION_CANDIDATES), "VALUE": first_present(df.columns, VALUE_CANDIDATES)}
+    if None in found.values():
+        raise ValueError(f"no location or no value column among {', '.join(df.columns)}")
+    return df.select(F.col(found["LOCATION_DESCRIPTION"]).alias("LOCATION_DESCRIPTION"),
+                     nan_to_null(to_double(found["VALUE"])).alias("VALUE"))
+
+
+def preferred_value(df: DataFrame, out: str = "VALUE_used") -> DataFrame:
+    """Add the modelling value: VALUE_clipped where the table and the row have
+    one, else VALUE."""
+    have = [c for c in ("VALUE_clipped", "VALUE") if c in df.columns]
+    return df.withColumn(out, F.coalesce(*have))
 
 
 def filter_statistic(df: DataFrame, wanted: str = STATISTIC_WANTED,

@@ -285,6 +285,11 @@ Q["mean_by_period"] = """SELECT CAST(year(o_orderdate) AS INTEGER) AS YEAR, CAST
   round(avg(o_totalprice), 6) AS mean_totalprice FROM orders GROUP BY 1, 2"""
 Q["mean_raw_clipped_by_period"] = with_(YIELD, """SELECT YEAR, MONTH, round(avg(VALUE), 6) AS VALUE,
   round(avg(VALUE_clipped), 6) AS VALUE_clipped FROM yc GROUP BY YEAR, MONTH""")
+Q["preferred_value_by_period"] = with_(YIELD, """SELECT YEAR, MONTH,
+  round(avg(coalesce(CASE WHEN MONTH <> 1 THEN VALUE_clipped END, VALUE)), 6) AS VALUE_used FROM yc GROUP BY YEAR, MONTH""")
+Q["top_states_by_median"] = """SELECT LOCATION_DESCRIPTION, round(median, 6) AS median, rank FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY median DESC, LOCATION_DESCRIPTION) AS INTEGER) AS rank FROM (
+    SELECT o_orderpriority AS LOCATION_DESCRIPTION, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5) AS median FROM orders GROUP BY 1)) WHERE rank <= 3"""
 Q["all_rows_by_period"] = with_(YIELD, """SELECT YEAR, round(avg(VALUE), 6) AS VALUE,
   round(avg(VALUE_clipped), 6) AS VALUE_clipped FROM yc GROUP BY YEAR""")
 Q["total_series"] = with_(YIELD, """, t AS (SELECT *, coalesce(is_us_total AND is_all_classes, false) AS fl FROM yc),

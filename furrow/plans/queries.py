@@ -248,6 +248,21 @@ def q_total_series(spark, sf):
     return S.total_series(_yield_rows(spark, sf), ["YEAR", "MONTH"])
 
 
+@query("preferred_value_by_period")
+def q_preferred(spark, sf):
+    """Means of the preferred value; winsorised values are missing in January,
+    as in files that lack them."""
+    rows = _yield_rows(spark, sf).withColumn("VALUE_clipped", F.when(F.col("MONTH") != 1, F.col("VALUE_clipped")))
+    return S.mean_by_period(C.preferred_value(rows), ["YEAR", "MONTH"], ["VALUE_used"])
+
+
+@query("top_states_by_median")
+def q_top_states(spark, sf):
+    """The top locations of a table with other column names."""
+    o = read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("STATE_NAME"), F.col("o_totalprice").cast("string").alias("Value"))
+    return PR.top_groups_by_median(C.location_and_value(o), "VALUE", "LOCATION_DESCRIPTION", 3)
+
+
 @query("median_by_location")
 def q_median_loc(spark, sf):
     return PR.median_by_group(_long(spark, sf), "VALUE", "LOCATION_DESCRIPTION")

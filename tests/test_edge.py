@@ -182,3 +182,16 @@ def test_clean_observations_per_key_matches_pandas(spark):
         iqr = q3 - q1
         assert list(o["is_outlier_iqr"]) == list((v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr))
     assert bool(out[out.VALUE == 99999.0]["is_outlier_iqr"].iloc[0])
+
+
+def test_location_and_value_candidates(spark):
+    df = spark.createDataFrame([("A", "x", "1.5"), ("B", "y", "n/a"), (None, "z", "nan")], "State string, LOCATION_NAME string, Value string")
+    assert [tuple(r) for r in C.location_and_value(df).collect()] == [("A", 1.5), ("B", None), (None, None)]
+    with pytest.raises(ValueError):
+        C.location_and_value(df.drop("Value"))
+
+
+def test_preferred_value_by_row(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, None), (None, None)], "VALUE double, VALUE_clipped double")
+    assert [r.VALUE_used for r in C.preferred_value(df).collect()] == [2.0, 3.0, None]
+    assert [r.VALUE_used for r in C.preferred_value(df.drop("VALUE_clipped")).collect()] == [1.0, 3.0, None]
