@@ -33,6 +33,8 @@ PERCENT = 80
 BITS = 20
 #: Groups of one word above this size go through their earliest set first.
 GROUP = 16
+#: Words above which a set keeps 128 parity bits instead of 64.
+LONG = 64
 #: Removals, or lines to verify, are broadcast up to so many documents.
 BROADCAST_ROWS = 200_000
 
@@ -80,29 +82,35 @@ def _ordered(line: Column, levels: bytes, bits: int) -> Column:
 
 
 def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, l, s, n, parity, z, prefix) of lines that take part; s names the set,
-    prefix has its rarest words in order but for the z first, which occur once
+    """(d, l, s, n, parity, upper, z, prefix) of lines that take part; s names
+    the set, parity counts its words in 64 classes, odd or even. Sets of more
+    than ``LONG`` words have 128 classes: upper has the last 64, parity the
+    first and the last folded together, so that any two sets compare. prefix has its rarest words in order but for the z first, which occur once
     in the table and meet no other. Words are named by 31 bits of their hash and
     level: a chance match is one candidate more."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1), (t % 31).cast("int"))
+    bit = lambda t, one: F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))
+    odd = lambda one: F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t, one(t))))
+    lower, upper = odd(lambda t: F.lit(1).cast("long")), odd(lambda t: F.shiftright(t, 6).bitwiseAND(1))
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
     meets = F.filter(F.slice("ordered", F.lit(1), length), lambda w: w > _HASH)
     short = F.transform("meets", lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
     return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
             .where(F.size("ordered") >= max(1, min_words))
             .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
-                    F.aggregate("ordered", F.lit(0), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"), length.alias("length"), meets.alias("meets"))
-            .select("d", "l", "s", "n", "parity", (F.col("length") - F.size("meets")).alias("z"), short.alias("prefix")))
+                    lower.alias("parity"), F.when(F.size("ordered") > LONG, upper).otherwise(F.lit(0)).alias("upper"), length.alias("length"), meets.alias("meets"))
+            .select("d", "l", "s", "n", "parity", "upper", (F.col("length") - F.size("meets")).alias("z"), short.alias("prefix")))
 
 
 #: Common words that sets of na and nb words need for the threshold.
 _NEED = f"(({PERCENT} * (a.n + b.n) + {99 + PERCENT}) div {100 + PERCENT})"
 #: What a pair with a common prefix word at places a.p and b.p can still reach:
 #: sizes, the words left behind the places, and words in one set only (each
-#: flips one parity bit).
+#: flips one parity bit at most, of 128 if both sets are long).
+_FLIPPED = f"""if(a.n > {LONG} and b.n > {LONG}, bit_count(a.upper ^ b.upper) + bit_count(a.parity ^ a.upper ^ b.parity ^ b.upper),
+    bit_count(a.parity ^ b.parity))"""
 _MAY_MATCH = f"""100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
     and 1 + least(a.n - a.p, b.n - b.p) - 1 >= {_NEED}
-    and bit_count(a.parity ^ b.parity) <= a.n + b.n - 2 * {_NEED}"""
+    and {_FLIPPED} <= a.n + b.n - 2 * {_NEED}"""
 
 
 def _pairs(a: DataFrame, b: DataFrame, extra: str) -> DataFrame:
@@ -135,9 +143,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
     lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits, min_words), "lines")
-    sets = lines.groupBy("s", "n", "parity", "z", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
-    entries = (sets.select("first.*", "n", "parity", "z", F.posexplode("prefix").alias("k", "t"))
-               .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", (F.col("z") + F.col("k")).alias("p")))
+    sets = lines.groupBy("s", "n", "parity", "upper", "z", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
+    entries = (sets.select("first.*", "n", "parity", "upper", "z", F.posexplode("prefix").alias("k", "t"))
+               .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", "upper", (F.col("z") + F.col("k")).alias("p")))
     # the filter that a join on t would add, so that all uses share one shuffle
     entries = entries.where("t is not null").withColumn("many", F.count("*").over(Window.partitionBy("t")))
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
@@ -147,8 +155,8 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
     large = entries.where(f"many > {GROUP}").drop("many")
     both = materialize(_pairs(small, small, earlier).selectExpr("d1", "l1", "d2", "l2", *(f"cast(null as {k}) as {c}" for c, k in large.dtypes))
                        .unionAll(large.selectExpr("cast(null as bigint) as d1", "cast(null as bigint) as l1", "cast(null as bigint) as d2", "cast(null as bigint) as l2", "*")), "lines-pairs")
-    pairs, large = both.where("d1 is not null").select("d1", "l1", "d2", "l2"), both.where("d1 is null").select("t", "d", "l", "n", "parity", "p")
-    leads = large.groupBy("t").agg(F.min(F.struct("d", "l", "n", "parity", "p")).alias("lead")).select("t", "lead.*")
+    pairs, large = both.where("d1 is not null").select("d1", "l1", "d2", "l2"), both.where("d1 is null").select("t", "d", "l", "n", "parity", "upper", "p")
+    leads = large.groupBy("t").agg(F.min(F.struct("d", "l", "n", "parity", "upper", "p")).alias("lead")).select("t", "lead.*")
     gone = materialize(_verify(pairs.unionAll(_pairs(leads, large, earlier)), docs), "lines-gone")
     # what is left of large groups, against the rest of its groups
     probes = large.join(gone, ["d", "l"], "left_anti")
