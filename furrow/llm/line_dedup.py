@@ -147,20 +147,25 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
     entries = (sets.select("first.*", "n", "parity", "upper", "z", F.posexplode("prefix").alias("k", "t"))
                .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", "upper", (F.col("z") + F.col("k")).alias("p")))
     # the filter that a join on t would add, so that all uses share one shuffle
-    entries = entries.where("t is not null").withColumn("many", F.count("*").over(Window.partitionBy("t")))
+    word = Window.partitionBy("t")
+    columns = ("t", "d", "l", "n", "parity", "upper", "p")
+    entries = (entries.where("t is not null").withColumn("many", F.count("*").over(word))
+               .withColumn("lead", F.min(F.struct(*columns[1:])).over(word)))
     earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
-    # small groups: every pair. Large ones are written as they are, in the same
-    # job, and first meet their earliest set each
-    small = entries.where(f"many <= {GROUP} and many > 1").drop("many")
-    large = entries.where(f"many > {GROUP}").drop("many")
-    both = materialize(_pairs(small, small, earlier).selectExpr("d1", "l1", "d2", "l2", *(f"cast(null as {k}) as {c}" for c, k in large.dtypes))
-                       .unionAll(large.selectExpr("cast(null as bigint) as d1", "cast(null as bigint) as l1", "cast(null as bigint) as d2", "cast(null as bigint) as l2", "*")), "lines-pairs")
-    pairs, large = both.where("d1 is not null").select("d1", "l1", "d2", "l2"), both.where("d1 is null").select("t", "d", "l", "n", "parity", "upper", "p")
-    leads = large.groupBy("t").agg(F.min(F.struct("d", "l", "n", "parity", "upper", "p")).alias("lead")).select("t", "lead.*")
-    gone = materialize(_verify(pairs.unionAll(_pairs(leads, large, earlier)), docs), "lines-gone")
-    # what is left of large groups, against the rest of its groups
-    probes = large.join(gone, ["d", "l"], "left_anti")
-    gone = gone.unionAll(_verify(_pairs(large, probes, earlier), docs)).distinct()
+    # small groups: every pair. Rows of large ones are written as they are, in
+    # the same job, with the group's earliest set (d1, l1) if it may match
+    small = entries.where(f"many <= {GROUP} and many > 1").select(*columns)
+    large = entries.where(f"many > {GROUP}").select(F.col("lead").alias("a"), F.struct(*columns).alias("b"))
+    large = large.selectExpr(*(f"if({earlier} and {_MAY_MATCH}, a.{c}, null) as {c}1" for c in "dl"), *(f"cast(null as bigint) as {c}2" for c in "dl"), "b.*")
+    pairs = _pairs(small, small, earlier).select("d1", "l1", "d2", "l2", *(F.lit(None).cast(k).alias(c) for c, k in large.dtypes[4:]))
+    both = materialize(pairs.unionAll(large.select(*pairs.columns)), "lines-pairs")
+    pairs, large = both.where("t is null").select("d1", "l1", "d2", "l2"), both.where("t is not null")
+    leads = large.where("d1 is not null").selectExpr("d1", "l1", "d as d2", "l as l2")
+    gone = materialize(_verify(pairs.unionAll(leads), docs), "lines-gone")
+    # large groups again, but for pairs of which both went; one shuffle for both sides
+    went = F.coalesce("went", F.lit(False))
+    large = large.select(*columns).join(gone.withColumn("went", F.lit(True)), ["d", "l"], "left").select(*columns, went.alias("went"))
+    gone = gone.unionAll(_verify(_pairs(large, large, f"{earlier} and not (a.went and b.went)"), docs)).distinct()
     # all lines of a set but the first go, and the first if its set matched
     first = lines.groupBy("s").agg(F.min(F.struct("d", "l")).alias("first"))
     # a line that very many documents share is one set: its rows are salted
