@@ -28,7 +28,7 @@ from furrow.session import ensure_checkpoint_dir
 from furrow.sources.adapters import SERIES_KEYS, obs_long, obs_raw
 from furrow.sources.sinks import load_coefficients, save_coefficients, write_table
 from furrow.sources.csv_files import rejected_counts, scan_csv_checked
-from furrow.sources.tables import read_table, scan_csv
+from furrow.sources.tables import fingerprint, read_table, scan_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = SERIES_KEYS
@@ -69,22 +69,33 @@ P_DIGITS = {"p_slope": significant, "p_intercept": significant, "p_f": significa
 # ---- shared inputs ------------------------------------------------------------
 
 _PREPARED: dict = {}
+#: The tables that every derived input is built from.
+_SOURCES = ("lineitem", "supplier", "nation", "part")
+
+
+def _prepared_once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The kept result of ``make``, made anew if a file of a source table was
+    added, removed or rewritten since."""
+    sf = sf.rstrip("/")
+    key = (spark.sparkContext.applicationId, sf, name)
+    files = tuple(fingerprint(spark, f"{sf}/{t}.parquet") for t in _SOURCES)
+    df, of = _PREPARED.get(key, (None, None))
+    if df is None or df.sparkSession is not spark or of != files:
+        df = make()
+        _PREPARED[key] = df, files
+    return df
 
 
 def prepared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Derived input written once per Spark application and table folder.
+    """Derived input written once per Spark application, table folder and state
+    of its files.
 
     The long table, the series points, the raw line table and the chosen
-    ridge parameters are deterministic functions of the (read-only) driver
-    tables; like the cleaned file that later analysis stages read, they are
-    prepared once and every query that needs them reads the written copy.
+    ridge parameters are deterministic functions of the driver tables; like
+    the cleaned file that later analysis stages read, they are prepared once
+    and every query that needs them reads the written copy.
     """
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
-    df = _PREPARED.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = materialize(build(), name)
-        _PREPARED[key] = df
-    return df
+    return _prepared_once(spark, sf, name, lambda: materialize(build(), name))
 
 
 def clear_prepared() -> None:
@@ -106,10 +117,7 @@ def _once(spark, sf):
 def _clean(spark, sf):
     """The cleaned table (read by several report queries): its rows are written
     by the chain itself, with the filters before, and not a second time."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), "clean")
-    if key not in _PREPARED or _PREPARED[key].sparkSession is not spark:
-        _PREPARED[key] = C.clean_observations(_once(spark, sf))
-    return _PREPARED[key]
+    return _prepared_once(spark, sf, "clean", lambda: C.clean_observations(_once(spark, sf)))
 
 
 def _long(spark, sf):

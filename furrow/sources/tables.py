@@ -28,18 +28,31 @@ RAW_SCHEMA = T.StructType([
 _READERS: dict = {}
 
 
+def fingerprint(spark: SparkSession, path: str) -> int:
+    """A hash of the names, sizes and times of the files under ``path``: one
+    listing, no data read. Rewriting, adding or removing a file changes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(files)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; callers select columns so the scan is pruned.
 
-    The reader (schema and file listing) is kept per session and path, so
-    building many plans over the same table does not repeat footer reads.
+    The reader (schema and file listing) is kept per session and path while
+    the path's files stay as they are, so building many plans over the same
+    table does not repeat footer reads.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READERS.get(key)
-    if df is None or df.sparkSession is not spark:
+    key, files = (id(spark), path), fingerprint(spark, path)
+    df, of = _READERS.get(key, (None, None))
+    if df is None or df.sparkSession is not spark or of != files:
         df = spark.read.parquet(path)
-        _READERS[key] = df
+        _READERS[key] = df, files
     return df
 
 
