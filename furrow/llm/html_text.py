@@ -6,8 +6,13 @@ page marks its article, lines outside it count nothing. Text lengths are
 summed over a sliding window of lines. The sum surges where the text is, and
 the elements that hold the surging lines are its containers. From the first
 surge to the last, and in the containers before and after, the text goes on
-until the sum dives to nothing: lines without text of their own stay only
-where the window still has some.
+until the sum dives to nothing. Inside a marked article lines of links alone
+are text like others, and so are linked headings; elsewhere they stay between
+text, or where the window still has some.
+
+An element is left out for its tag, its role or its name. A name with a word
+for text beside it leaves an element out only if that holds less than half of
+the text; in a marked article no name does that for nine tenths of the text.
 """
 
 from __future__ import annotations
@@ -47,35 +52,59 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _APART = frozenset("aside button dialog footer form head header menu nav select title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _NAMES = (
-    "ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay "
-    "pager pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor "
+    "ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies "
+    "disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay "
+    "pager pagination popup promo promoted promotion related search share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription toolbar widget").split()
-_NAMED = re.compile(rf"(?!(?:with|has|no|without)[-_])(?:\S+[-_])?(?:{'|'.join(_NAMES)})(?:[-_]\S+)?", re.I)
+_COMMENTS = "comment commentlist comments disqus replies reply respond responses talkback".split()
+_TEXTUAL = "article body content copy entry main post prose story text".split()
+
+
+def _names(words: list[str]) -> re.Pattern:
+    return re.compile(rf"(?!(?:with|has|no|without)[-_])(?:\S+[-_])?(?:{'|'.join(words)})(?:[-_]\S+)?", re.I)
+
+
+_NAMED, _COMMENTING, _OF_TEXT = _names(_NAMES), _names(_COMMENTS), _names(_TEXTUAL)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How an element counts: text, left out, left out for its name unless it holds
+#: nearly all the text, left out for its name unless it holds most of it.
+TEXT, OUT, NAMED, SOFT = range(4)
 
 
-def _apart(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is no part of the main text."""
+def _apart(tag: str, rest: str, in_article: bool) -> int:
+    """Whether an element is no part of the main text, and why."""
     if tag in _APART and not (tag == "header" and in_article):
-        return True
+        return OUT
     if not rest or tag in ("html", "body", "main"):
-        return False
+        return TEXT
+    named, textual = False, False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and any(_NAMED.fullmatch(x) for x in value.split()):
-            return True
-    return bool(re.search(r"(?<![-\w=\"'])hidden(?![-\w])", _ATTRIBUTE.sub("", rest)))
+            return OUT
+        if name in ("class", "id"):
+            for x in value.split():
+                if _COMMENTING.fullmatch(x):
+                    return OUT
+                named = named or bool(_NAMED.fullmatch(x))
+                textual = textual or bool(_OF_TEXT.fullmatch(x))
+    if re.search(r"(?<![-\w=\"'])hidden(?![-\w])", _ATTRIBUTE.sub("", rest)):
+        return OUT
+    if not named:
+        return TEXT
+    return OUT if tag not in _BLOCKS else SOFT if textual else NAMED
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], list[int]]:
+def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], list[int], list[int], list[tuple[int, bool]]]:
     """Lines of a page in order, their weights, which the page marks as its
     article (2) or main part (1), and their places: the innermost container (0
     is the page), and for a line that is the text of a container itself, what
-    it shares with its like beside it, else None. Last, the container around
-    each container."""
-    out, weight, marks, places = [], [], [], []
+    it shares with its like beside it, else None. Then the container around
+    each container; the innermost named element of each line (0 is none); and
+    of each such element the one around it and whether it is a soft one."""
+    out, weight, marks, places, names = [], [], [], [], []
+    named, inside = [(0, False)], []    # named elements; the open ones as [tag, nesting, number]
+    heading = False
     text, linked = [], 0
     around, path = [0], [(0, "")]       # open containers and their elements
     opened: Counter[str] = Counter()
@@ -88,7 +117,8 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], li
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
             out.append(line)
-            weight.append(max(0, len(line) - linked))
+            weight.append(max(int(heading), len(line) - linked))
+            names.append(inside[-1][2] if inside else 0)
             marks.append(2 if article else 1 if main else 0)
             inner, element = path[-1]
             places.append((inner, (around[inner], element) if bare and inner else None))
@@ -107,6 +137,24 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], li
         if not tag:
             continue
         end = bool(m["end"])
+        if inside:
+            # a named element ends with its tag, whatever is open in it
+            if tag in ("article", "main") and not end and not seen and not _apart(tag, m["rest"], False):
+                flush()
+                inside.clear()
+                skip = ""
+            elif inside[-1][0] in ("p", "li") and tag in _BLOCKS and (not end or tag != inside[-1][0]):
+                flush()
+                inside.pop()
+                skip = ""
+            for i in range(len(inside) - 1, -1, -1):
+                if inside[i][0] == tag:
+                    inside[i][1] += -1 if end else 1
+                    if not inside[i][1]:
+                        flush()
+                        del inside[i:]
+                        skip = ""
+                    break
         if skip:
             if tag in ("article", "main") and not end and not seen and not _apart(tag, m["rest"], False) or tag == "body" and skip in ("head", "title"):
                 skip = ""
@@ -120,12 +168,21 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], li
                 continue
         if tag in _BLOCKS:
             flush()
+            heading = tag in _HEADINGS and not end
             bare = end or tag in _CONTAINERS or tag in ("html", "body")
         elif tag == "br":
             text.append(" ")
-        if not end and tag not in _VOID and _apart(tag, m["rest"], article > 0):
+        why = TEXT if end or tag in _VOID else _apart(tag, m["rest"], article > 0)
+        if why == OUT:
             skip, depth = tag, 1
             continue
+        if why:
+            named.append((inside[-1][2] if inside else 0, why == SOFT))
+            for entry in inside[::-1]:      # its tag closes this one, not that
+                if entry[0] == tag:
+                    entry[1] -= 1
+                    break
+            inside.append([tag, 1, len(named) - 1])
         if tag in _CONTAINERS:
             if not end:
                 around.append(path[-1][0])
@@ -138,6 +195,8 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], li
                     opened[closed] -= 1
         if tag == "a":
             link = 0 if end else 1
+        elif inside:
+            pass                            # no article of the page's own
         elif tag == "article":
             article, seen = max(0, article + (-1 if end else 1)), 1
         elif tag == "main":
@@ -145,20 +204,39 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple], li
     if not skip and at < len(page):
         text.append(page[at:])
     flush()
-    return out, np.asarray(weight, np.int64), np.asarray(marks, np.int64), places, around
+    return out, np.asarray(weight, np.int64), np.asarray(marks, np.int64), places, around, names, named
+
+
+def _left(weight: np.ndarray, marks: np.ndarray, names: list[int], named: list[tuple[int, bool]]) -> np.ndarray:
+    """Which lines are in no element that its name leaves out."""
+    top = int(marks.max())
+    held = np.bincount(names, np.where(marks == top, weight, 0), len(named))
+    whole = held.sum()
+    for i in range(len(named) - 1, 0, -1):  # with what is in elements within
+        held[named[i][0]] += held[i]
+    stays = [True] * len(named)
+    for i in range(1, len(named)):
+        around, soft = named[i]
+        most = 2 * held[i] >= whole if soft else top > 0 and 10 * held[i] >= 9 * whole and held[i] >= SURGE
+        stays[i] = stays[around] and held[i] > 0 and bool(most)
+    return np.asarray(stays)[names]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by an empty line."""
     if not page:
         return ""
-    out, weight, marks, places, around = lines(page)
+    out, weight, marks, places, around, names, named = lines(page)
+    if len(named) > 1 and out:
+        left = _left(weight, marks, names, named)
+        out, places = ([x for x, k in zip(xs, left) if k] for xs in (out, places))
+        weight, marks = weight[left], marks[left]
     if not out:
         return ""
     # the page may tell where its article is: no line elsewhere counts
-    part = marks == marks.max()
+    part, marked = marks == marks.max(), bool(marks.any())
     weight = np.where(part, weight, 0)
-    if marks.any() and not weight.any():
+    if marked and not weight.any():
         weight = part.astype(np.int64)          # an article of links alone
     windows = np.lib.stride_tricks.sliding_window_view(np.r_[weight, np.zeros(WINDOW - 1, np.int64)], WINDOW)
     window = windows.sum(axis=1)                # the line and those after it
@@ -173,16 +251,24 @@ def main_text(page: str | None) -> str:
         holds[c] = True
     for c in range(1, len(around)):     # and what is in them, but for the page
         holds[c] = holds[c] or around[c] > 0 and holds[around[c]]
-    keep = np.fromiter((holds[c] or like in alike for c, like in places), bool, len(out))
+    held = np.fromiter((holds[c] or like in alike for c, like in places), bool, len(out))
+    keep = held.copy()
     keep[surge] = True
-    keep &= weight > 0
-    # lines between: other text, and links before the sum dives
-    last = int(np.flatnonzero(keep)[-1])
-    keep[surge[0]:last + 1] |= weight[surge[0]:last + 1] > 0
-    at = np.flatnonzero(keep)
-    for i, j in zip(at[:-1], at[1:]):
-        if window[i + 1] >= DIVE:
-            keep[i:j] |= weight[i:j] < 1
+    if not marked:
+        keep &= weight > 0
+    # lines between: other text, and links in the containers or before the sum dives
+    at = np.flatnonzero(keep & (weight > 0))
+    first, last = int(surge[0]), int(at[-1])
+    keep[first:last + 1] |= weight[first:last + 1] > 0
+    if marked:
+        keep[first:last + 1] = True
+    else:
+        own = held & np.fromiter((c > 0 for c, _ in places), bool, len(out))
+        keep[first:last + 1] |= own[first:last + 1]
+        at = np.flatnonzero(keep)
+        for i, j in zip(at[:-1], at[1:]):
+            if window[i + 1] >= DIVE:
+                keep[i:j] |= weight[i:j] < 1
     keep &= part
     return "\n\n".join(x for x, k in zip(out, keep) if k)
 

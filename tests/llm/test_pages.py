@@ -63,7 +63,9 @@ def test_unmarked_pages_keep_short_endings_and_lists():
 def test_windows_select_inside_an_article():
     text = " ".join(LONG.split())
     links = "<li><a href=x>another story of this site</a></li>" * 4
-    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><p>The end.</p><ul>{links}</ul></article>") == f"{text}\n\nThe end."
+    four = "\n\n".join(["another story of this site"] * 4)
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><p>The end.</p><ul>{links}</ul></article>") == f"{text}\n\n{four}\n\nThe end.\n\n{four}"
+    assert main_text(f"<article><h1><a href=x>T</a></h1><p>{LONG}</p><h2><a href=x>U</a></h2><ul>{links}</ul></article><ul>{links}</ul>") == f"T\n\n{text}\n\nU\n\n{four}"
     assert main_text(f"<article><div><p>{LONG}</p><p>See <a href=x>this</a></p></div><div><p>5 shares</p></div></article>") == f"{text}\n\nSee this"
     assert main_text("<article><p><a href=x>all linked</a></p></article>") == "all linked"
 
@@ -77,3 +79,38 @@ def test_unmarked_table_equals_the_marked_one(sf):
 
 def test_deeply_nested_and_unmatched_elements():
     assert main_text("<div>x" * 20_000 + "</td>" * 20_000).startswith("x\n\nx")
+
+
+def test_names_beside_words_for_text():
+    text = " ".join(LONG.split())
+    for page in (f"<article><div class='share-text content'><h1>T</h1><p>{LONG}</p></div></article><p>foot</p>",
+                 f"<article><h1>T</h1><p class='research notice-body'>{LONG}</p></article>",
+                 f"<div><h1>T</h1><div id=promo-story><p>{LONG}</p><div class=ad-box>buy</div><form>mail</div></div><div class=foot>x</div>",
+                 f"<article><h1>T</h1><div class=promo><p>{LONG}</p></div></article>"):
+        assert main_text(page) == f"T\n\n{text}"
+    # little text, or readers' text, goes whatever stands beside the name
+    assert main_text(f"<article><p>{LONG}</p><div class='share-text'>Tell a friend</div><p>End.</p><div class='comment-body'><p>{LONG * 9}</p></div></article>") == f"{text}\n\nEnd."
+    assert main_text(f"<div><p>{LONG}</p><div class=cookie-banner><div><p>{LONG}</p></div></div></div>") == text
+    assert main_text("<div class=notice-text><p>") == ""
+
+
+def test_named_elements_end_with_their_tag():
+    text = " ".join(LONG.split())
+    assert main_text(f"<div><div class=ad-box><form><p>mail</div><p>{LONG}</p></div>") == text
+    assert main_text(f"<div><p class=ad-box>buy<p>{LONG}</p></div>") == text
+    assert main_text(f"<div class=widget><div class=widget>a</div>b</div><div><p>{LONG}</p></div>") == text
+    assert main_text(f"<div class=nav><a href=/>x</a><article><p>{LONG}</p></article></div>") == text
+
+
+def _plain(page):
+    """The lines of a part that is <p> lines alone: all of them are its text."""
+    return "\n\n".join(" ".join(x.split()) for x in re.findall(r"<p>(.*?)</p>", page))
+
+
+def test_parts_of_plain_lines_are_whole():
+    import random
+    rng = random.Random(3)
+    for _ in range(200):
+        page = "".join("<p>" + "word " * rng.choice([1, 2, 5, 40, 200]) + "</p>" for _ in range(rng.randrange(1, 30)))
+        assert main_text(f"<article>{page}</article>") == _plain(page)
+        assert main_text(f"<ul><li><a href=/>Home</a></li></ul><div class=post>{page}</div><div class=nav>{page}</div>") == _plain(page)
