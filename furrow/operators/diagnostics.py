@@ -1,9 +1,8 @@
 """Residual diagnostics per series: HAC errors, Durbin-Watson, ACF with
 Bartlett band, QQ coordinates, moment-based normality tests, Gaussian KDE.
 
-All lag logic uses ``lag`` over ``Window.partitionBy(keys).orderBy(x)`` on
-the aggregated series, followed by a ``groupBy(keys)`` on the same
-partitioning; there is no un-partitioned window.
+Lags come from blocks of a series with a halo (``operators.lags``): products
+are summed per block and the sums are merged, so that no task holds a series.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.functions.columns import probit
 from furrow.operators.common import attach, attach_checked, materialize, reserved_keys
+from furrow.operators.lags import with_lags
 from furrow.operators.quantiles import exact_quantiles
 from furrow.operators.ranking import grouped_rank
 from furrow.operators.trend import fitted_values, ols_fit
@@ -44,15 +44,13 @@ def newey_west(points: DataFrame, keys: Sequence[str], maxlags: int = HAC_LAGS,
     back to the intercept of the uncentred model."""
     keys = list(keys)
     fv, fit = ols_residuals(points, keys, x, y)
-    w = Window.partitionBy(*keys).orderBy(x)
-    r = fv.withColumn("_xc", F.col(x).cast("double") - F.col("x_mean")).withColumn("_e", F.col("resid"))
-    for l in range(1, maxlags + 1):
-        r = r.withColumn(f"_e{l}", F.lag("_e", l).over(w)).withColumn(f"_xc{l}", F.lag("_xc", l).over(w))
+    r = fv.select(*keys, F.col(x).alias("_x"), (F.col(x).cast("double") - F.col("x_mean")).alias("_xc"), F.col("resid").alias("_e"))
+    r = with_lags(r, keys, ["_x"], ["_xc", "_e"], maxlags)
     e, xc = F.col("_e"), F.col("_xc")
     s00, s01, s11 = F.sum(e * e), F.sum(xc * e * e), F.sum(xc * xc * e * e)
     for l in range(1, maxlags + 1):
         wl = 1.0 - l / (maxlags + 1.0)
-        el, xl = F.col(f"_e{l}"), F.col(f"_xc{l}")
+        el, xl = F.col(f"_e_{l}"), F.col(f"_xc_{l}")
         s00 = s00 + F.lit(2 * wl) * F.coalesce(F.sum(e * el), F.lit(0.0))
         s01 = s01 + F.lit(wl) * F.coalesce(F.sum(e * el * (xc + xl)), F.lit(0.0))
         s11 = s11 + F.lit(2 * wl) * F.coalesce(F.sum(xc * xl * e * el), F.lit(0.0))
@@ -79,9 +77,9 @@ def newey_west(points: DataFrame, keys: Sequence[str], maxlags: int = HAC_LAGS,
 @reserved_keys
 def durbin_watson(resid: DataFrame, keys: Sequence[str], x: str = "x", e: str = "resid") -> DataFrame:
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(x)
-    d = resid.withColumn("_d", F.col(e) - F.lag(e, 1).over(w))
-    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col(e) * F.col(e))).alias("dw"))
+    r = with_lags(resid.select(*keys, F.col(x).alias("_x"), F.col(e).alias("_e")), keys, ["_x"], ["_e"], 1)
+    d = F.col("_e") - F.col("_e_1")
+    return r.groupBy(*keys).agg(F.try_divide(F.sum(d * d), F.sum(F.col("_e") * F.col("_e"))).alias("dw"))
 
 
 @reserved_keys
@@ -89,12 +87,11 @@ def residual_acf(resid: DataFrame, keys: Sequence[str], nlags: int = ACF_LAGS,
                  x: str = "x", e: str = "resid") -> DataFrame:
     """Biased ACF (divide by the lag-0 sum) for lags 0..nlags, Bartlett band."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(x)
-    r = resid.withColumn("_c", F.col(e) - F.avg(e).over(Window.partitionBy(*keys)))
-    for k in range(1, nlags + 1):
-        r = r.withColumn(f"_c{k}", F.lag("_c", k).over(w))
+    r = resid.select(*keys, F.col(x).alias("_x"), F.col(e).alias("_e"))
+    r = attach_checked(r, r.groupBy(*keys).agg(F.avg("_e").alias("_m")), keys, "acf-stats")
+    r = with_lags(r.select(*keys, "_x", (F.col("_e") - F.col("_m")).alias("_c")), keys, ["_x"], ["_c"], nlags)
     sums = [F.sum(F.col("_c") * F.col("_c")).alias("s0")] + \
-           [F.sum(F.col("_c") * F.col(f"_c{k}")).alias(f"s{k}") for k in range(1, nlags + 1)]
+           [F.sum(F.col("_c") * F.col(f"_c_{k}")).alias(f"s{k}") for k in range(1, nlags + 1)]
     g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
     lags = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(nlags + 1)]))
     long = g.select(*keys, "n", "s0", lags.alias("_l")).select(
@@ -245,8 +242,7 @@ def residual_histogram(resid: DataFrame, keys: Sequence[str], e: str = "resid")
 def pred_vs_actual(pred: DataFrame, keys: Sequence[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """Pairs plus identity-line limits (min and max over both) per series."""
     keys = list(keys)
-    wk = Window.partitionBy(*keys)
-    return pred.select(*keys, "x", F.col(y).alias("actual"), F.col(y_hat).alias("predicted"),
-                       (F.col(y) - F.col(y_hat)).alias("resid"),
-                       F.least(F.min(y).over(wk), F.min(y_hat).over(wk)).alias("lim_lo"),
-                       F.greatest(F.max(y).over(wk), F.max(y_hat).over(wk)).alias("lim_hi"))
+    pairs = pred.select(*keys, "x", F.col(y).alias("actual"), F.col(y_hat).alias("predicted"), (F.col(y) - F.col(y_hat)).alias("resid"))
+    limits = pairs.groupBy(*keys).agg(F.least(F.min("actual"), F.min("predicted")).alias("lim_lo"),
+                                      F.greatest(F.max("actual"), F.max("predicted")).alias("lim_hi"))
+    return attach_checked(pairs, limits, keys, "pair-limits")

@@ -42,10 +42,8 @@ def test_exact_quantiles_do_not_use_single_task_percentile(spark):
     assert "percentile" not in plan.lower()
 
 
-def test_series_windows_are_partitioned(spark):
+def test_lag_windows_hold_one_block(spark):
     plan = _plan(QUERIES["residual_acf"](spark, SF))
-    for line in plan.splitlines():
-        if line.strip().startswith("+- Window [") or line.strip().startswith("Window ["):
-            # every window node lists partition keys, under their reserved
-            # names, after its functions
-            assert "], [__key_0#" in line, line
+    lags = [line for line in plan.splitlines() if "Window [" in line and "lag(" in line]
+    # every lag window lists the block beside the keys, under their reserved names
+    assert lags and all("], [__key_0#" in line and "__block#" in line.split("], [")[1] for line in lags), lags
