@@ -467,6 +467,19 @@ CTE["piv"] = f"""SELECT YEAR, MONTH, {KEYS}, """ + ", ".join(
     f"avg(CASE WHEN upper(trim(STATISTIC_DESCRIPTION)) = '{s}' THEN VALUE END) AS \"{s}\"" for s in _piv) + \
     f""" FROM obs_long WHERE upper(trim(STATISTIC_DESCRIPTION)) IN ({", ".join(f"'{s}'" for s in _piv)}) GROUP BY YEAR, MONTH, {KEYS}"""
 Q["pivot_statistics"] = with_(LONG + ["piv"], "SELECT * REPLACE (" + ", ".join(f'round("{s}", 6) AS "{s}"' for s in _piv) + ") FROM piv")
+_pooled = ["period_idx", "AREA PLANTED", "AREA HARVESTED", "PRODUCTION", "YIELD"]
+CTE["pooled"] = f"""SELECT *, CAST(CAST('0x' || substr(md5(concat_ws('|', {KEYS}, YEAR, MONTH)), 1, 8) AS UBIGINT) % 100 AS INTEGER) < 80 AS is_train,
+    {" AND ".join(f'"{c}" IS NOT NULL' for c in ["LOCATION_DESCRIPTION", "CLASS_DESCRIPTION", "YEAR", "MONTH", *_pooled])} AS complete
+  FROM (SELECT *, (YEAR - 1995) * 12 + MONTH AS period_idx FROM piv)"""
+Q["pooled_split"] = with_(LONG + ["piv", "pooled"], """SELECT LOCATION_DESCRIPTION, count(*) FILTER (complete AND is_train) AS n_train,
+  count(*) FILTER (complete AND NOT is_train) AS n_test, count(*) FILTER (NOT complete) AS n_incomplete FROM pooled GROUP BY LOCATION_DESCRIPTION""")
+_scale = ", ".join(f'avg("{c}") AS m{i}, stddev_pop("{c}") AS s{i}' for i, c in enumerate(_pooled))
+_features = ", ".join(["{'k': 0, 'f': '1', 'v': 1.0e0}", *(f"""{{'k': {i + 1}, 'f': '{c}', 'v': ("{c}" - m{i}) / s{i}}}""" for i, c in enumerate(_pooled)),
+                       *(f"{{'k': {i + 6}, 'f': '{c}=' || {c}, 'v': 1.0e0}}" for i, c in enumerate(["LOCATION_DESCRIPTION", "CLASS_DESCRIPTION"]))])
+Q["pooled_normal_equations"] = with_(LONG + ["piv", "pooled"], f""", train AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM pooled WHERE complete AND is_train),
+  scale AS (SELECT {_scale} FROM train),
+  feature AS MATERIALIZED (SELECT r, f.k AS k, f.f AS f, f.v AS v FROM (SELECT r, unnest([{_features}]) AS f FROM train, scale))
+  SELECT a.f AS a, b.f AS b, round(sum(a.v * b.v), 6) AS value FROM feature a JOIN feature b ON a.r = b.r AND a.k <= b.k GROUP BY a.f, b.f""")
 Q["impute_group_median"] = with_(["obs_raw", "raw_stat"], f""", d AS (SELECT TABLE_NUMBER, {to_int('YEAR')} AS YEAR, MONTH, {KEYS},
          {to_double('VALUE')} AS VALUE FROM raw_stat),
   g AS (SELECT LOCATION_DESCRIPTION, quantile_cont(VALUE, 0.5) AS gm FROM d GROUP BY 1),

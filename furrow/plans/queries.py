@@ -19,6 +19,7 @@ from furrow.functions.columns import extract_number, nan_to_null, rounded, to_do
 from furrow.operators import clean as C
 from furrow.operators import compare as CMP
 from furrow.operators import diagnostics as D
+from furrow.operators import pooled as PO
 from furrow.operators import profile as PR
 from furrow.operators import ridge as RG
 from furrow.operators import series as S
@@ -691,8 +692,20 @@ def q_recent(spark, sf):
     return S.recent(_overlay(spark, sf), K, "x", 20)
 
 
+def _pooled(spark, sf):
+    return C.pivot_statistics(_long(spark, sf), ["YEAR", "MONTH", "period_idx", *K], PIVOT_STATS)
+
+
 @query("pooled_model_comparison")
 def q_pooled(spark, sf):
-    from furrow.operators.pooled import pooled_model_comparison
-    p = C.pivot_statistics(_long(spark, sf), ["YEAR", "MONTH", "period_idx", *K], PIVOT_STATS)
-    return pooled_model_comparison(p)
+    return PO.pooled_model_comparison(_pooled(spark, sf))
+
+
+@query("pooled_split")
+def q_pooled_split(spark, sf):
+    return PO.split_counts(_pooled(spark, sf))
+
+
+@query("pooled_normal_equations")
+def q_pooled_equations(spark, sf):
+    return PO.training_equations(_pooled(spark, sf))
