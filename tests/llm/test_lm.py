@@ -57,6 +57,33 @@ def test_counts_and_base_score(spark, sf):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_whole_texts_by_plain_counting(spark, vocab):
+    """score of whole texts: every word's segmentations summed in a plain loop,
+    weights from two rounds of expected uses, counts from a dictionary."""
+    texts = ["the cat the thing", "The thntbleea = x", "a b a", "", "thing é", "unseen the é words"]
+    train = [True, True, True, True, False, False]
+    bags = [t.lower().split() for t in texts]
+    c = Counter(w for b, k in zip(bags, train) if k for w in b)
+    lattice = Lattice(vocab)
+    logp = lattice.from_scores()
+    prior = np.exp(logp)
+    for _ in range(2):
+        logp = lattice.normalised(prior + lattice.expected(sorted(c), logp))
+    words, distinct, ends = sum(c.values()), len(c), sum(train)
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    discount = min(max(ones / (ones + 2 * twos), 0.05), 0.95)
+    end = (ends + 1) / (words + ends + 2)
+
+    def word(w):
+        spelled = 10.0 ** _direct(lattice, vocab, logp, w)
+        return math.log10((max(c[w] - discount, 0) + discount * distinct * spelled) / words) + math.log10(1 - end)
+
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, train))], "i int, text string, k boolean")
+    got = {r.i: r.score for r in score_texts(df, vocab, F.col("k")).collect()}
+    for i, b in enumerate(bags):
+        assert got[i] == pytest.approx(sum(map(word, b)) + math.log10(end), rel=1e-9)
+
+
 def test_probabilities_of_words_add_up(spark, vocab):
     """One word more known makes its text likelier, and no score exceeds 0."""
     df = spark.createDataFrame([(1, "a b a b c", True), (2, "a", False), (3, "qqqzzz", False), (4, None, False)], "k long, text string, t boolean")
