@@ -358,10 +358,11 @@ def clean_observations(df: DataFrame, keys: Sequence[str] = (), class_values: Se
     df = add_series_flags(df, "exact")
     df = df.withColumns({"CLASS_DESCRIPTION": F.trim("CLASS_DESCRIPTION"),
                          "LOCATION_DESCRIPTION": F.trim("LOCATION_DESCRIPTION")})
-    df = one_hot(df, "CLASS_DESCRIPTION", "CLASS", class_values)
     if write_rows:
-        # one pass over the raw rows; codes, statistics and output read it
+        # one pass over the raw rows; the indicators' values, codes, statistics
+        # and output read it, and no indicator is written
         df = materialize(df, "clean-rows")
+    df = one_hot(df, "CLASS_DESCRIPTION", "CLASS", class_values)
     df = factorize(df, "LOCATION_DESCRIPTION", order_col, "LOCATION_CODE")
     st = df.groupBy(*keys).agg(
         F.avg("YEAR").alias("_my"), F.stddev_pop("YEAR").alias("_sy"),

@@ -16,14 +16,17 @@ def dropped_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Raw rows with no equal row in the cleaned table on all common columns
     (null-safe; raw values are coerced to the cleaned column types)."""
     common = [c for c in raw.columns if c in clean.columns]
-    r = raw
+    values = _coerced(raw, clean, common)
+    mine, theirs = [f"__l_{i}" for i in range(len(common))], [f"__c_{i}" for i in range(len(common))]
+    # rows are dealt and sorted by one number; the columns are compared only
+    # where it agrees, and least() keeps them from becoming join keys as well
+    left = raw.withColumns({"__h": F.xxhash64(F.lit(0), *values)} | {m: v for m, c, v in zip(mine, common, values) if dict(raw.dtypes)[c] != dict(clean.dtypes)[c]})
     # existence is all an anti join needs: identical cleaned rows collapse
     # map-side, so copies of one row never pile up in a single join task
-    right = clean.select(*[F.col(c).alias(f"__c_{i}") for i, c in enumerate(common)]).distinct()
-    cond = F.lit(True)
-    for i, left in enumerate(_coerced(raw, clean, common)):
-        cond = cond & left.eqNullSafe(F.col(f"__c_{i}"))
-    return r.join(right, cond, "left_anti")
+    right = clean.select(F.xxhash64(F.lit(0), *common).alias("__k"), *[F.col(c).alias(t) for c, t in zip(common, theirs)]).distinct()
+    same = [F.col(m if m in left.columns else c).eqNullSafe(F.col(t)) for m, c, t in zip(mine, common, theirs)]
+    cond = (F.col("__h") == F.col("__k")) & F.least(F.lit(True), F.lit(True), *same)
+    return left.join(right, cond, "left_anti").select(*raw.columns)
 
 
 def sample_rows(df: DataFrame, n: int = 50, order: Sequence[str] | None = None) -> DataFrame:

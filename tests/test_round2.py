@@ -87,3 +87,34 @@ def test_p_values_keep_their_digits(spark):
 
 def test_find_col_prefers_earlier_keywords():
     assert PR.find_col(["Total Area", "Acres"], ["acre", "area"]) == "Acres" and PR.find_col(["x"], ["y"]) is None
+
+
+def test_dropped_rows_are_dealt_and_sorted_by_one_number(spark):
+    raw = spark.createDataFrame([("a", None, "1"), (None, "a", "1"), ("a", "b", "1.0"), ("a", "b", "1.0"), ("a", "b", "-0.0"), ("a", "b", "x"), (None, None, None)], "k string, c string, VALUE string")
+    clean = spark.createDataFrame([("a", None, 1.0), ("a", "b", 1.0), ("a", "b", 0.0), (None, None, None)], "k string, c string, VALUE double")
+    dropped = CMP.dropped_rows(raw, clean)
+    assert dropped.columns == raw.columns
+    assert sorted(map(str, dropped.collect())) == sorted(map(str, [raw.collect()[1], raw.collect()[5]]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CMP.dropped_rows(raw, clean)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(x for x in plan.splitlines() if "SortMergeJoin" in x)
+    assert join.count("coalesce") == 0 and join.split("], [")[0].count("#") == 1
+
+
+def test_cleaning_writes_its_rows_without_indicators(spark, monkeypatch):
+    written = {}
+    keep = C.materialize
+
+    def note(df, name):
+        written[name] = df.columns
+        return keep(df, name)
+
+    monkeypatch.setattr(C, "materialize", note)
+    raw = spark.createDataFrame([(f"c{i}", "l", 1995 + i, str(i), "YIELD", "POUNDS") for i in range(4)],
+                                "CLASS_DESCRIPTION string, LOCATION_DESCRIPTION string, YEAR int, VALUE string, STATISTIC_DESCRIPTION string, UNIT_DESCRIPTION string")
+    out = C.clean_observations(raw)
+    assert not [c for c in written["clean-rows"] if c.startswith("CLASS_c")]
+    assert sorted((r.VALUE, r.CLASS_c0, r.CLASS_c3) for r in out.collect()) == [(0.0, True, False), (1.0, False, False), (2.0, False, False), (3.0, False, True)]
