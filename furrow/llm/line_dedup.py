@@ -53,9 +53,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("d", F.col("l").cast("long").alias("l"), "line")
 
 
-def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
-    """One byte per bucket of words, growing with the bucket's count: 0 for at
-    most one occurrence, then a step for every 25 percent, 127 at most."""
+def rarity(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row with one byte per bucket of words (levels, 2 ** bits bytes),
+    growing with the bucket's count: 0 for at most one occurrence, then a step
+    for every 25 percent, 127 at most."""
     segment = 1024
     spark = docs.sparkSession
     seen = docs.select(F.explode(_words(F.col("text"))).alias("w"))
@@ -66,12 +67,13 @@ def rarity(docs: DataFrame, bits: int = BITS) -> bytes:
               .groupBy((F.col("b") / segment).cast("long").alias("s"))
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", level.cast("int").alias("v")))),
                                             lambda x: F.lpad(F.hex(x.v), 2, "0")), "").alias("hex")))
-    return b"".join(bytes.fromhex(r.hex) for r in packed.orderBy("s").collect())  # 2 ** bits bytes
+    every = F.array_sort(F.collect_list(F.struct("s", "hex")))
+    return materialize(packed.agg(F.unhex(F.array_join(F.transform(every, lambda x: x.hex), "")).alias("levels")), "lines-rarity")
 
 
-def _ordered(line: Column, levels: bytes, bits: int) -> Column:
-    """The distinct words of a line as numbers, rarest first."""
-    table = F.lit(levels)  # one byte a bucket, each an ASCII character
+def _ordered(line: Column, table: Column, bits: int) -> Column:
+    """The distinct words of a line as numbers, rarest first; table has one
+    byte a bucket, each an ASCII character."""
 
     def number(h):
         level = F.ascii(F.substring(table, h.bitwiseAND((1 << bits) - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
@@ -81,8 +83,8 @@ def _ordered(line: Column, levels: bytes, bits: int) -> Column:
     return F.sort_array(F.transform(hashes, number))
 
 
-def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, l, s, n, parity, upper, z, prefix) of lines that take part; s names
+def _prefixes(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
+    """(d, l, s, n, parity, upper, z, prefix) of all lines; s names
     the set, parity counts its words in 64 classes, odd or even. Sets of more
     than ``LONG`` words have 128 classes: upper has the last 64, parity the
     first and the last folded together, so that any two sets compare. prefix has its rarest words in order but for the z first, which occur once
@@ -94,8 +96,10 @@ def _prefixes(lines: DataFrame, levels: bytes, bits: int, min_words: int = MIN_W
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
     meets = F.filter(F.slice("ordered", F.lit(1), length), lambda w: w > _HASH)
     short = F.transform("meets", lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
-    return (lines.select("d", "l", _ordered(F.col("line"), levels, bits).alias("ordered"))
-            .where(F.size("ordered") >= max(1, min_words))
+    # the levels are a subquery: as a literal they would stand in every plan. They
+    # stand for themselves in the one expression that uses them, and in no row
+    return (lines.select("d", "l", "line", levels.scalar().alias("levels"))
+            .select("d", "l", _ordered(F.col("line"), F.col("levels"), bits).alias("ordered"))
             .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
                     lower.alias("parity"), F.when(F.size("ordered") > LONG, upper).otherwise(F.lit(0)).alias("upper"), length.alias("length"), meets.alias("meets"))
             .select("d", "l", "s", "n", "parity", "upper", (F.col("length") - F.size("meets")).alias("z"), short.alias("prefix")))
@@ -142,7 +146,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, l) of the lines to remove from docs (d, text), d distinct longs."""
-    lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits, min_words), "lines")
+    # lines that take part are chosen as they are read: a filter before would
+    # find the words of each line a second time
+    lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines").where(F.col("n") >= max(1, min_words))
     sets = lines.groupBy("s", "n", "parity", "upper", "z", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
     entries = (sets.select("first.*", "n", "parity", "upper", "z", F.posexplode("prefix").alias("k", "t"))
                .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", "upper", (F.col("z") + F.col("k")).alias("p")))

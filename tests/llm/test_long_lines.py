@@ -21,3 +21,21 @@ def test_long_sets_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{t}" for t in x)) for i, x in enumerate(lines)], "d bigint, text string")
     assert {r.d for r in repeated_lines(docs).collect()} == expected
     assert 20 < len(expected) < len(lines)
+
+
+def test_rarity_stands_in_no_plan_and_words_are_found_once(spark, monkeypatch):
+    from furrow.llm import line_dedup
+
+    plans = {}
+    keep = line_dedup.materialize
+
+    def note(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", note)
+    docs = spark.createDataFrame([(1, "a b c\n\n \nx"), (2, "a b c\nd\n"), (3, None), (4, "")], "d long, text string")
+    assert sorted(map(tuple, repeated_lines(docs).collect())) == [(2, 0)]
+    assert max(map(len, plans.values())) < 1 << 20  # 2 ** 20 levels as a literal take twice that
+    physical = plans["lines"].split("== Physical Plan ==")[1]
+    assert not [x for x in physical.splitlines() if "Filter" in x and "split" in x]
