@@ -13,16 +13,20 @@ order of the words makes the prefix filter exact, so a collision costs time,
 never a match. Equal sets meet once, however many lines have them. A word
 whose group of sets is large is first matched against the group's earliest
 set, one pair a row; only sets that this leaves unmatched are compared with
-the other earlier sets of the group.
+the other earlier sets of the group. The tests of pairs within a group grow
+with its square; what is written and shuffled grows with the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD_SEP, fresh, materialize
-from furrow.llm.salting import hot_keys, salted_join
+from furrow.llm.salting import SHARE, salted_join
 
 #: Lines with fewer distinct words are left alone. One takes every line that has
 #: a word; a caller may set a higher minimum to spare short lines that repeat.
@@ -31,8 +35,9 @@ MIN_WORDS = 1
 PERCENT = 80
 #: Counters of the rarity table: 2 ** BITS bytes.
 BITS = 20
-#: Groups of one word above this size go through their earliest set first.
-GROUP = 16
+#: Groups of one word above this size go through their earliest set first,
+#: which costs their rows a second shuffle.
+GROUP = 256
 #: Words above which a set keeps 128 parity bits instead of 64.
 LONG = 64
 #: Removals, or lines to verify, are broadcast up to so many documents.
@@ -44,7 +49,10 @@ _HASH = (1 << 56) - 1
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, WORD_SEP), "")
+    """The words of a line. Where blanks alone part them no pattern is needed,
+    which takes a third of the time."""
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"))
+    return F.array_remove(F.when(odd, F.split(text, WORD_SEP)).otherwise(F.split(text, " ")), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -54,73 +62,78 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row with one byte per bucket of words (levels, 2 ** bits bytes),
-    growing with the bucket's count: 0 for at most one occurrence, then a step
-    for every 25 percent, 127 at most."""
+    """One row with the levels of 2 ** bits buckets of words, an array of
+    bytes, growing with the bucket's count: 0 for at most one occurrence, then
+    a step for every 25 percent, 127 at most. Blanks alone part words here: the
+    last word of a line counts together with the first of the next."""
     segment = 1024
     spark = docs.sparkSession
-    seen = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    seen = docs.select(F.explode(F.split("text", " ")).alias("w"))
     counts = seen.groupBy(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count("*").alias("c"))
     every = spark.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("c"))
     level = F.when(F.col("c") < 2, 0).otherwise(F.least(F.lit(127), 1 + F.floor(F.log(F.col("c") / 2) / F.log(F.lit(1.25)))))
     packed = (counts.unionAll(every).groupBy("b").agg(F.sum("c").alias("c"))
               .groupBy((F.col("b") / segment).cast("long").alias("s"))
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", level.cast("int").alias("v")))),
-                                            lambda x: F.lpad(F.hex(x.v), 2, "0")), "").alias("hex")))
-    every = F.array_sort(F.collect_list(F.struct("s", "hex")))
-    return materialize(packed.agg(F.unhex(F.array_join(F.transform(every, lambda x: x.hex), "")).alias("levels")), "lines-rarity")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.cast("tinyint").alias("v")))), lambda x: x.v).alias("vs")))
+    every = F.array_sort(F.collect_list(F.struct("s", "vs")))
+    return materialize(packed.agg(F.flatten(F.transform(every, lambda x: x.vs)).alias("levels")), "lines-rarity")
 
 
 def _ordered(line: Column, table: Column, bits: int) -> Column:
-    """The distinct words of a line as numbers, rarest first; table has one
-    byte a bucket, each an ASCII character."""
+    """The distinct words of a line as numbers, rarest first; table has the
+    level of every bucket."""
 
-    def number(h):
-        level = F.ascii(F.substring(table, h.bitwiseAND((1 << bits) - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(_HASH))
+    def number(word):
+        # never null, so that the numbers are sorted as longs, not as objects
+        level = F.coalesce(F.get(table, F.xxhash64(word).bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(word).bitwiseAND(_HASH))
 
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, number))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
 def _prefixes(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
-    """(d, l, s, n, parity, upper, z, prefix) of all lines; s names
+    """(d, l, s, n, parity, upper, prefix) of all lines; s names
     the set, parity counts its words in 64 classes, odd or even. Sets of more
     than ``LONG`` words have 128 classes: upper has the last 64, parity the
-    first and the last folded together, so that any two sets compare. prefix has its rarest words in order but for the z first, which occur once
-    in the table and meet no other. Words are named by 31 bits of their hash and
-    level: a chance match is one candidate more."""
+    first and the last folded together, so that any two sets compare. prefix has
+    its rarest words in order, named by 31 bits of their hash and level: a
+    chance match is one candidate more."""
     bit = lambda t, one: F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))
     odd = lambda one: F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t, one(t))))
     lower, upper = odd(lambda t: F.lit(1).cast("long")), odd(lambda t: F.shiftright(t, 6).bitwiseAND(1))
     length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
-    meets = F.filter(F.slice("ordered", F.lit(1), length), lambda w: w > _HASH)
-    short = F.transform("meets", lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
+    short = F.transform(F.slice("ordered", F.lit(1), length), lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
     # the levels are a subquery: as a literal they would stand in every plan. They
     # stand for themselves in the one expression that uses them, and in no row
     return (lines.select("d", "l", "line", levels.scalar().alias("levels"))
             .select("d", "l", _ordered(F.col("line"), F.col("levels"), bits).alias("ordered"))
-            .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").cast("long").alias("n"),
-                    lower.alias("parity"), F.when(F.size("ordered") > LONG, upper).otherwise(F.lit(0)).alias("upper"), length.alias("length"), meets.alias("meets"))
-            .select("d", "l", "s", "n", "parity", "upper", (F.col("length") - F.size("meets")).alias("z"), short.alias("prefix")))
+            .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").alias("n"),
+                    lower.alias("parity"), F.when(F.size("ordered") > LONG, upper).otherwise(F.lit(0)).alias("upper"), short.alias("prefix")))
 
 
 #: Common words that sets of na and nb words need for the threshold.
 _NEED = f"(({PERCENT} * (a.n + b.n) + {99 + PERCENT}) div {100 + PERCENT})"
 #: What a pair with a common prefix word at places a.p and b.p can still reach:
-#: sizes, the words left behind the places, and words in one set only (each
-#: flips one parity bit at most, of 128 if both sets are long).
+#: sizes, the words left behind the places, and words in one set only: those
+#: before the first common word, and one for every parity bit that differs (of
+#: 128 if both sets are long). A pair is met at its first common word.
 _FLIPPED = f"""if(a.n > {LONG} and b.n > {LONG}, bit_count(a.upper ^ b.upper) + bit_count(a.parity ^ a.upper ^ b.parity ^ b.upper),
     bit_count(a.parity ^ b.parity))"""
 _MAY_MATCH = f"""100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
-    and 1 + least(a.n - a.p, b.n - b.p) - 1 >= {_NEED}
+    and least(a.n - a.p, b.n - b.p) >= {_NEED}
+    and a.p + b.p <= a.n + b.n - 2 * {_NEED}
     and {_FLIPPED} <= a.n + b.n - 2 * {_NEED}"""
 
 
+#: Of two rows, a is the earlier line.
+_EARLIER = "(a.d < b.d or a.d = b.d and a.l < b.l)"
+
+
 def _pairs(a: DataFrame, b: DataFrame, extra: str) -> DataFrame:
     """(earlier set, later set) that share a prefix word and may match."""
     return (a.alias("a").join(b.alias("b"), F.expr(f"a.t = b.t and {extra} and {_MAY_MATCH}"))
-            .selectExpr("a.d as d1", "a.l as l1", "b.d as d2", "b.l as l2"))
+            .selectExpr(f"{_EARLIER} as e", "a.d as ad", "a.l as al", "b.d as bd", "b.l as bl")
+            .selectExpr("if(e, ad, bd) as d1", "if(e, al, bl) as l1", "if(e, bd, ad) as d2", "if(e, bl, al) as l2"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,33 +162,39 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
     # lines that take part are chosen as they are read: a filter before would
     # find the words of each line a second time
     lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines").where(F.col("n") >= max(1, min_words))
-    sets = lines.groupBy("s", "n", "parity", "upper", "z", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
-    entries = (sets.select("first.*", "n", "parity", "upper", "z", F.posexplode("prefix").alias("k", "t"))
-               .select("t", "d", "l", F.col("n").cast("int").alias("n"), "parity", "upper", (F.col("z") + F.col("k")).alias("p")))
-    # the filter that a join on t would add, so that all uses share one shuffle
-    word = Window.partitionBy("t")
+    sets = lines.groupBy("s", "n", "parity", "upper", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
     columns = ("t", "d", "l", "n", "parity", "upper", "p")
-    entries = (entries.where("t is not null").withColumn("many", F.count("*").over(word))
-               .withColumn("lead", F.min(F.struct(*columns[1:])).over(word)))
-    earlier = "(a.d < b.d or a.d = b.d and a.l < b.l)"
-    # small groups: every pair. Rows of large ones are written as they are, in
-    # the same job, with the group's earliest set (d1, l1) if it may match
-    small = entries.where(f"many <= {GROUP} and many > 1").select(*columns)
-    large = entries.where(f"many > {GROUP}").select(F.col("lead").alias("a"), F.struct(*columns).alias("b"))
-    large = large.selectExpr(*(f"if({earlier} and {_MAY_MATCH}, a.{c}, null) as {c}1" for c in "dl"), *(f"cast(null as bigint) as {c}2" for c in "dl"), "b.*")
-    pairs = _pairs(small, small, earlier).select("d1", "l1", "d2", "l2", *(F.lit(None).cast(k).alias(c) for c, k in large.dtypes[4:]))
-    both = materialize(pairs.unionAll(large.select(*pairs.columns)), "lines-pairs")
-    pairs, large = both.where("t is null").select("d1", "l1", "d2", "l2"), both.where("t is not null")
-    leads = large.where("d1 is not null").selectExpr("d1", "l1", "d as d2", "l as l2")
-    gone = materialize(_verify(pairs.unionAll(leads), docs), "lines-gone")
-    # large groups again, but for pairs of which both went; one shuffle for both sides
-    went = F.coalesce("went", F.lit(False))
-    large = large.select(*columns).join(gone.withColumn("went", F.lit(True)), ["d", "l"], "left").select(*columns, went.alias("went"))
-    gone = gone.unionAll(_verify(_pairs(large, large, f"{earlier} and not (a.went and b.went)"), docs)).distinct()
+    # the filter that a join on t would add, so that all uses share one shuffle
+    entries = (sets.select("first.*", "n", "parity", "upper", F.posexplode("prefix").alias("p", "t"))
+               .where("t is not null").select(*columns).repartition("t"))
+    # large groups; the hash over all columns is there to count in that shuffle too
+    hot = (entries.groupBy("t").agg(F.count("*").alias("many"), F.max(F.xxhash64(*columns)).alias("some"))
+           .where(f"many > {GROUP} or some is null").select(F.col("t").alias("hot")))
+    marked = entries.join(hot.hint("shuffle_hash"), F.col("t") == F.col("hot"), "left")
+    # small groups: every pair, the smaller set at one of its first places; rows of
+    # large groups are written as they are, in the same job. The places are chosen
+    # with hot in the condition, or they would be chosen before the shuffle
+    few = F.expr(f"case when hot is null then n - p >= ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} else false end")
+    large = marked.where("hot is not null")
+    pairs = _pairs(marked.where(few).select(*columns), entries, f"(a.n < b.n or a.n = b.n and {_EARLIER})")
+    both = materialize(pairs.select("*", *(F.lit(None).cast(k).alias(c) for c, k in entries.dtypes))
+                       .unionAll(large.select(*(F.lit(None).cast("long").alias(c) for c in pairs.columns), *columns)), "lines-pairs")
+    pairs, large = both.where("t is null").select("d1", "l1", "d2", "l2"), both.where("t is not null").select(*columns)
+    if large.isEmpty():
+        gone = _verify(pairs, docs)
+    else:
+        leads = large.groupBy("t").agg(F.min(F.struct(*columns[1:])).alias("lead")).select("t", "lead.*")
+        gone = materialize(_verify(pairs.unionAll(_pairs(leads, large, _EARLIER)), docs), "lines-gone")
+        # large groups again, but for pairs of which both went; one shuffle for both sides
+        went = F.coalesce("went", F.lit(False))
+        large = large.join(gone.withColumn("went", F.lit(True)), ["d", "l"], "left").select(*columns, went.alias("went"))
+        gone = gone.unionAll(_verify(_pairs(large, large, f"{_EARLIER} and not (a.went and b.went)"), docs)).distinct()
     # all lines of a set but the first go, and the first if its set matched
-    first = lines.groupBy("s").agg(F.min(F.struct("d", "l")).alias("first"))
+    first = lines.groupBy("s").agg(F.count("*").alias("many"), F.min(F.struct("d", "l")).alias("first"))
+    first = materialize(first.where("many > 1"), "lines-first")
     # a line that very many documents share is one set: its rows are salted
-    later = salted_join(lines.select("s", "d", "l"), first, "s", hot_keys(lines, "s")).where("struct(d, l) <> first").select("d", "l")
+    shared = [r.s for r in first.where(F.col("many") > lines.count() / SHARE).collect()]
+    later = salted_join(lines.select("s", "d", "l"), first.drop("many"), "s", shared).where("struct(d, l) <> first").select("d", "l")
     return later.unionAll(gone)
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from furrow.llm.line_dedup import LONG, PERCENT, repeated_lines
 
 
@@ -39,3 +41,48 @@ def test_rarity_stands_in_no_plan_and_words_are_found_once(spark, monkeypatch):
     assert max(map(len, plans.values())) < 1 << 20  # 2 ** 20 levels as a literal take twice that
     physical = plans["lines"].split("== Physical Plan ==")[1]
     assert not [x for x in physical.splitlines() if "Filter" in x and "split" in x]
+
+
+def _random_lines():
+    rnd = random.Random(8)
+    common, rare = [f"c{i}" for i in range(10)], [f"r{i}" for i in range(300)]
+    base = [rnd.sample(common, 5) + rnd.sample(rare, rnd.randrange(1, 12)) for _ in range(12)]
+    lines = []
+    for _ in range(250):
+        x = list(rnd.choice(base))
+        for _ in range(rnd.randrange(3)):
+            x[rnd.randrange(len(x))] = rnd.choice(rare)
+        lines.append(rnd.choice([" ", "\t", "  ", "\r", "\x0b"]).join(x))
+    return lines
+
+
+@pytest.mark.parametrize("group", [4, 256])
+def test_groups_on_both_sides_of_the_limit_against_all_pairs(spark, monkeypatch, group):
+    """Also words parted by other white space than blanks."""
+    from furrow.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    lines = _random_lines()
+    sets = [set(x.split()) for x in lines]
+    expected = {j for j, b in enumerate(sets) for a in sets[:j] if 100 * len(a & b) >= PERCENT * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(lines)), "d bigint, text string")
+    assert sorted(r.d for r in repeated_lines(docs).distinct().collect()) == sorted(expected)
+    assert 20 < len(expected) < len(lines)
+
+
+def test_rows_of_a_word_that_a_hundred_lines_share_are_not_written(spark, monkeypatch):
+    """Such rows, nearly all of a large table's, made its disk grow faster than the table."""
+    from furrow.llm import line_dedup
+
+    written = []
+    keep = line_dedup.materialize
+
+    def note(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", note)
+    rows = [(i, f"shared own{i}") for i in range(100)]
+    assert repeated_lines(spark.createDataFrame(rows, "d bigint, text string")).count() == 0
+    assert [n for name, n in written if name == "lines-pairs"] == [0, 0]
