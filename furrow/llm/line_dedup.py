@@ -8,7 +8,7 @@ prefix) are joined, the length, position and parity filters drop pairs that
 cannot reach the threshold, and the rest are verified on the full sets.
 
 DataFrame functions only. Rarity comes from a table of counters of fixed size
-(words hashed into ``2 ** bits`` buckets, kept as one byte each): any total
+(words hashed into ``2 ** bits`` buckets, kept as one int each): any total
 order of the words makes the prefix filter exact, so a collision costs time,
 never a match. Equal sets meet once, however many lines have them. A word
 whose group of sets is large is first matched against the group's earliest
@@ -19,9 +19,6 @@ with its square; what is written and shuffled grows with the lines.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +30,7 @@ from furrow.llm.salting import SHARE, salted_join
 MIN_WORDS = 1
 #: Similarity, as a percentage so that every bound is an exact integer.
 PERCENT = 80
-#: Counters of the rarity table: 2 ** BITS bytes.
+#: Counters of the rarity table: 2 ** BITS ints.
 BITS = 20
 #: Groups of one word above this size go through their earliest set first,
 #: which costs their rows a second shuffle.
@@ -44,51 +41,62 @@ LONG = 64
 BROADCAST_ROWS = 200_000
 
 
-#: A word is the low 56 bits of its hash, with its level of rarity above them.
-_HASH = (1 << 56) - 1
+#: A word's number has so many bits of its hash, its level of rarity above them.
+HASH = 26
+#: Blanks inside a line other than the space.
+_ODD = r"[\t\x0B\x0C\r]"
 
 
-def _words(text: Column) -> Column:
-    """The words of a line. Where blanks alone part them no pattern is needed,
-    which takes a third of the time."""
-    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"))
-    return F.array_remove(F.when(odd, F.split(text, WORD_SEP)).otherwise(F.split(text, " ")), "")
+def _words(line: Column, odd: Column) -> Column:
+    """The words of a line. Where spaces alone part them (not odd) no pattern
+    is needed, which takes a third of the time."""
+    return F.array_remove(F.when(odd, F.split(line, WORD_SEP)).otherwise(F.split(line, " ")), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs (d, text) to (d, l, line)."""
-    lines = docs.where("text is not null").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    return lines.select("d", F.col("l").cast("long").alias("l"), "line")
+    """docs (d, text) to (d, l, line, odd), odd if its text has blanks other
+    than spaces."""
+    lines = (docs.where("text is not null").select("d", "text", F.col("text").rlike(_ODD).alias("odd"))
+             .select("d", "odd", F.posexplode(F.split("text", "\n")).alias("l", "line")))
+    return lines.select("d", F.col("l").cast("long").alias("l"), "line", "odd")
 
 
 def rarity(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row with the levels of 2 ** bits buckets of words, an array of
-    bytes, growing with the bucket's count: 0 for at most one occurrence, then
-    a step for every 25 percent, 127 at most. Blanks alone part words here: the
-    last word of a line counts together with the first of the next."""
+    """One row with the levels of 2 ** bits buckets of words, growing with the
+    bucket's count: the lowest for at most one occurrence, then a step for
+    every 50 percent, 64 levels. They are an array of ints that leave ``HASH``
+    bits free, from the least int on. Blanks alone part words here: the last
+    word of a line counts together with the first of the next."""
     segment = 1024
     spark = docs.sparkSession
     seen = docs.select(F.explode(F.split("text", " ")).alias("w"))
     counts = seen.groupBy(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count("*").alias("c"))
     every = spark.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("c"))
-    level = F.when(F.col("c") < 2, 0).otherwise(F.least(F.lit(127), 1 + F.floor(F.log(F.col("c") / 2) / F.log(F.lit(1.25)))))
+    level = F.when(F.col("c") < 2, 0).otherwise(F.least(F.lit(63), 1 + F.floor(F.log(F.col("c") / 2) / F.log(F.lit(1.5)))))
     packed = (counts.unionAll(every).groupBy("b").agg(F.sum("c").alias("c"))
               .groupBy((F.col("b") / segment).cast("long").alias("s"))
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.cast("tinyint").alias("v")))), lambda x: x.v).alias("vs")))
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("b", ((level - 32) * (1 << HASH)).cast("int").alias("v")))), lambda x: x.v).alias("vs")))
     every = F.array_sort(F.collect_list(F.struct("s", "vs")))
     return materialize(packed.agg(F.flatten(F.transform(every, lambda x: x.vs)).alias("levels")), "lines-rarity")
 
 
-def _ordered(line: Column, table: Column, bits: int) -> Column:
-    """The distinct words of a line as numbers, rarest first; table has the
-    level of every bucket."""
+def _hashes(line: Column, odd: Column) -> Column:
+    """The distinct words of a line as hashes of 64 bits."""
+    return F.array_distinct(F.transform(_words(line, odd), lambda w: F.xxhash64(w)))
+
+
+def _ordered(hashes: Column, table: Column, bits: int) -> Column:
+    """Words, given by their hashes, as ints, rarest first: the level of
+    rarity above ``HASH`` bits of the hash. table has the level of every
+    bucket. Words that share a number count as copies of one, each with a place
+    of its own: what sets have in common only seems more."""
 
     def number(word):
-        # never null, so that the numbers are sorted as longs, not as objects
-        level = F.coalesce(F.get(table, F.xxhash64(word).bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
-        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(word).bitwiseAND(_HASH))
+        # never null, so that the numbers are sorted as ints, not as objects
+        level = F.coalesce(F.get(table, word.bitwiseAND((1 << bits) - 1).cast("int")), F.lit(0))
+        return level.bitwiseOR(F.shiftright(word, 32).bitwiseAND((1 << HASH) - 1).cast("int"))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def _prefixes(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
@@ -96,19 +104,22 @@ def _prefixes(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
     the set, parity counts its words in 64 classes, odd or even. Sets of more
     than ``LONG`` words have 128 classes: upper has the last 64, parity the
     first and the last folded together, so that any two sets compare. prefix has
-    its rarest words in order, named by 31 bits of their hash and level: a
-    chance match is one candidate more."""
-    bit = lambda t, one: F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))
-    odd = lambda one: F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t, one(t))))
-    lower, upper = odd(lambda t: F.lit(1).cast("long")), odd(lambda t: F.shiftright(t, 6).bitwiseAND(1))
-    length = F.expr(f"cast(size(ordered) - (size(ordered) * {PERCENT} + 99) div 100 + 1 as int)")
-    short = F.transform(F.slice("ordered", F.lit(1), length), lambda w: F.shiftright(w, 24).bitwiseAND(0x7FFFFFFF).cast("int"))
+    the numbers of its rarest words in order: a chance match is one candidate
+    more."""
+    # shiftleft takes the last 6 bits of the number alone
+    odd = lambda one: F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one(t), t)))
+    lower, upper = odd(lambda t: F.lit(1).cast("long")), odd(lambda t: F.shiftright(t, 6).bitwiseAND(1).cast("long"))
+    length = F.expr(f"cast(n - (n * {PERCENT} + 99) div 100 + 1 as int)")
+    # the hashes pass an explode of one row each, or their expression would be
+    # moved into the function over them, where finding the distinct ones takes
+    # several times as long
+    words = lines.select("d", "l", _hashes(F.col("line"), F.col("odd")).alias("found")).select("d", "l", F.explode(F.array("found")).alias("words"))
     # the levels are a subquery: as a literal they would stand in every plan. They
     # stand for themselves in the one expression that uses them, and in no row
-    return (lines.select("d", "l", "line", levels.scalar().alias("levels"))
-            .select("d", "l", _ordered(F.col("line"), F.col("levels"), bits).alias("ordered"))
-            .select("d", "l", F.xxhash64("ordered").alias("s"), F.size("ordered").alias("n"),
-                    lower.alias("parity"), F.when(F.size("ordered") > LONG, upper).otherwise(F.lit(0)).alias("upper"), short.alias("prefix")))
+    return (words.select("d", "l", "words", levels.scalar().alias("levels"))
+            .select("d", "l", F.xxhash64(F.sort_array("words")).alias("s"), F.size("words").alias("n"), _ordered(F.col("words"), F.col("levels"), bits).alias("ordered"))
+            .select("d", "l", "s", "n", lower.alias("parity"), F.when(F.col("n") > LONG, upper).otherwise(F.lit(0)).alias("upper"),
+                    F.slice("ordered", F.lit(1), length).alias("prefix")))
 
 
 #: Common words that sets of na and nb words need for the threshold.
@@ -147,7 +158,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("l"), x.alias("line"))), lambda x: F.array_contains("nls", x.l))
     sets = (docs.where("text is not null").join(need, F.col("d") == F.col("nd"))
             .select("d", F.inline(wanted))
-            .select("d", "l", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("tokens")))
+            .select("d", "l", _hashes(F.col("line"), F.col("line").rlike(_ODD)).alias("tokens")))
     sets = materialize(sets, "lines-sets")
     one = sets.selectExpr("d as d1", "l as l1", "tokens as tokens1")
     two = sets.selectExpr("d as d2", "l as l2", "tokens as tokens2")
@@ -162,10 +173,16 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
     # lines that take part are chosen as they are read: a filter before would
     # find the words of each line a second time
     lines = materialize(_prefixes(_lines(docs), rarity(docs, bits), bits), "lines").where(F.col("n") >= max(1, min_words))
-    sets = lines.groupBy("s", "n", "parity", "upper", "prefix").agg(F.min(F.struct("d", "l")).alias("first"))
+    # all lines of a set but the first go, and the first if its set matches
+    first = lines.groupBy("s").agg(F.count("*").alias("many"), F.min(F.struct("d", "l")).alias("first"))
+    first = materialize(first.where("many > 1"), "lines-first")
+    # a line that very many documents share is one set: its rows are salted
+    shared = [r.s for r in first.where(F.col("many") > lines.count() / SHARE).collect()]
+    first = first.drop("many").hint("shuffle_hash")
+    sets = salted_join(lines, first, "s", shared, "left").where("first is null or struct(d, l) = first")
     columns = ("t", "d", "l", "n", "parity", "upper", "p")
     # the filter that a join on t would add, so that all uses share one shuffle
-    entries = (sets.select("first.*", "n", "parity", "upper", F.posexplode("prefix").alias("p", "t"))
+    entries = (sets.select("d", "l", "n", "parity", "upper", F.posexplode("prefix").alias("p", "t"))
                .where("t is not null").select(*columns).repartition("t"))
     # large groups; the hash over all columns is there to count in that shuffle too
     hot = (entries.groupBy("t").agg(F.count("*").alias("many"), F.max(F.xxhash64(*columns)).alias("some"))
@@ -189,12 +206,7 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, min_words: int = MIN_WORDS
         went = F.coalesce("went", F.lit(False))
         large = large.join(gone.withColumn("went", F.lit(True)), ["d", "l"], "left").select(*columns, went.alias("went"))
         gone = gone.unionAll(_verify(_pairs(large, large, f"{_EARLIER} and not (a.went and b.went)"), docs)).distinct()
-    # all lines of a set but the first go, and the first if its set matched
-    first = lines.groupBy("s").agg(F.count("*").alias("many"), F.min(F.struct("d", "l")).alias("first"))
-    first = materialize(first.where("many > 1"), "lines-first")
-    # a line that very many documents share is one set: its rows are salted
-    shared = [r.s for r in first.where(F.col("many") > lines.count() / SHARE).collect()]
-    later = salted_join(lines.select("s", "d", "l"), first.drop("many"), "s", shared).where("struct(d, l) <> first").select("d", "l")
+    later = salted_join(lines.select("s", "d", "l"), first, "s", shared).where("struct(d, l) <> first").select("d", "l")
     return later.unionAll(gone)
 
 

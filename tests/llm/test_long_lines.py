@@ -86,3 +86,34 @@ def test_rows_of_a_word_that_a_hundred_lines_share_are_not_written(spark, monkey
     rows = [(i, f"shared own{i}") for i in range(100)]
     assert repeated_lines(spark.createDataFrame(rows, "d bigint, text string")).count() == 0
     assert [n for name, n in written if name == "lines-pairs"] == [0, 0]
+
+
+def test_words_that_share_a_number_against_all_pairs(spark, monkeypatch):
+    """Numbers are kept in few bits: with 2 of them nearly all words share one."""
+    from furrow.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HASH", 2)
+    lines = _random_lines()
+    sets = [set(x.split()) for x in lines]
+    expected = {j for j, b in enumerate(sets) for a in sets[:j] if 100 * len(a & b) >= PERCENT * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(lines)), "d bigint, text string")
+    assert sorted(r.d for r in repeated_lines(docs).distinct().collect()) == sorted(expected)
+
+
+def test_equal_sets_are_found_by_name_and_words_are_distinct_before_they_are_ranked(spark, monkeypatch):
+    """Grouping whole rows sorted them, and every repeat of a word was ranked."""
+    from furrow.llm import line_dedup
+
+    plans = {}
+    keep = line_dedup.materialize
+
+    def note(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", note)
+    docs = spark.createDataFrame([(1, "a b c\nc b a\nx"), (2, "a b c\nd\n")], "d long, text string")
+    assert sorted(map(tuple, repeated_lines(docs).collect())) == [(1, 1), (2, 0)]
+    assert not [x for x in plans["lines-pairs"].splitlines() if "Aggregate(" in x and "prefix" in x]
+    ranked = [x for x in plans["lines"].splitlines() if "Subquery" in x and "transform(" in x]
+    assert ranked and not [x for x in ranked if "split(" in x]
